@@ -23,12 +23,28 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def round_half_away(x, digits: int = 6):
+    """``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` in binary floating point.
+
+    Spark's ``round`` rounds the decimal form of the double (HALF_UP); SQL
+    engines usually scale the binary value.  Values with exactly d+1 decimals
+    (prices / constants) then round apart, so results meant for comparison use
+    this formula, which both sides evaluate bit for bit alike."""
+    m = float(10 ** digits)
+    v = x * F.lit(m)
+    av = F.abs(v)
+    fl = F.floor(F.when(av < 4503599627370496.0, av)).cast("double")
+    r = F.when(av >= 4503599627370496.0, av).otherwise(
+        F.when(av - fl >= 0.5, fl + 1.0).otherwise(fl))      # C round(): half away from zero
+    return F.when(v < 0, -r).otherwise(r) / F.lit(m)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Presentation rounding for oracle comparison (both sides round the same way)."""
+    """Presentation rounding of every double column (see ``round_half_away``)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(round_half_away(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
