@@ -112,7 +112,7 @@ SCORE_MODELS = {
     # name: prediction expression over policy columns
     # divisors with non-terminating quotients keep averages off rounding ties
     "m0": "price / 499979.0",
-    "m1": "(prio_cat + pmod(nation_cat, 5)) / 9.7",
+    "m1": "(prio_cat + pmod(nation_cat, 5)) / CAST(9.7 AS DOUBLE)",
     "m2": "coalesce(bal, 0.0) / 9973.0",
 }
 N_BAGS = 2
