@@ -122,15 +122,15 @@ def one_hot_lowcard(df: DataFrame, cols: Sequence[str], fit: DataFrame,
                     lo: int = 2, hi: int = 7) -> DataFrame:
     """For columns with ``lo < distinct < hi`` in ``fit`` (NULL counts as a
     value, as the reference's ``unique``), add ``col_oh_value``; sources kept."""
-    vocab = vocabularies(fit, cols)
-    nulls = fit.select(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).collect()[0]
+    from foldwise.operators.stats import column_distincts
+    sizes = {r["col"]: r["n_distinct"] + (r["has_null"] or 0) for r in column_distincts(fit, cols).collect()}
+    gated = [c for c in cols if lo < sizes.get(c, 0) < hi]
+    vocab = vocabularies(fit, gated) if gated else {}
     new = []
-    for c in cols:
-        n = len(vocab[c]) + (nulls[c] or 0)
-        if lo < n < hi:
-            for v, _ in vocab[c]:
-                new.append(F.coalesce((F.col(c) == F.lit(_typed(df, c, v))).cast("int"), F.lit(0))
-                           .alias(f"{c}_oh_{_value_name(v)}"))
+    for c in gated:
+        for v, _ in vocab[c]:
+            new.append(F.coalesce((F.col(c) == F.lit(_typed(df, c, v))).cast("int"), F.lit(0))
+                       .alias(f"{c}_oh_{_value_name(v)}"))
     return df.select("*", *new)
 
 

@@ -59,3 +59,30 @@ def impute_mean(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None
     stats = fit.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols])
     exprs = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_mu_{c}")) for c in cols}
     return _apply(df, stats, exprs)
+
+
+def fold_minmax_scale(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fold",
+                      out_fold: str = "model_fold") -> DataFrame:
+    """X6 for a decomposable statistic: for every fold model j, min-max bounds
+    fitted on labelled rows with ``fold != j`` and applied to all of them.
+
+    Per-fold minima/maxima come from one aggregate (k rows); bounds "without
+    fold j" are the min/max over the other folds of that small table, which is
+    then broadcast.  No per-fold rescans.
+    """
+    lab = df.filter(F.col(fold_col).isNotNull())
+    per = lab.groupBy(fold_col).agg(*[F.min(c).cast("double").alias(f"_lo_{c}") for c in cols],
+                                    *[F.max(c).cast("double").alias(f"_hi_{c}") for c in cols])
+    models = df.sparkSession.range(k).select(F.col("id").cast("int").alias(out_fold))
+    held = models.crossJoin(F.broadcast(per)).filter(F.col(fold_col) != F.col(out_fold)) \
+        .groupBy(out_fold).agg(*[F.min(f"_lo_{c}").alias(f"_lo_{c}") for c in cols],
+                               *[F.max(f"_hi_{c}").alias(f"_hi_{c}") for c in cols])
+    rows = lab.withColumn(out_fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    j = rows.join(F.broadcast(held), out_fold)
+    scaled = []
+    for c in cols:
+        span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        scaled.append(F.when(span > 0, (F.col(c) - F.col(f"_lo_{c}")) / span).otherwise(F.lit(0.0)).alias(c))
+    part = F.when(F.col(fold_col) == F.col(out_fold), F.lit("valid")).otherwise(F.lit("train")).alias("part")
+    keep = [c for c in df.columns if c not in cols]
+    return j.select(*keep, out_fold, part, *scaled)
