@@ -163,7 +163,8 @@ def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 50, fit: Da
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         w = (hi - lo) / bins
         b = F.least(F.greatest(F.ceil((F.col(c) - lo) / w) - 1, F.lit(0)), F.lit(bins - 1))
-        out.append(F.coalesce(b.cast("int"), F.lit(missing)).alias(c + suffix))
+        # greatest/least skip NULLs, so the missing case is explicit
+        out.append(F.when(F.col(c).isNull(), F.lit(missing)).otherwise(b.cast("int")).alias(c + suffix))
     return j.select(*df.columns, *out)
 
 

@@ -30,13 +30,23 @@ def smoothed(n: Column, s: Column, prior: Column, min_samples_leaf: float, smoot
     return prior * (F.lit(1.0) - w) + (s / n) * w
 
 
+TOTAL = "__all__"      # pseudo-column whose single value carries the label totals
+
+
 def category_stats(df: DataFrame, cols: list[str], label: str = "target",
-                   fold_col: str | None = None, k: int = 0) -> DataFrame:
-    """A1/A2: ``(col, value, n, s, n_0, s_0, ...)`` over labelled rows; NULL values skipped."""
+                   fold_col: str | None = None, k: int = 0, with_total: bool = False) -> DataFrame:
+    """A1/A2: ``(col, value, n, s, n_0, s_0, ...)`` over labelled rows; NULL values
+    skipped.  With ``with_total`` the same aggregate also yields the row
+    ``col = '__all__'`` holding the label totals (the priors) — no extra scan."""
     lab = df.filter(F.col(label).isNotNull())
     keep = [label] + ([fold_col] if fold_col else [])
-    slim = lab.select(*keep, *[F.col(c).cast("string").alias(c) for c in cols])
-    long = slim.unpivot(keep, cols, "col", "value").filter(F.col("value").isNotNull())
+    vals = [F.col(c).cast("string").alias(c) for c in cols]
+    names = list(cols)
+    if with_total:
+        vals.append(F.lit("1").alias(TOTAL))
+        names.append(TOTAL)
+    slim = lab.select(*keep, *vals)
+    long = slim.unpivot(keep, names, "col", "value").filter(F.col("value").isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("s")]
     for j in range(k if fold_col else 0):
         in_j = F.col(fold_col) == j
@@ -45,17 +55,6 @@ def category_stats(df: DataFrame, cols: list[str], label: str = "target",
     return long.groupBy("col", "value").agg(*aggs)
 
 
-def label_totals(df: DataFrame, label: str = "target", fold_col: str | None = None, k: int = 0) -> DataFrame:
-    """One row: tot_n, tot_s and per-fold tot_n_j, tot_s_j (the priors)."""
-    lab = df.filter(F.col(label).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("tot_n"), F.sum(F.col(label).cast("bigint")).alias("tot_s")]
-    for j in range(k if fold_col else 0):
-        in_j = F.col(fold_col) == j
-        aggs.append(F.sum(F.when(in_j, 1).otherwise(0).cast("bigint")).alias(f"tot_n_{j}"))
-        aggs.append(F.sum(F.when(in_j, F.col(label)).otherwise(0).cast("bigint")).alias(f"tot_s_{j}"))
-    return lab.agg(*aggs)
-
-
 @dataclass
 class TargetEncoding:
     """Fitted encoding: ``stats(col, value, enc array<double>, enc_full double)``.
@@ -121,34 +120,33 @@ def fit_target_encoding(df: DataFrame, cols: list[str], label: str = "target",
     for "fold j held out" are kept for every j in one array column.
     """
     k = k if fold_col else 0
-    stats = category_stats(df, cols, label, fold_col, k)
-    tot = label_totals(df, label, fold_col, k)
-    st = stats.crossJoin(F.broadcast(tot))   # one-row side
+    raw = materialize(category_stats(df, cols, label, fold_col, k, with_total=True), "category-stats")
+    trows = raw.filter(F.col("col") == TOTAL).collect()
+    if not trows:
+        raise ValueError("no labelled rows to fit target statistics on")
+    trow = trows[0]
+    tot_n, tot_s = trow["n"], trow["s"]
+    priors = []
+    for j in range(k):
+        denom = tot_n - trow[f"n_{j}"]
+        priors.append((tot_s - trow[f"s_{j}"]) / denom if denom else None)
+    prior_full_v = tot_s / tot_n if tot_n else None
 
-    def enc(n: Column, s: Column, prior: Column) -> Column:
+    def enc(n: Column, s: Column, prior: float | None) -> Column:
         nd, sd = n.cast("double"), s.cast("double")
+        p = F.lit(prior).cast("double")
         if smoothing is None:
             return F.when(nd > 0, sd / nd)
-        value = smoothed(nd, sd, prior, min_samples_leaf, smoothing)
-        return F.when(nd > 0, value).otherwise(prior if unseen == "prior" else F.lit(None).cast("double"))
-
-    prior_full = F.col("tot_s").cast("double") / F.col("tot_n").cast("double")
-    per_fold = []
-    for j in range(k):
-        prior_j = (F.col("tot_s") - F.col(f"tot_s_{j}")).cast("double") / (F.col("tot_n") - F.col(f"tot_n_{j}")).cast("double")
-        per_fold.append(enc(F.col("n") - F.col(f"n_{j}"), F.col("s") - F.col(f"s_{j}"), prior_j))
-    fitted = st.select("col", "value",
-                       (F.array(*per_fold) if per_fold else F.array().cast("array<double>")).alias("enc"),
-                       enc(F.col("n"), F.col("s"), prior_full).alias("enc_full"),
-                       F.col("n"))
-    fitted = materialize(fitted)
-    counts = {r["col"]: r["count"] for r in fitted.groupBy("col").count().collect()}
-    trow = tot.collect()[0]
-    priors = []
-    for j in range(k):
-        denom = trow["tot_n"] - trow[f"tot_n_{j}"]
-        priors.append((trow["tot_s"] - trow[f"tot_s_{j}"]) / denom if denom else None)
-    prior_full_v = trow["tot_s"] / trow["tot_n"] if trow["tot_n"] else None
+        value = smoothed(nd, sd, p, min_samples_leaf, smoothing)
+        return F.when(nd > 0, value).otherwise(p if unseen == "prior" else F.lit(None).cast("double"))
+
+    per_fold = [enc(F.col("n") - F.col(f"n_{j}"), F.col("s") - F.col(f"s_{j}"), priors[j]) for j in range(k)]
+    fitted = raw.filter(F.col("col") != TOTAL).select(
+        "col", "value",
+        (F.array(*per_fold) if per_fold else F.array().cast("array<double>")).alias("enc"),
+        enc(F.col("n"), F.col("s"), prior_full_v).alias("enc_full"),
+        F.col("n"))
+    counts = {r["col"]: r["count"] for r in raw.groupBy("col").count().collect() if r["col"] != TOTAL}
     return TargetEncoding(fitted, list(cols), k, priors, prior_full_v, counts, unseen)
 
 

@@ -198,7 +198,7 @@ BIN_COLS = ["price", "bal"]
 
 @register("equal_width_bins", duck_with(
     "SELECT id, " + ", ".join(
-        f"coalesce(CAST(least(greatest(ceil(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 50)) - 1, 0), 49) AS INT), -1) "
+        f"CASE WHEN {c} IS NULL THEN -1 ELSE CAST(least(greatest(ceil(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 50)) - 1, 0), 49) AS INT) END "
         f"AS {c}_bin" for c in BIN_COLS) +
     " FROM policy CROSS JOIN (SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in BIN_COLS) +
     " FROM policy)", "policy"))

@@ -68,10 +68,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/foldwise-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage, survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing the frame once as Parquet below the reliable
+    checkpoint folder and reading it back.
+
+    Unlike an eager ``checkpoint()`` of an unpersisted plan (computed once for
+    the action and again for the checkpoint files) this runs the plan once;
+    the read-back carries file-size statistics for join planning and survives
+    executor loss (it never depends on executor-local blocks).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def broadcast_max_rows(spark: SparkSession) -> int:
