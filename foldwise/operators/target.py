@@ -121,10 +121,15 @@ def fit_target_encoding(df: DataFrame, cols: list[str], label: str = "target",
     """
     k = k if fold_col else 0
     raw = materialize(category_stats(df, cols, label, fold_col, k, with_total=True), "category-stats")
-    trows = raw.filter(F.col("col") == TOTAL).collect()
+    # one small job: per-column dictionary sizes, and the totals row itself
+    summary = raw.groupBy("col").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("n"), F.sum("s").alias("s"),
+        *[F.sum(f"{x}_{j}").alias(f"{x}_{j}") for j in range(k) for x in ("n", "s")]).collect()
+    trows = [r for r in summary if r["col"] == TOTAL]
     if not trows:
         raise ValueError("no labelled rows to fit target statistics on")
     trow = trows[0]
+    counts = {r["col"]: r["_rows"] for r in summary if r["col"] != TOTAL}
     tot_n, tot_s = trow["n"], trow["s"]
     priors = []
     for j in range(k):
@@ -146,7 +151,6 @@ def fit_target_encoding(df: DataFrame, cols: list[str], label: str = "target",
         (F.array(*per_fold) if per_fold else F.array().cast("array<double>")).alias("enc"),
         enc(F.col("n"), F.col("s"), prior_full_v).alias("enc_full"),
         F.col("n"))
-    counts = {r["col"]: r["count"] for r in raw.groupBy("col").count().collect() if r["col"] != TOTAL}
     return TargetEncoding(fitted, list(cols), k, priors, prior_full_v, counts, unseen)
 
 

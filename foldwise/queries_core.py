@@ -124,3 +124,52 @@ def q_gini_by_group(spark, sf_dir):
     s = fx.scores(spark, sf_dir).filter("split = 'train'")
     p = fx.policy(spark, sf_dir).select("id", "target")
     return round_doubles(me.gini(s.join(p, "id"), "target", "pred", ["model", "fold", "bag"]))
+
+
+# ---------------------------------------------------------------- lineitem scale
+LI_CATS = ["l_suppkey", "l_partkey", "l_linestatus", "l_linenumber"]
+LI_SQL = (f"SELECT l_orderkey AS id, l_linenumber, CAST(l_returnflag = 'R' AS INT) AS target, "
+          f"CAST({duck_hash_mod(1024, 'l_orderkey', 5)} AS INT) AS fold, l_suppkey, l_partkey, l_linestatus "
+          f"FROM lineitem")
+
+
+def lineitem_frame(spark, sf_dir):
+    """``lineitem`` as a supervised table: label ``l_returnflag = 'R'``; folds
+    are drawn per order (all lines of an order share a fold: group k-fold,
+    since ``(l_orderkey, l_linenumber)`` is not a unique row key)."""
+    from foldwise.functions.hashing import hash_mod
+    from foldwise.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), "l_linenumber",
+                     (F.col("l_returnflag") == "R").cast("int").alias("target"),
+                     hash_mod(1024, "l_orderkey", 5).cast("int").alias("fold"),
+                     "l_suppkey", "l_partkey", "l_linestatus")
+
+
+_b, _e = _oof_sql("li", "r.fold IS NOT NULL", LI_CATS, 20, 10, "_avg")
+
+
+@register("te_oof_lineitem", duck_with(_b, extra=[("li", LI_SQL)] + _e))
+def q_te_oof_lineitem(spark, sf_dir):
+    df = lineitem_frame(spark, sf_dir)
+    enc = te.target_encode_oof(df, LI_CATS, min_samples_leaf=20, smoothing=10)
+    return round_doubles(enc.select("id", "fold", *[c + "_avg" for c in LI_CATS]))
+
+
+@register("group_mean_count_lineitem", duck_with(" UNION ALL ".join(
+    f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, round(avg(CAST(target AS DOUBLE)), 6) AS mean, "
+    f"count(*) AS count FROM li WHERE {c} IS NOT NULL GROUP BY {c}" for c in LI_CATS), extra=[("li", LI_SQL)]))
+def q_group_mean_count_lineitem(spark, sf_dir):
+    s = te.category_stats(lineitem_frame(spark, sf_dir), LI_CATS)
+    return round_doubles(s.select("col", "value", (F.col("s") / F.col("n")).alias("mean"),
+                                  F.col("n").alias("count")))
+
+
+@register("gini_events", _gini_sql(
+    "src", "SELECT event_type, CAST(user_id % 2 = 0 AS INT) AS y, value AS pred FROM events",
+    ["event_type"], []))
+def q_gini_events(spark, sf_dir):
+    from foldwise.sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_type", (F.col("user_id") % 2 == 0).cast("int").alias("y"), F.col("value").alias("pred"))
+    return round_doubles(me.gini(ev, "y", "pred", ["event_type"]))

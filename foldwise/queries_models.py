@@ -157,3 +157,10 @@ def q_rbf_features(spark, sf_dir):
 def q_add_noise_level(spark, sf_dir):
     p = fx.policy(spark, sf_dir)
     return round_doubles(p.select("id", fn.add_noise(F.col("price"), 0.01, seed=7).alias("price_noisy")))
+
+
+@register("oof_bagged_seeds")
+def q_oof_bagged_seeds(spark, sf_dir):
+    """Bags share the folds; the learner seed moves by 100 per bag."""
+    df = model_frame(spark, sf_dir)
+    return _preds(oo.oof_train(df, mo.lookup("rgf1"), NUMS, te_cols=TE, bags=2, max_iter_cap=ITER_CAP))

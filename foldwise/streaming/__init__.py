@@ -1,0 +1,9 @@
+"""Streaming.
+
+The workload this library rebuilds has no streams: every input is a finished
+table and every statistic is fitted on a finished training set.  No streaming
+operator is provided.  The fitted transforms (target encodings, one-hot
+vocabularies, scalers, expression features) are plain column expressions and
+joins against small fitted tables, so they can be applied unchanged to a
+streaming DataFrame as stream-static joins; fitting itself stays a batch job.
+"""
