@@ -24,19 +24,17 @@ def register(name: str, oracle: str | None = None):
 
 
 def round_half_away(x, digits: int = 6):
-    """``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` in binary floating point.
+    """``round(x * 10^d) / 10^d`` with C ``round`` (half away from zero) on the
+    binary product, which is how SQL engines such as DuckDB round doubles.
 
-    Spark's ``round`` rounds the decimal form of the double (HALF_UP); SQL
-    engines usually scale the binary value.  Values with exactly d+1 decimals
-    (prices / constants) then round apart, so results meant for comparison use
-    this formula, which both sides evaluate bit for bit alike."""
+    ``F.round(x, d)`` instead rounds the decimal form of ``x`` itself, so values
+    with exactly d+1 decimals (prices / constants) round apart.  Rounding the
+    scaled product to 0 digits is exact: its shortest decimal form ends in .5
+    only when the double is exactly at a half."""
     m = float(10 ** digits)
-    v = x * F.lit(m)
-    av = F.abs(v)
-    fl = F.floor(F.when(av < 4503599627370496.0, av)).cast("double")
-    r = F.when(av >= 4503599627370496.0, av).otherwise(
-        F.when(av - fl >= 0.5, fl + 1.0).otherwise(fl))      # C round(): half away from zero
-    return F.when(v < 0, -r).otherwise(r) / F.lit(m)
+    r = F.round(x * F.lit(m), 0)
+    # BigDecimal has no negative zero; C round keeps the sign, and so does x * 0.0
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r / F.lit(m))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
