@@ -30,10 +30,15 @@ def cv_summary(preds: DataFrame, label_df: DataFrame, by: list[str] = ("model",
                id_col: str = "id", label: str = "target", score: str = "pred",
                fold_col: str = "fold") -> DataFrame:
     """Per ``by`` group the Gini of each fold, their mean and population std,
-    and the Gini of the whole out-of-fold prediction."""
+    and the Gini of the whole out-of-fold prediction.
+
+    Each OOF row is tagged twice, with its fold and with -1 ("all folds"), so
+    per-fold and overall Gini come from one ordered pass."""
     by = list(by)
     oof = preds.filter(F.col("split") == "train").join(label_df.select(id_col, label), id_col)
-    per_fold = gini(oof, label, score, by + [fold_col], "g")
-    summary = per_fold.groupBy(*by).agg(F.avg("g").alias("mean_gini"), F.stddev_pop("g").alias("std_gini"))
-    full = gini(oof, label, score, by, "full_gini")
+    tagged = oof.withColumn("_g", F.explode(F.array(F.col(fold_col).cast("int"), F.lit(-1))))
+    g = gini(tagged, label, score, by + ["_g"], "g")
+    summary = g.filter(F.col("_g") >= 0).groupBy(*by).agg(F.avg("g").alias("mean_gini"),
+                                                          F.stddev_pop("g").alias("std_gini"))
+    full = g.filter(F.col("_g") == -1).select(*by, F.col("g").alias("full_gini"))
     return summary.join(full, by)

@@ -44,7 +44,7 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
               fold_col: str = "fold", k: int = 5, bags: int = 1, seed: int = 1024, te_cols: Sequence[str] = (),
               te_params: tuple[float, float] = (200, 10), refold_per_bag: bool = False,
               upsample: bool = False, pos_weight: float | None = None, early_stop: bool = False,
-              max_iter_cap: int | None = None, parallelism: int = 4, id_col: str = "id",
+              max_iter_cap: int | None = None, parallelism: int | None = None, id_col: str = "id",
               split_col: str = "split") -> DataFrame:
     """X8 (+X9 re-drawn folds per bag, X10 learner seeds per bag, X11 upsampling,
     M1 early stopping on the held-out fold, M6 class weights)."""
@@ -106,7 +106,8 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
                            positive_probability().alias("pred"))
 
     tasks = [(b, j) for b in range(bags) for j in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    workers = parallelism or min(len(tasks), 8)
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
         parts = list(pool.map(one, tasks))
     out = parts[0]
     for p in parts[1:]:

@@ -36,7 +36,7 @@ def check_complete(frame: DataFrame, models: Sequence[str]) -> None:
 
 
 def stack_level(preds: DataFrame, labels: DataFrame, models: Sequence[str], spec: ModelSpec, k: int = 5,
-                seed: int = 1024, bags: int = 1, parallelism: int = 4, check: bool = True) -> DataFrame:
+                seed: int = 1024, bags: int = 1, parallelism: int | None = None, check: bool = True) -> DataFrame:
     """One stacking level: returns the next level's long prediction table."""
     frame = stack_frame(preds, labels, models, k, seed)
     if check:

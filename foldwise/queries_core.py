@@ -83,14 +83,6 @@ def q_kfold(spark, sf_dir):
     return fo.kfold(fx.policy(spark, sf_dir), 5, 1024).select("id", "split", "fold")
 
 
-GINI_PRICE_SQL = duck_with("""
-SELECT CAST(2.0 * sum(pos * (coalesce(below, 0) + neg / 2.0)) / (sum(pos) * sum(neg)) - 1.0 AS DOUBLE) AS gini
-FROM (SELECT pred, pos, neg,
-             sum(neg) OVER (ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
-      FROM (SELECT pred, sum(CAST(y AS DOUBLE)) AS pos, sum(1.0 - y) AS neg FROM src GROUP BY pred))""",
-    "policy", extra=[("src", "SELECT target AS y, price AS pred FROM policy WHERE split = 'train'")])
-
-
 def _gini_sql(src_name: str, src_sql: str, by: list[str], deps: list[str]) -> str:
     byc = ", ".join(by)
     part = f"PARTITION BY {byc} " if by else ""
