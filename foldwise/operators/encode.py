@@ -22,19 +22,41 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
     return dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+def _order_keys(df: DataFrame, c: str) -> list[Column]:
+    """Type-aware sort keys for one column, as (double, exact integer, string)."""
+    t = dict(df.dtypes)[c]
+    if t in ("tinyint", "smallint", "int", "bigint"):
+        return [F.col(c).cast("double"), F.col(c).cast("decimal(20,0)"), F.lit(None).cast("string")]
+    if t in ("float", "double"):
+        return [F.col(c).cast("double"), F.lit(None).cast("decimal(20,0)"), F.lit(None).cast("string")]
+    return [F.lit(None).cast("double"), F.lit(None).cast("decimal(20,0)"), F.col(c).cast("string")]
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
                  suffix: str = "") -> DataFrame:
     """Dense 0-based code over the sorted distinct values of ``fit`` (default:
     ``df`` itself, i.e. train and test together).  Numeric columns sort by value,
-    string columns lexicographically; NULL stays NULL."""
+    string columns lexicographically; NULL stays NULL.
+
+    All columns are numbered in one pass: distinct ``(col, value)`` pairs with
+    type-aware order keys, one bucketed running count per column, then each
+    column's slice is joined back (broadcast when its size is under the bound).
+    """
     fit = fit if fit is not None else df
+    entries = []
+    for c in cols:
+        k = _order_keys(fit, c)
+        entries.append(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("_v"),
+                                k[0].alias("_o1"), k[1].alias("_o2"), k[2].alias("_o3")))
+    long = fit.select(F.inline(F.array(*entries)))            # one scan for all columns
+    distinct = long.filter(F.col("_v").isNotNull()).distinct()
+    codes = dense_codes(distinct, ["col"], ["_o1", "_o2", "_o3", "_v"], "_code")
+    sizes = {r["col"]: r["count"] for r in codes.groupBy("col").count().collect()}
     out = df
     for c in cols:
-        d = fit.select(F.col(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-        codes = dense_codes(d, [], ["_v"], "_code")
-        n = codes.count()
-        side = codes.select(F.col("_v").alias(f"_v_{c}"), F.col("_code").cast("int").alias(f"_c_{c}"))
-        out = join_stats(out, side, out[c] == side[f"_v_{c}"], "left", n_stats=n) \
+        side = codes.filter(F.col("col") == c).select(F.col("_v").alias(f"_v_{c}"),
+                                                      F.col("_code").cast("int").alias(f"_c_{c}"))
+        out = join_stats(out, side, out[c].cast("string") == side[f"_v_{c}"], "left", n_stats=sizes.get(c, 0)) \
             .withColumn(c + suffix, F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}")
     return out
 
@@ -43,18 +65,27 @@ def interact(df: DataFrame, pairs: Sequence[tuple[str, str]], template: str = "{
              fit: DataFrame | None = None) -> DataFrame:
     """Code of the pair ``(a, b)`` over the distinct pairs of ``fit``
     (train and test together).  Codes follow the numeric order of ``(a, b)``;
-    NULL is a value of its own (sorted first) as the reference's ``str(nan)``."""
+    NULL is a value of its own (sorted first) as the reference's ``str(nan)``.
+    All pairs are numbered in one pass, as in ``label_encode``."""
     fit = fit if fit is not None else df
+    entries = []
+    for a, b in pairs:
+        ka, kb = _order_keys(fit, a), _order_keys(fit, b)
+        entries.append(F.struct(
+            F.lit(template.format(a=a, b=b)).alias("pair"),
+            F.col(a).cast("string").alias("_va"), F.col(b).cast("string").alias("_vb"),
+            *[k.alias(f"_a{i}") for i, k in enumerate(ka)], *[k.alias(f"_b{i}") for i, k in enumerate(kb)]))
+    distinct = fit.select(F.inline(F.array(*entries))).distinct()
+    order = ["_a0", "_a1", "_a2", "_va", "_b0", "_b1", "_b2", "_vb"]
+    codes = dense_codes(distinct, ["pair"], order, "_code")
+    sizes = {r["pair"]: r["count"] for r in codes.groupBy("pair").count().collect()}
     out = df
     for a, b in pairs:
         name = template.format(a=a, b=b)
-        d = fit.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
-        codes = dense_codes(d, [], ["_a", "_b"], "_code")
-        n = codes.count()
-        side = codes.select(F.col("_a").alias("_ia"), F.col("_b").alias("_ib"),
-                            F.col("_code").cast("int").alias("_ic"))
-        cond = out[a].eqNullSafe(side["_ia"]) & out[b].eqNullSafe(side["_ib"])
-        out = join_stats(out, side, cond, "left", n_stats=n) \
+        side = codes.filter(F.col("pair") == name).select(
+            F.col("_va").alias("_ia"), F.col("_vb").alias("_ib"), F.col("_code").cast("int").alias("_ic"))
+        cond = out[a].cast("string").eqNullSafe(side["_ia"]) & out[b].cast("string").eqNullSafe(side["_ib"])
+        out = join_stats(out, side, cond, "left", n_stats=sizes.get(name, 0)) \
             .withColumn(name, F.col("_ic")).drop("_ia", "_ib", "_ic")
     return out
 

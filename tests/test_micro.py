@@ -137,3 +137,11 @@ def test_label_encode_and_immutability(spark):
     out = en.label_encode(df, ["c"], suffix="_code")
     assert "c_code" not in df.columns          # N18: inputs are never modified
     assert {r["id"]: r["c_code"] for r in out.collect()} == {1: 1, 2: 0, 3: None}
+
+
+def test_label_encode_batched_mixed_types(spark):
+    # numeric columns sort by value (9 < 10), strings lexicographically, in one pass
+    df = spark.createDataFrame([(1, 10, "b", 2.5), (2, 9, "a", -1.0), (3, 100, "b", None)],
+                               "id long, n int, s string, d double")
+    out = {r["id"]: (r["n"], r["s"], r["d"]) for r in en.label_encode(df, ["n", "s", "d"]).collect()}
+    assert out == {1: (1, 1, 1), 2: (0, 0, 0), 3: (2, 1, None)}
