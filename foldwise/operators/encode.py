@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.joins import join_stats
 from foldwise.operators.ordered import dense_codes
+from foldwise.operators.scale import stat_lit, stats_row
 from foldwise.operators.stats import exact_medians, missing_count
 
 
@@ -167,19 +168,15 @@ def one_hot_lowcard(df: DataFrame, cols: Sequence[str], fit: DataFrame,
 
 def mean_median_flags(df: DataFrame, cols: Sequence[str], fit: DataFrame) -> DataFrame:
     """``c_median_range = x > median``, ``c_mean_range = x > mean`` with the
-    statistics of ``fit`` (train); NULL compares as false.  The statistics form
-    one row, cross-joined by broadcast (J5)."""
-    med = exact_medians(fit, cols)
-    means = fit.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in cols])
-    med_row = med.groupBy().pivot("col", list(cols)).agg(F.first("median"))
-    med_row = med_row.select(*[F.col(c).alias(f"_med_{c}") for c in cols])
-    stats = means.crossJoin(med_row)
-    j = df.crossJoin(F.broadcast(stats))
+    statistics of ``fit`` (train); NULL compares as false.  The statistics are
+    a few numbers per column, applied as literals (J5)."""
+    med = {r["col"]: r["median"] for r in exact_medians(fit, cols).collect()}      # one row per column
+    means = stats_row(fit, [F.avg(F.col(c).cast("double")).alias(c) for c in cols])
     flags = []
     for c in cols:
-        flags.append(F.coalesce((F.col(c) > F.col(f"_med_{c}")).cast("int"), F.lit(0)).alias(f"{c}_median_range"))
-        flags.append(F.coalesce((F.col(c) > F.col(f"_mean_{c}")).cast("int"), F.lit(0)).alias(f"{c}_mean_range"))
-    return j.select(*df.columns, *flags)
+        flags.append(F.coalesce((F.col(c) > stat_lit(med.get(c))).cast("int"), F.lit(0)).alias(f"{c}_median_range"))
+        flags.append(F.coalesce((F.col(c) > stat_lit(means[c])).cast("int"), F.lit(0)).alias(f"{c}_mean_range"))
+    return df.select(*df.columns, *flags)
 
 
 def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 50, fit: DataFrame | None = None,
@@ -187,16 +184,16 @@ def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 50, fit: Da
     """``pd.cut(x, bins, labels=False)``: right-closed equal-width bins over
     the range of ``fit``; the minimum falls in bin 0; NULL -> ``missing``."""
     fit = fit if fit is not None else df
-    rng = fit.agg(*[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(rng))
+    rng = stats_row(fit, [F.min(c).cast("double").alias(f"_lo_{c}") for c in cols] +
+                    [F.max(c).cast("double").alias(f"_hi_{c}") for c in cols])
     out = []
     for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        lo, hi = stat_lit(rng[f"_lo_{c}"]), stat_lit(rng[f"_hi_{c}"])
         w = (hi - lo) / bins
         b = F.least(F.greatest(F.ceil((F.col(c) - lo) / w) - 1, F.lit(0)), F.lit(bins - 1))
         # greatest/least skip NULLs, so the missing case is explicit
         out.append(F.when(F.col(c).isNull(), F.lit(missing)).otherwise(b.cast("int")).alias(c + suffix))
-    return j.select(*df.columns, *out)
+    return df.select(*df.columns, *out)
 
 
 def unpack_int(df: DataFrame, col: str, sentinel: float = -1, a_name: str | None = None,
@@ -227,8 +224,7 @@ def missing_count_scaled(df: DataFrame, cols: Sequence[str], fit_filter: Column
     ``fit_filter`` rows (train), applied to all rows."""
     with_cnt = missing_count(df, cols, "_miss")
     fit = with_cnt.filter(fit_filter) if fit_filter is not None else with_cnt
-    rng = fit.agg(F.min("_miss").alias("_mlo"), F.max("_miss").alias("_mhi"))
-    j = with_cnt.crossJoin(F.broadcast(rng))
-    span = F.col("_mhi") - F.col("_mlo")
-    scaled = F.when(span > 0, (F.col("_miss") - F.col("_mlo")) / span).otherwise(F.lit(0.0))
-    return j.select(*df.columns, scaled.cast("double").alias(out))
+    rng = stats_row(fit, [F.min("_miss").cast("double").alias("lo"), F.max("_miss").cast("double").alias("hi")])
+    lo, hi = stat_lit(rng["lo"]), stat_lit(rng["hi"])
+    scaled = F.when(hi - lo > 0, (F.col("_miss") - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    return with_cnt.select(*df.columns, scaled.cast("double").alias(out))

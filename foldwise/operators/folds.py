@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_mod
+from foldwise.operators.joins import join_stats
 
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 1024, id_col: str = "id",
@@ -37,7 +38,8 @@ def kfold_stratified(df: DataFrame, k: int = 5, seed: int = 1024, label: str = "
     w_off = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     w = Window.partitionBy(label, "_b").orderBy("_h", id_col)
-    numbered = lab.join(F.broadcast(offsets), [label, "_b"]) \
+    n_off = counts.count()          # classes x 16**prefix_hex at most
+    numbered = join_stats(lab, offsets, [label, "_b"], "inner", n_stats=n_off) \
         .withColumn(out, F.pmod(F.col("_off") + F.row_number().over(w) - 1, F.lit(k)).cast("int")) \
         .drop("_h", "_b", "_off")
     unlabelled = df.filter(F.col(label).isNull()).withColumn(out, F.lit(None).cast("int"))

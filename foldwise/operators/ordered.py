@@ -3,8 +3,9 @@
 Rows are range-partitioned on ``(groups, order)`` into buckets and the bucket
 id is stored with a reliable checkpoint, so both uses below see the same
 buckets even if a task is re-run.  Bucket totals (at most ``buckets + groups``
-rows, a proven bound) get their own running sum and are broadcast back as
-offsets; inside a bucket an ordinary window finishes the job.  Callers pass
+rows) get their own running sum and are joined back as offsets, broadcast
+when their counted size is under the bound; inside a bucket an ordinary
+window finishes the job.  Callers pass
 rows that are already aggregated to one row per order key (distinct scores,
 distinct values), so a hot key costs one row, not a third of the data.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.joins import join_stats
 from foldwise.session import default_buckets, materialize
 
 
@@ -33,8 +35,9 @@ def running_sums(df: DataFrame, groups: list[str], order: list[str], sums: list[
                               for c in sums])
     w_in = Window.partitionBy(*groups, "_bkt").orderBy(*[F.col(c).asc_nulls_first() for c in order]) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(offsets), on=groups + ["_bkt"], how="inner") if groups else \
-        ranged.join(F.broadcast(offsets), on=["_bkt"], how="inner")
+    # offsets have at most buckets + groups rows; the count is checked before broadcasting
+    n_off = totals.count()
+    joined = join_stats(ranged, offsets, groups + ["_bkt"], "inner", n_stats=n_off)
     out = joined.select(*df.columns,
                         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0))).alias(f"{c}{suffix}")
                           for c in sums])

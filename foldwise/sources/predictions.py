@@ -31,10 +31,11 @@ def run_names(summary: DataFrame, stamp: str) -> DataFrame:
 
 def write_predictions(preds: DataFrame, summary: DataFrame, stamp: str, path: str | None = None) -> str:
     """Final predictions partitioned by (run, split); scores in the run name.
-    The run table has one row per model, so it is broadcast."""
+    The run table has one row per model (counted before it is broadcast)."""
+    from foldwise.operators.joins import join_stats
     path = path or scratch_path(preds.sparkSession, "predictions")
     runs = run_names(summary, stamp)
-    final_predictions(preds).join(F.broadcast(runs), "model") \
+    join_stats(final_predictions(preds), runs, "model", "inner", n_stats=runs.count()) \
         .select("id", "pred", "run", "split") \
         .write.partitionBy("run", "split").parquet(path)
     return path
