@@ -35,8 +35,8 @@ def running_sums(df: DataFrame, groups: list[str], order: list[str], sums: list[
                               for c in sums])
     w_in = Window.partitionBy(*groups, "_bkt").orderBy(*[F.col(c).asc_nulls_first() for c in order]) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    # offsets have at most buckets + groups rows; the count is checked before broadcasting
-    n_off = totals.count()
+    # offsets: at most ``n`` rows without groups (proven), else counted before broadcasting
+    n_off = n if not groups else totals.count()
     joined = join_stats(ranged, offsets, groups + ["_bkt"], "inner", n_stats=n_off)
     out = joined.select(*df.columns,
                         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0))).alias(f"{c}{suffix}")
