@@ -18,7 +18,7 @@ from foldwise.sources.fixtures import duck_with
 from foldwise.sources.tables import read_table
 
 NUMS = ["prio_cat", "nation_cat", "month_cat", "debt_bin", "price", "bal", "age"]
-TE = ["prio_cat", "nation_cat", "seg_cat", "month_cat", "cust_cat"]
+TE = [c for c in fx.FEATURES if "_cat" in c]          # FeatureSpec.te_marker convention
 ITER_CAP = 20
 
 

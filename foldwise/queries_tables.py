@@ -194,12 +194,15 @@ def q_impute_mean(spark, sf_dir):
                                                 "price", "bal", "age"]) +
     " AS missing, round(price * bal, 6) AS price_x_bal FROM policy", "policy"))
 def q_compose_pipeline(spark, sf_dir):
-    steps = [(sh.drop_prefix, {"prefix": "calc_"}),
+    from foldwise.spec import FeatureSpec
+    spec = FeatureSpec()                      # roles from name conventions (P3)
+    p = fx.policy(spark, sf_dir)
+    kept = [c for c in spec.features(p) if c not in spec.droppable(p) and c != "seg_cat"]
+    steps = [(sh.drop_prefix, {"prefix": spec.drop_prefix}),
              (sh.drop_columns, {"names": ["seg_cat"]}),
-             (st.missing_count, {"cols": ["prio_cat", "nation_cat", "cust_cat", "month_cat", "debt_bin",
-                                          "price", "bal", "age"]}),
+             (st.missing_count, {"cols": kept}),
              (en.product_feature, {"a": "price", "b": "bal"})]
-    return round_doubles(sh.compose(fx.policy(spark, sf_dir), steps))
+    return round_doubles(sh.compose(p, steps))
 
 
 @register("add_placeholder", duck_with(
