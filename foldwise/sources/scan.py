@@ -21,7 +21,14 @@ def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = Non
             r = r.option("nullValue", sentinel)
         if schema is None:
             raise ValueError("CSV scans need an explicit schema")
-        return r.schema(schema).csv(path)
+        df = r.schema(schema).csv(path)
+        if sentinel is not None:
+            # nullValue matches text only ("-1" but not "-1.0"): fold typed values too
+            numeric = [f.name for f in schema.fields
+                       if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType,
+                                                  T.FloatType, T.DoubleType))]
+            df = sentinel_as_null(df, numeric, float(sentinel))
+        return df
     r = spark.read
     if schema is not None:
         r = r.schema(schema)

@@ -93,3 +93,27 @@ def test_rbf_features_match_numpy(spark):
     for i, v in [(1, [0.0, 1.0]), (2, [3.0, 4.0])]:
         want = tuple(float(np.exp(-0.5 * np.linalg.norm(np.array(v) - np.array(c)))) for _, c in centers)
         assert got[i] == pytest.approx(want)
+
+
+def test_csv_scan_with_sentinel_and_expected_rows(spark):
+    from pyspark.sql import types as T
+
+    from foldwise.session import scratch_path
+    from foldwise.sources.scan import read_frame, read_labelled
+    path = scratch_path(spark, "csv-fixture")
+    src = fx.policy(spark, SF_SMALL, sentinel_null=False).select("id", "target", "split", "age", "bal")
+    src.drop("split").write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("target", T.IntegerType()),
+                           T.StructField("age", T.IntegerType()), T.StructField("bal", T.DoubleType())])
+    df = read_frame(spark, path, schema, fmt="csv", sentinel="-1")
+    n_sent = src.filter("age = -1").count()
+    assert df.filter("age IS NULL").count() == n_sent and df.filter("age = -1").count() == 0
+    assert df.filter("bal IS NULL").count() == src.filter("bal = -1").count() > 0
+    train = df.filter(F.col("id") % 5 != 0)
+    test = df.filter(F.col("id") % 5 == 0).drop("target")
+    both = read_labelled(train, test, expect=(train.count(), test.count()))
+    assert both.filter("split = 'test' AND target IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        read_labelled(train, test, expect=(1, 1))
+    with pytest.raises(ValueError):
+        read_frame(spark, path, None, fmt="csv")
