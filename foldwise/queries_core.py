@@ -165,3 +165,32 @@ def q_gini_events(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select(
         "event_type", (F.col("user_id") % 2 == 0).cast("int").alias("y"), F.col("value").alias("pred"))
     return round_doubles(me.gini(ev, "y", "pred", ["event_type"]))
+
+
+# ------------------------------------------------------- documents x labels
+DOC_CATS = ["lang", "source"]
+DOC_SQL = (f"SELECT d.doc_id AS id, l.quality AS target, d.lang, d.source, "
+           f"CASE WHEN l.quality IS NOT NULL THEN CAST({duck_hash_mod(1024, 'd.doc_id', 5)} AS INT) END AS fold "
+           f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+
+
+def documents_frame(spark, sf_dir):
+    """Second supervised fixture: every document, label ``quality`` where
+    ``labels`` has one (unlabelled documents play the test side)."""
+    from foldwise.functions.hashing import hash_mod
+    from foldwise.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id", "left")
+    return j.select(F.col("doc_id").alias("id"), F.col("quality").alias("target"), "lang", "source",
+                    F.when(F.col("quality").isNotNull(), hash_mod(1024, "doc_id", 5).cast("int")).alias("fold"))
+
+
+_b, _e = _oof_sql("docs", "r.fold IS NOT NULL", DOC_CATS, 20, 10, "_avg")
+
+
+@register("te_oof_documents", duck_with(_b, extra=[("docs", DOC_SQL)] + _e))
+def q_te_oof_documents(spark, sf_dir):
+    df = documents_frame(spark, sf_dir)
+    enc = te.target_encode_oof(df, DOC_CATS, label="target", min_samples_leaf=20, smoothing=10)
+    return round_doubles(enc.select("id", "fold", *[c + "_avg" for c in DOC_CATS]))

@@ -72,6 +72,8 @@ def q_interact_plus(spark, sf_dir):
 # ------------------------------------------------------------- E4, E5, E6
 def _sparse(df, key, new_cols):
     """Indicator columns as sparse pairs (key, feature) where the indicator is 1."""
+    if not new_cols:           # nothing passed the threshold/gate: no pairs
+        return df.select(key, F.lit(None).cast("string").alias("feature")).filter(F.lit(False))
     long = df.select(key, *[F.col(f"`{c}`").alias(c) for c in new_cols]).unpivot([key], new_cols, "feature", "on")
     return long.filter(F.col("on") == 1).select(key, "feature")
 

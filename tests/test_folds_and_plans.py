@@ -78,3 +78,24 @@ def test_union_split_test_label_is_null(spark):
     test = spark.createDataFrame([(2,)], "id long")
     out = {r["id"]: r["target"] for r in fo.union_split(train, test).collect()}
     assert out == {1: 1, 2: None}      # N16: never 0 / never imputed
+
+
+def test_no_unpartitioned_window_over_rows_in_any_query(spark):
+    """Every Window with an empty partition spec must be a bucket-offset window
+    (ordered by ``_bkt``, at most ``buckets`` rows); none runs over the data."""
+    import re
+
+    import __spark_entry__ as se
+    from conftest import SF_SMALL
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    qs, orc = se.queries(), se.oracle_sql()
+    seen, bad = 0, []
+    for name in sorted(orc):
+        plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            if re.search(r"\bWindow \[", line):
+                seen += 1
+                if re.search(r"\], \[\], \[", line) and "_bkt" not in line.split("], [], [")[-1]:
+                    bad.append((name, line.strip()[:200]))
+    assert seen > 0
+    assert not bad, bad
