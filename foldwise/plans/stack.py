@@ -30,7 +30,7 @@ def stack_frame(preds: DataFrame, labels: DataFrame, models: Sequence[str], k: i
 
 
 def check_complete(frame: DataFrame, models: Sequence[str]) -> None:
-    bad = frame.filter(" OR ".join(f"`{m}` IS NULL" for m in models)).limit(1).count()
+    bad = not frame.filter(" OR ".join(f"`{m}` IS NULL" for m in models)).isEmpty()
     if bad:
         raise ValueError("prediction table is missing a model for some id (file pairs out of step?)")
 

@@ -16,7 +16,7 @@ from foldwise.session import scratch_path
 
 
 def assert_unique(df: DataFrame, key: str, what: str) -> None:
-    dup = df.groupBy(key).count().filter(F.col("count") > 1).limit(1).count()
+    dup = not df.groupBy(key).count().filter(F.col("count") > 1).isEmpty()
     if dup:
         raise ValueError(f"{what}: key {key!r} is not unique")
 
