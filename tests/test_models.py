@@ -74,3 +74,12 @@ def test_param_points_are_reproducible_and_sanitised():
     s = [param_sanitise(p, ["max_depth", "num_leaves"], ["subsample"], ("num_leaves", "max_depth")) for p in a]
     assert all(isinstance(p["max_depth"], int) and 0 <= p["subsample"] <= 1 for p in s)
     assert all(p["num_leaves"] <= 2 ** p["max_depth"] for p in s)
+
+
+def test_oof_with_class_weights_runs(spark):
+    # M6: scale_pos_weight through weightCol on a tree learner
+    df = model_frame(spark, "/root/testdata/sf0.001")
+    preds = oo.oof_train(df, mo.lookup("rgf1"), NUMS, pos_weight=1.5, max_iter_cap=5)
+    n_train = df.filter("split = 'train'").count()
+    assert preds.filter("split = 'train'").count() == n_train
+    assert preds.filter("pred IS NULL OR pred < 0 OR pred > 1").count() == 0
