@@ -70,7 +70,10 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
             else:
                 te_models[b] = te_models[0]
             base = attach_fold_encodings(base, te_models[b], prefix=f"_te{b}_")
-    prepared = materialize(base)
+    # only what the fold models read is written (column pruning before the copy)
+    arrays = [f"_te{b}_{c}" for b in range(bags) if te_models[b] is not None for c in te_models[b].cols]
+    keep = list(dict.fromkeys([id_col, split_col, label, *fold_cols, *features, *arrays]))
+    prepared = materialize(base.select(*keep), "oof-prepared")
 
     sizes = {}
     for b, fc in enumerate(fold_cols):
