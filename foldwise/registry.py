@@ -27,14 +27,17 @@ def round_half_away(x, digits: int = 6):
     """``round(x * 10^d) / 10^d`` with C ``round`` (half away from zero) on the
     binary product, which is how SQL engines such as DuckDB round doubles.
 
-    ``F.round(x, d)`` instead rounds the decimal form of ``x`` itself, so values
-    with exactly d+1 decimals (prices / constants) round apart.  Rounding the
-    scaled product to 0 digits is exact: its shortest decimal form ends in .5
-    only when the double is exactly at a half."""
+    ``F.round(x, d)`` instead rounds the decimal form of ``x`` (HALF_UP through
+    BigDecimal): values with exactly d+1 decimals round apart, and it is slow.
+    Here ``|v| - floor(|v|)`` is exact, so comparing it with 0.5 is C ``round``;
+    ``signum`` restores the sign (and keeps -0.0); from 2^52 on, ``v`` is
+    already an integer."""
     m = float(10 ** digits)
-    r = F.round(x * F.lit(m), 0)
-    # BigDecimal has no negative zero; C round keeps the sign, and so does x * 0.0
-    return F.when(r == 0, x * F.lit(0.0)).otherwise(r / F.lit(m))
+    v = x * F.lit(m)
+    av = F.abs(v)
+    fl = F.floor(av).cast("double")
+    r = fl + (av - fl >= 0.5).cast("double")
+    return F.when(av >= 4503599627370496.0, v).otherwise(F.signum(v) * r) / F.lit(m)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
