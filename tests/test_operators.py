@@ -117,3 +117,17 @@ def test_csv_scan_with_sentinel_and_expected_rows(spark):
         read_labelled(train, test, expect=(1, 1))
     with pytest.raises(ValueError):
         read_frame(spark, path, None, fmt="csv")
+
+
+def test_scan_spread_guard(spark):
+    from foldwise.sources.tables import SPREAD_CONF, read_table
+    n = spark.sparkContext.defaultParallelism
+    big = read_table(spark, "/root/testdata/sf0.1", "lineitem")        # 10 MB, one row group
+    small = read_table(spark, "/root/testdata/sf0.1", "nation")        # tiny: never spread
+    assert big.rdd.getNumPartitions() == n
+    assert small.rdd.getNumPartitions() == 1
+    spark.conf.set(SPREAD_CONF, "false")
+    try:
+        assert read_table(spark, "/root/testdata/sf0.1", "lineitem").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set(SPREAD_CONF, "true")
