@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import read
+from foldwise.llm.langid import predict_languages
+from foldwise.llm.ngram_join import similar_texts
+from foldwise.llm.quality_rules import quality_verdicts
 from foldwise.llm.sharding import shard_documents
+from foldwise.llm.toxicity import score_toxicity
 from foldwise.llm.warc import archive_pages
 
 QUERIES: dict = {}
@@ -43,3 +47,61 @@ def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archive_pages(read(spark, sf_dir, "pages"))
     return back.filter(F.col("reason").isNull()).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k FROM documents),
+     w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+     tri AS (SELECT DISTINCT k, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS g, i
+             FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+     rep AS (SELECT k, i FROM tri QUALIFY count(*) OVER (PARTITION BY k, g) >= 2),
+     cov AS (SELECT k, count(DISTINCT i + s) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS v(s) GROUP BY k),
+     dl AS (SELECT k, count(*) - count(DISTINCT l) AS n_dup_lines
+            FROM (SELECT DISTINCT ON (k, p) k, p, l FROM
+                  (SELECT k, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS p FROM w))
+            WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY k),
+     pos AS (SELECT DISTINCT source, k, p, lower(l) AS l FROM
+             (SELECT source, k, unnest(string_split(t, chr(10))) AS l,
+                     unnest(range(len(string_split(t, chr(10))))) AS p FROM w)),
+     nl AS (SELECT source, k, p, array_to_string(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), ' ') AS line,
+                   len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n FROM pos),
+     few AS (SELECT * FROM nl WHERE n BETWEEN 1 AND 30),
+     host AS (SELECT source, count(DISTINCT k) AS hd FROM w GROUP BY source),
+     freq AS (SELECT f.source, line FROM few f JOIN host h ON f.source IS NOT DISTINCT FROM h.source
+              GROUP BY f.source, line, hd HAVING count(DISTINCT k) > 20 AND count(DISTINCT k) > hd * 0.01),
+     gone AS (SELECT f.source, k, sum(n) AS removed FROM few f JOIN freq q
+              ON f.source IS NOT DISTINCT FROM q.source AND f.line = q.line GROUP BY f.source, k),
+     s AS (SELECT doc_id, source, k, len(ws) AS n_words,
+                  length(array_to_string(ws, '')) AS word_chars,
+                  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+     j AS (SELECT s.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                  coalesce(removed, 0) AS removed
+           FROM s LEFT JOIN dl ON s.k = dl.k LEFT JOIN cov ON s.k = cov.k
+           LEFT JOIN gone g ON s.k = g.k AND s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       CAST(removed AS BIGINT) AS removed_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed >= n_words * 0.5 AS kept
+FROM j
+""")
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the cross-document line rule over all documents."""
+    return quality_verdicts(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return similar_texts(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that are not held out."""
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
