@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import read
 from foldwise.llm.langid import predict_languages
+from foldwise.llm.license_scan import scan_licenses
 from foldwise.llm.ngram_join import similar_texts
+from foldwise.llm.packing import pack_documents
 from foldwise.llm.quality_rules import quality_verdicts
 from foldwise.llm.sharding import shard_documents
+from foldwise.llm.suffix_dedup import repeat_report
 from foldwise.llm.toxicity import score_toxicity
 from foldwise.llm.warc import archive_pages
 
@@ -105,3 +108,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from labels that are not held out."""
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of four permitted lengths."""
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with their wording differences."""
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in 400-byte strings that occur anywhere else."""
+    return repeat_report(read(spark, sf_dir, "documents"))
