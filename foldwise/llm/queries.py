@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import read
+from foldwise.llm.decontam import find_leaks
 from foldwise.llm.langid import predict_languages
 from foldwise.llm.license_scan import scan_licenses
 from foldwise.llm.ngram_join import similar_texts
@@ -126,3 +127,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in 400-byte strings that occur anywhere else."""
     return repeat_report(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or as a paraphrase."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k1", "k2")
