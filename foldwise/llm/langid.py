@@ -120,8 +120,9 @@ def learn(rows: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) -> dict
                     seen += counts > 0
                     langs[lang] = langs.get(lang, 0) + 1
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": at, "lang": [None] * len(at), "n": seen[at]})
-        yield pd.DataFrame({"bucket": [-1] * len(langs), "lang": list(langs), "n": list(langs.values())})
+        if len(at):
+            yield pd.DataFrame({"bucket": at, "lang": [None] * len(at), "n": seen[at]})
+            yield pd.DataFrame({"bucket": [-1] * len(langs), "lang": list(langs), "n": list(langs.values())})
 
     # bounded: one row per bucket and language
     table = (rows.select("text", "lang").mapInPandas(frequencies, "bucket long, lang string, n long")
@@ -164,7 +165,8 @@ def learn(rows: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) -> dict
         letters = letter_table()
         for pdf in batches:
             got = featured(pdf, letters)
-            yield pd.DataFrame({"y": [y for *_, y in got], "logits": [list(x @ w[at]) for at, x, _ in got]})
+            if got:
+                yield pd.DataFrame({"y": [y for *_, y in got], "logits": [list(x @ w[at]) for at, x, _ in got]})
 
     held = sample.filter(kept).select("text", "lang").mapInPandas(logits, "y int, logits array<double>").toPandas()
     if len(held):

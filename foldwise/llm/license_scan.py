@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUES = (r"(?i)\b(licen[sc]ed?|copyright(ed)?|copyleft|spdx|public domain|creative commons|all rights reserved"
+CUES = (r"(?i)\b((un)?licen[sc]ed?|copyright(ed)?|copyleft|spdx|public domain|creative commons|all rights reserved"
         r"|permission is hereby granted|redistribution and use|free software)\b")
 FINALISTS, MAX_DIFFERENCE, LEVEL = 5, 0.2, 19
 LONGEST_LINE = 2000           # characters around a cue that are looked at when a line is longer

@@ -76,7 +76,7 @@ def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> dict:
     singles = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("xc"))
     every = singles.agg(F.sum("xc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     # characters never seen keep a share, so no probability is zero
-    base = (F.col("xc") + F.lit(0.5)) / F.lit(float(every["n"]) + 0.5 * (every["k"] + 1))
+    base = (F.col("xc") + F.lit(0.5)) / F.lit(float(every["n"] or 0) + 0.5 * ((every["k"] or 0) + 1))
     shared = (pairs.join(heads, "h").join(singles, "x")
               .select("h", "x", ((F.col("c") - d) / F.col("hc") + F.col("hk") * d / F.col("hc") * base).alias("low")))
     back = lambda k, n: F.when(F.col(n) > 0, F.col(k) * d / F.col(n)).otherwise(1.0)
@@ -152,8 +152,9 @@ def learn(rows: DataFrame) -> dict:
 
         def flush():
             for toxic, c in held.items():
-                yield pd.DataFrame({"word": list(c), "toxic": [toxic] * len(c), "n": list(c.values())})
-                c.clear()
+                if c:
+                    yield pd.DataFrame({"word": list(c), "toxic": [toxic] * len(c), "n": list(c.values())})
+                    c.clear()
 
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
