@@ -8,6 +8,7 @@ over all texts, without ever sorting the whole corpus in one place:
    distances.  Consecutive windows with one anchor make a piece (their bytes).
 2. Anchors that occur once hold no repeated window.  Equal pieces, counted over
    all texts, are repeated throughout.
+   Pieces that repeat inside one text (long runs) become one row with a count first.
 3. Left are single pieces that share their anchor with different pieces (about
    a twentieth of the text).  The pieces of one anchor are suffix-sorted together
    (``suffix_sort``; the shared core is one symbol), and two windows are equal if and only
@@ -44,7 +45,7 @@ from foldwise.operators.joins import join_stats
 
 LENGTH, CORE = 400, 256
 PIECES = 512                  # different pieces of one anchor that are sorted together
-BLOCK_PIECES = 4000           # pieces a task sorts side by side
+BLOCK_PIECES = 1500           # pieces a task sorts side by side
 CHUNK = 1 << 19               # windows of one text handled at a time (positions fit 20 bits)
 
 
@@ -103,16 +104,32 @@ class Anchors:
         return cores[anchor].view(np.int64), pieces.view(np.int64), lo + at, hi + at, anchor + at
 
 
+def once(h, p, lo, hi, at, length: int) -> tuple:
+    """Each different piece of a text once, with its count; and the spans of those that repeat."""
+    order = np.lexsort((lo, p, h))
+    new = np.append(True, (h[order[1:]] != h[order[:-1]]) | (p[order[1:]] != p[order[:-1]]))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(order)))
+    if len(first) == len(order):
+        return h, p, lo, hi, at, np.ones(len(h), np.int64), [], []
+    twice = order[np.repeat(times > 1, times)]
+    keep = order[first]
+    own = merge_spans(lo[twice], hi[twice] + length)
+    return h[keep], p[keep], lo[keep], hi[keep], at[keep], times, own[::2], np.array(own[1::2]) - length
+
+
 def _anchor_rows(texts: DataFrame, length: int, core: int) -> DataFrame:
-    names = ("h", "p", "lo", "hi", "at")
+    names = ("h", "p", "lo", "hi", "at", "times", "own_lo", "own_hi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, core)
         for batch in batches:
-            found = [anchors.of(x.as_buffer().to_pybytes()) for x in batch.column("text")]
-            offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in found]) if found else [],
-                                                                pa.int64())) for i in range(len(names))]
+            found = [once(*anchors.of(x.as_buffer().to_pybytes()), length) for x in batch.column("text")]
+            lists = []
+            for i in range(len(names)):
+                offsets = pa.array(np.cumsum([0, *(len(x[i]) for x in found)]), pa.int32())
+                values = np.concatenate([np.asarray(x[i], np.int64) for x in found]) if found else []
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *lists], ["k1", "k2", *names])
 
     return texts.mapInArrow(work, "k1 long, k2 long, " + ", ".join(f"{c} array<long>" for c in names))
@@ -221,21 +238,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     scratch = Scratch(spark, "suffix-dedup")
     body = F.col(text).cast("string")
     rows = docs.filter(F.octet_length(body) >= length).select(*text_key(body), body.cast("binary").alias("text"))
-    parts = ["h", "p", "lo", "hi", "at"]
+    parts = ["h", "p", "lo", "hi", "at", "times"]
     texts = _anchor_rows(rows, length, core).groupBy("k1", "k2").agg(
-        *[F.first(c).alias(c) for c in parts], F.count(F.lit(1)).alias("w"))
+        *[F.first(c).alias(c) for c in [*parts, "own_lo", "own_hi"]], F.count(F.lit(1)).alias("copies"))
     texts = scratch.put(texts, "texts")
-    every = texts.select("k1", "k2", "w", F.inline(F.arrays_zip(*parts)))
+    own = scratch.put(texts.filter(F.size("own_lo") > 0).select("k1", "k2", F.inline(F.arrays_zip("own_lo", "own_hi"))), "own")
+    every = (texts.select("k1", "k2", "copies", F.inline(F.arrays_zip(*parts)))
+             .select("k1", "k2", "h", "p", "lo", "hi", "at", (F.col("copies") * F.col("times")).alias("w")))
     shared = (every.groupBy("h").agg(F.sum("w").alias("n"), F.min("p").alias("p0"), F.max("p").alias("p1"))
               .filter("n > 1").select("h", (F.col("p0") != F.col("p1")).alias("mixed")))
-    shared = scratch.put(every.join(shared, "h"), "shared")
-    scratch.drop("texts")
+    # written first, so that the join deals both sides anew and Spark can split frequent anchors
+    shared = scratch.put(every.join(scratch.put(shared, "anchors"), "h"), "shared")
+    scratch.drop("texts", "anchors")
     counted = (shared.filter("mixed").groupBy("h", "p")
                .agg(F.sum("w").alias("c"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")))
     counted = scratch.put(counted.select("h", "p", "c", "one.*"), "counted")
     single = counted.filter("c = 1").select("h", "p")
     open_ = counted.groupBy("h").agg(F.count(F.lit(1)).alias("different"), F.min("c").alias("least")).filter("least = 1")
-    pieces = scratch.put(counted.join(open_.drop("least"), "h"), "pieces")
+    pieces = scratch.put(counted.join(scratch.put(open_.drop("least"), "open"), "h"), "pieces")
     n_pieces = pieces.count()
     wanted = pieces.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("h", "p", "c", "different", "lo", "hi", "at")).alias("pieces"))
@@ -252,7 +272,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     late = found.filter("kind = 1").join(across, ["a", "b"]).select("k1", "k2", "lo", "hi")
     spans = (shared.filter("not mixed").select("k1", "k2", "lo", "hi")
              .union(shared.filter("mixed").join(single, ["h", "p"], "left_anti").select("k1", "k2", "lo", "hi"))
-             .union(found.filter("kind = 0").select("k1", "k2", "lo", "hi")).union(late))
+             .union(found.filter("kind = 0").select("k1", "k2", "lo", "hi")).union(late)
+             .union(own))
 
     @F.pandas_udf("array<long>")
     def merged(lo: pd.Series, hi: pd.Series) -> pd.Series:
@@ -262,7 +283,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     listed = (spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
               .select("k1", "k2", merged(F.col("s.lo"), F.col("s.hi")).alias("spans")))
     listed = scratch.put(listed, "spans")
-    scratch.drop("shared", "counted", "pieces", "found")
+    scratch.drop("own", "shared", "counted", "open", "pieces", "found")
     return listed
 
 

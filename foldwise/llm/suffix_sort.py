@@ -34,19 +34,20 @@ def lyndon_groups(symbols: np.ndarray, base: np.ndarray, bars: np.ndarray) -> tu
     and cut it into pieces.  A group is named by the first place it takes in its string."""
     n = len(symbols)
     owner = np.repeat(np.arange(len(base) - 1), np.diff(base))
-    places = np.lexsort((symbols, owner))                    # place -> suffix
-    at = np.empty(n, np.int64)                               # suffix -> place
+    places = np.lexsort((symbols, owner)).astype(np.int32)   # place -> suffix
+    at = np.empty(n, np.int32)                               # suffix -> place
     at[places] = np.arange(n)
     new = np.ones(n, bool)
     new[1:] = (symbols[places[1:]] != symbols[places[:-1]]) | (owner[places[1:]] != owner[places[:-1]])
     first = np.flatnonzero(new)
-    size = np.zeros(n, np.int64)                             # first place of a group -> its size
+    size = np.zeros(n, np.int32)                             # first place of a group -> its size
     size[first] = np.diff(np.append(first, n))
-    first_of_last = np.zeros(n, np.int64)                    # last place of a group -> its first
+    first_of_last = np.zeros(n, np.int32)                    # last place of a group -> its first
     first_of_last[first + size[first] - 1] = first
-    group = np.empty(n, np.int64)
+    group = np.empty(n, np.int32)
     group[places] = np.repeat(first, size[first])
-    parent = np.arange(n) - 1
+    parent = np.arange(n, dtype=np.int32) - 1
+    del owner, new
     inner = np.ones(n, bool)                                 # suffixes that do not start with a bar
     floor = base[:-1] + bars
     low = np.zeros(n, bool)
@@ -110,10 +111,10 @@ def lyndon_groups(symbols: np.ndarray, base: np.ndarray, bars: np.ndarray) -> tu
 def emit_order(group: np.ndarray, parent: np.ndarray, base: np.ndarray, bars: np.ndarray) -> np.ndarray:
     """The suffixes of every string in ascending order, in the string's own range."""
     n = len(group)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     inner = group >= np.repeat(base[:-1] + bars, np.diff(base))
     out[group[~inner]] = np.flatnonzero(~inner)
-    front = np.arange(n)                                     # first place of a group -> its next free place
+    front = np.arange(n, dtype=np.int32)                     # first place of a group -> its next free place
     stop = np.where(inner, parent, -1)
     lengths = np.diff(base)
     order = np.argsort(-lengths, kind="stable")              # long strings first: the live ones are a prefix
