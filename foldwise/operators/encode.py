@@ -17,6 +17,7 @@ from foldwise.operators.joins import join_stats
 from foldwise.operators.ordered import dense_codes
 from foldwise.operators.scale import stat_lit, stats_row
 from foldwise.operators.stats import exact_medians, missing_count
+from foldwise.session import materialize
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -51,15 +52,15 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
                                 k[0].alias("_o1"), k[1].alias("_o2"), k[2].alias("_o3")))
     long = fit.select(F.inline(F.array(*entries)))            # one scan for all columns
     distinct = long.filter(F.col("_v").isNotNull()).distinct()
-    codes = dense_codes(distinct, ["col"], ["_o1", "_o2", "_o3", "_v"], "_code")
+    codes = materialize(dense_codes(distinct, ["col"], ["_o1", "_o2", "_o3", "_v"], "_code"), "codes")
     sizes = {r["col"]: r["count"] for r in codes.groupBy("col").count().collect()}
     out = df
     for c in cols:
         side = codes.filter(F.col("col") == c).select(F.col("_v").alias(f"_v_{c}"),
                                                       F.col("_code").cast("int").alias(f"_c_{c}"))
-        out = join_stats(out, side, out[c].cast("string") == side[f"_v_{c}"], "left", n_stats=sizes.get(c, 0)) \
-            .withColumn(c + suffix, F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}")
-    return out
+        out = join_stats(out, side, out[c].cast("string") == side[f"_v_{c}"], "left", n_stats=sizes.get(c, 0))
+    named = {c + suffix: F.col(f"_c_{c}").alias(c + suffix) for c in cols}
+    return out.select(*[named.pop(c, F.col(c)) for c in df.columns], *named.values())
 
 
 def interact(df: DataFrame, pairs: Sequence[tuple[str, str]], template: str = "{a}|{b}",
@@ -78,7 +79,7 @@ def interact(df: DataFrame, pairs: Sequence[tuple[str, str]], template: str = "{
             *[k.alias(f"_a{i}") for i, k in enumerate(ka)], *[k.alias(f"_b{i}") for i, k in enumerate(kb)]))
     distinct = fit.select(F.inline(F.array(*entries))).distinct()
     order = ["_a0", "_a1", "_a2", "_va", "_b0", "_b1", "_b2", "_vb"]
-    codes = dense_codes(distinct, ["pair"], order, "_code")
+    codes = materialize(dense_codes(distinct, ["pair"], order, "_code"), "codes")
     sizes = {r["pair"]: r["count"] for r in codes.groupBy("pair").count().collect()}
     out = df
     for a, b in pairs:
@@ -97,17 +98,22 @@ def _value_name(v) -> str:
     return str(v)
 
 
-def vocabularies(df: DataFrame, cols: Sequence[str], max_categories: int = 10_000) -> dict:
-    """Distinct values with counts of every column, from one unpivot + aggregate.
+def vocabularies(df: DataFrame, cols: Sequence[str], max_categories: int = 10_000,
+                 threshold: int | None = None) -> dict:
+    """Distinct values with counts of every column, from one unpivot + aggregate; with
+    ``threshold`` only values seen so often, filtered before anything is counted.
 
     Returns ``{col: [(value, count), ...]}`` sorted by value (NULL excluded) and
-    raises when a column has more than ``max_categories`` values: such a column
-    needs sparse vectors (``StringIndexer`` + ``OneHotEncoder``), not named columns.
+    raises when a column keeps more than ``max_categories`` values: such a column
+    needs sparse vectors (``one_hot_sparse``), not named columns.
     """
     numeric = {c: _is_numeric(df, c) for c in cols}
     slim = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
     long = slim.unpivot([], list(cols), "col", "value").filter(F.col("value").isNotNull())
     per = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    if threshold is not None:
+        per = per.filter(F.col("cnt") >= threshold)
+    per = materialize(per, "vocabulary")
     sizes = {r["col"]: r["n"] for r in per.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
     too_big = {c: n for c, n in sizes.items() if n > max_categories}
     if too_big:
@@ -137,12 +143,10 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     named ``col_value`` and sorted by value; with ``threshold`` values seen fewer
     times are dropped.  One projection for all columns."""
     fit = fit if fit is not None else df
-    vocab = vocabularies(fit, cols, max_categories)
+    vocab = vocabularies(fit, cols, max_categories, threshold)
     new = []
     for c in cols:
-        for v, cnt in vocab[c]:
-            if threshold is not None and cnt < threshold:
-                continue
+        for v, _ in vocab[c]:
             new.append((F.col(c) == F.lit(_typed(df, c, v))).cast("int").alias(
                 name.format(col=c, value=_value_name(v))))
     keep = [F.col(c) for c in df.columns if not (drop_source and c in cols)]
@@ -150,6 +154,31 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     return out.fillna(0, subset=[c for c in out.columns if c not in df.columns])
 
 
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
+                   threshold: int | None = None, prefix: str = "oh_") -> DataFrame:
+    """E4/E5 for wide vocabularies: per column one sparse vector ``oh_<c>`` (all zero for
+    unseen, rare or NULL values) instead of named columns; positions follow the value order
+    (``label_encode``), so no vocabulary reaches the driver."""
+    from pyspark.ml.feature import OneHotEncoder
+    fit = fit if fit is not None else df
+    out = df
+    for c in cols:
+        seen = fit.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
+        if threshold is not None:
+            seen = seen.filter(F.col("_cnt") >= threshold)
+        codes = materialize(label_encode(seen.select(c), [c], suffix="_i"), "codes")
+        n = codes.count()
+        side = codes.select(F.col(c).alias("_v"), F.col(f"{c}_i").alias("_i"))
+        out = join_stats(out, side, out[c] == side["_v"], "left", n_stats=n)
+        # code n stands for "none of them" and is the category that the encoder drops
+        out = out.withColumn("_i", F.coalesce(F.col("_i"), F.lit(n)).cast("double")).drop("_v")
+        meta = {"ml_attr": {"type": "nominal", "num_vals": n + 1}}
+        out = out.withColumn("_i", F.col("_i").alias("_i", metadata=meta))
+        out = OneHotEncoder(inputCols=["_i"], outputCols=[prefix + c], dropLast=True) \
+            .fit(out.limit(0)).transform(out).drop("_i")
+    return out
+
+
 def one_hot_lowcard(df: DataFrame, cols: Sequence[str], fit: DataFrame,
                     lo: int = 2, hi: int = 7) -> DataFrame:
     """For columns with ``lo < distinct < hi`` in ``fit`` (NULL counts as a
@@ -182,13 +211,17 @@ def mean_median_flags(df: DataFrame, cols: Sequence[str], fit: DataFrame) -> Dat
 def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 50, fit: DataFrame | None = None,
                      suffix: str = "_bin", missing: int = -1) -> DataFrame:
     """``pd.cut(x, bins, labels=False)``: right-closed equal-width bins over
-    the range of ``fit``; the minimum falls in bin 0; NULL -> ``missing``."""
+    the range of ``fit``; the minimum falls in bin 0; NULL -> ``missing``.  A constant column
+    is cut over [c - 0.001 |c|, c + 0.001 |c|] (0.001 for zero), as ``pd.cut`` does."""
     fit = fit if fit is not None else df
     rng = stats_row(fit, [F.min(c).cast("double").alias(f"_lo_{c}") for c in cols] +
                     [F.max(c).cast("double").alias(f"_hi_{c}") for c in cols])
     out = []
     for c in cols:
-        lo, hi = stat_lit(rng[f"_lo_{c}"]), stat_lit(rng[f"_hi_{c}"])
+        lo, hi = rng[f"_lo_{c}"], rng[f"_hi_{c}"]
+        if lo is not None and lo == hi:
+            lo, hi = lo - (0.001 * abs(lo) if lo else 0.001), hi + (0.001 * abs(hi) if hi else 0.001)
+        lo, hi = stat_lit(lo), stat_lit(hi)
         w = (hi - lo) / bins
         b = F.least(F.greatest(F.ceil((F.col(c) - lo) / w) - 1, F.lit(0)), F.lit(bins - 1))
         # greatest/least skip NULLs, so the missing case is explicit

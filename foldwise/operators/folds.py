@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_mod
 from foldwise.operators.joins import join_stats
+from foldwise.session import materialize
 
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 1024, id_col: str = "id",
@@ -34,7 +35,8 @@ def kfold_stratified(df: DataFrame, k: int = 5, seed: int = 1024, label: str = "
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     lab = df.filter(F.col(label).isNotNull()).withColumn("_h", h) \
         .withColumn("_b", F.substring("_h", 1, prefix_hex))
-    counts = lab.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most classes x 16**prefix_hex rows, stored: they are counted and joined
+    counts = materialize(lab.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")), "fold-counts")
     w_off = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     w = Window.partitionBy(label, "_b").orderBy("_h", id_col)

@@ -22,15 +22,16 @@ def gini(df: DataFrame, label: str = "target", score: str = "pred", by: list[str
            .groupBy(*by, score).agg(F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg")))
     r = running_sums(g, by, [score], ["_neg"], buckets)
     auc_num = F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0))
-    val = F.lit(2.0) * auc_num / (F.sum("_pos") * F.sum("_neg")) - F.lit(1.0)
+    # a group with one class has no Gini: NULL, and the other groups go on
+    val = F.try_divide(F.lit(2.0) * auc_num, F.sum("_pos") * F.sum("_neg")) - F.lit(1.0)
     return r.groupBy(*by).agg(val.alias(out))
 
 
 def cv_summary(preds: DataFrame, label_df: DataFrame, by: list[str] = ("model", "bag"),
                id_col: str = "id", label: str = "target", score: str = "pred",
                fold_col: str = "fold") -> DataFrame:
-    """Per ``by`` group the Gini of each fold, their mean and population std,
-    and the Gini of the whole out-of-fold prediction.
+    """Per ``by`` group the Gini of each fold, their mean and population std over the
+    ``folds`` that have one, and the Gini of the whole out-of-fold prediction.
 
     Each OOF row is tagged twice, with its fold and with -1 ("all folds"), so
     per-fold and overall Gini come from one ordered pass."""
@@ -38,7 +39,7 @@ def cv_summary(preds: DataFrame, label_df: DataFrame, by: list[str] = ("model",
     oof = preds.filter(F.col("split") == "train").join(label_df.select(id_col, label), id_col)
     tagged = oof.withColumn("_g", F.explode(F.array(F.col(fold_col).cast("int"), F.lit(-1))))
     g = gini(tagged, label, score, by + ["_g"], "g")
-    summary = g.filter(F.col("_g") >= 0).groupBy(*by).agg(F.avg("g").alias("mean_gini"),
-                                                          F.stddev_pop("g").alias("std_gini"))
-    full = g.filter(F.col("_g") == -1).select(*by, F.col("g").alias("full_gini"))
-    return summary.join(full, by)
+    of_fold = F.when(F.col("_g") >= 0, F.col("g"))
+    return g.groupBy(*by).agg(F.avg(of_fold).alias("mean_gini"), F.stddev_pop(of_fold).alias("std_gini"),
+                              F.max(F.when(F.col("_g") == -1, F.col("g"))).alias("full_gini"),
+                              F.count(of_fold).alias("folds"))

@@ -33,6 +33,8 @@ def reorder(df: DataFrame, id_col: str = "id", label: str = "target") -> DataFra
     return df.select(id_col, *mid, label)
 
 
+FLOAT_MAX = 3.4028234663852886e38
+
 _INT_TYPES = [(T.ByteType(), -128, 127), (T.ShortType(), -32768, 32767),
               (T.IntegerType(), -2**31, 2**31 - 1)]
 
@@ -40,15 +42,18 @@ _INT_TYPES = [(T.ByteType(), -128, 127), (T.ShortType(), -32768, 32767),
 def narrow_types(df: DataFrame, cols: Sequence[str] | None = None, floats: bool = True) -> DataFrame:
     """Cast integer columns to the narrowest type their min/max fit (one
     aggregate pass for all columns, then one projection) and doubles to float.
-    Never narrows a value out of range (unlike a blind int8 cast)."""
+    Never narrows a value out of range (unlike a blind int8 cast): a double column with a
+    finite value beyond the float range stays double."""
     types = dict(df.dtypes)
     cols = list(cols) if cols is not None else list(df.columns)
     ints = [c for c in cols if types[c] in ("smallint", "int", "bigint")]
     dbls = [c for c in cols if types[c] == "double"] if floats else []
     casts: dict[str, T.DataType] = {}
-    if ints:
+    if ints or dbls:
+        finite = lambda c: F.when(F.abs(c) < float("inf"), F.abs(c))
         row = df.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(ints)],
-                     *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(ints)]).collect()[0]
+                     *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(ints)],
+                     *[F.max(finite(F.col(c))).alias(f"abs_{i}") for i, c in enumerate(dbls)]).collect()[0]
         for i, c in enumerate(ints):
             lo, hi = row[f"lo_{i}"], row[f"hi_{i}"]
             if lo is None:
@@ -57,8 +62,9 @@ def narrow_types(df: DataFrame, cols: Sequence[str] | None = None, floats: bool
                 if tlo <= lo and hi <= thi:
                     casts[c] = t
                     break
-    for c in dbls:
-        casts[c] = T.FloatType()
+    for i, c in enumerate(dbls):
+        if row[f"abs_{i}"] is None or row[f"abs_{i}"] <= FLOAT_MAX:
+            casts[c] = T.FloatType()
     return df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in df.columns])
 
 
@@ -67,12 +73,6 @@ def replace_value(df: DataFrame, col: str, old, new) -> DataFrame:
     return df.withColumn(col, F.when(F.col(col) == F.lit(old), F.lit(new)).otherwise(F.col(col)))
 
 
-def fill_missing(df: DataFrame, values: dict) -> DataFrame:
-    """P11"""
-    return df.select(*[F.coalesce(F.col(c), F.lit(values[c])).alias(c) if c in values else F.col(c)
-                       for c in df.columns])
-
-
 def add_placeholder(df: DataFrame, name: str = "target", dtype: str = "int") -> DataFrame:
     """NULL placeholder column (never 0)."""
     return df.withColumn(name, F.lit(None).cast(dtype))

@@ -25,16 +25,14 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(col, median)``; pandas semantics: NULLs skipped, even count -> mean of middle two."""
     long = unpivot_numeric(df, cols).filter(F.col("value").isNotNull())
     counts = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_sums(counts, ["col"], ["value"], ["cnt"])
-    totals = counts.groupBy("col").agg(F.sum("cnt").alias("n"))
-    j = cum.join(F.broadcast(totals), "col")      # one row per column
+    cum = running_sums(counts, ["col"], ["value"], ["cnt"], totals="n")
     lo = F.floor((F.col("n") - 1) / 2)
     hi = F.floor(F.col("n") / 2)
 
     def covers(r: Column) -> Column:
         return (F.col("cnt_before") <= r) & (r < F.col("cnt_before") + F.col("cnt"))
 
-    picked = j.filter(covers(lo) | covers(hi)).groupBy("col").agg(
+    picked = cum.filter(covers(lo) | covers(hi)).groupBy("col").agg(
         F.max(F.when(covers(lo), F.col("value"))).alias("v_lo"),
         F.max(F.when(covers(hi), F.col("value"))).alias("v_hi"))
     return picked.select("col", ((F.col("v_lo") + F.col("v_hi")) / 2.0).alias("median"))
@@ -43,17 +41,22 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def sample_skewness(x: Column) -> Column:
     """pandas ``skew``: bias-corrected, ``g1 * sqrt(n(n-1))/(n-2)``."""
     n = F.count(x).cast("double")
-    return F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n > 2, F.try_divide(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2))
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per column with n, mean, median, skew, min, max, std_pop."""
-    long = unpivot_numeric(df, cols)
-    moments = long.groupBy("col").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"),
-        sample_skewness(F.col("value")).alias("skew"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.stddev_pop("value").alias("std_pop"))
+    """One row per column with n, mean, median, skew, min, max, std_pop.
+
+    The moments are one aggregate over the columns (rows are not multiplied); its single
+    row is turned into one row per column."""
+    def entry(i: int, c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("col"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+                        sample_skewness(x).alias("skew"), F.min(x).alias("min"), F.max(x).alias("max"),
+                        F.stddev_pop(x).alias("std_pop")).alias(f"_{i}")
+
+    row = df.agg(*[entry(i, c) for i, c in enumerate(cols)])
+    moments = row.select(F.inline(F.array(*[f"_{i}" for i in range(len(cols))])))
     return moments.join(exact_medians(df, cols), "col", "left")
 
 
@@ -84,8 +87,3 @@ def balanced_sum(terms: list[Column]) -> Column:
             nxt.append(terms[-1])
         terms = nxt
     return terms[0]
-
-
-def fit_row(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
-    """A one-row statistics frame (J5 side, broadcast-sized by construction)."""
-    return df.agg(*[v.alias(k) for k, v in aggs.items()])

@@ -7,7 +7,7 @@ aggregation, so a category holding a third of all rows costs one partial row
 per task.  Per-fold sums are carried as ``n_j``/``s_j`` columns, so "fold j held
 out" is ``total - fold j`` (integer sums, exact).  The fitted table (one row per
 distinct value) is checkpointed; each column joins its slice back, broadcast
-only when its distinct count is under the configured bound.
+while the slices together stay under the configured bound of bytes.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.joins import join_stats
-from foldwise.session import materialize
+from foldwise.session import broadcast_max_bytes, broadcast_max_rows, materialize
+
+HOT_VALUES = 1000             # values that are split off from a shuffled dictionary, at most
 
 
 def smoothing_weight(n: Column, min_samples_leaf: float, smoothing: float) -> Column:
@@ -70,6 +71,7 @@ class TargetEncoding:
     prior_full: float
     counts: dict
     unseen: str
+    rows: int = 0             # labelled rows
 
     def _prior(self, idx: Column | None) -> Column:
         if self.unseen == "null":
@@ -79,35 +81,71 @@ class TargetEncoding:
         arr = F.array(*[F.lit(p) for p in self.priors])
         return F.element_at(arr, idx + 1)
 
-    def _join(self, df: DataFrame, c: str, what: str) -> tuple[DataFrame, str]:
-        tmp = f"_enc_{c}"
-        side = self.stats.filter(F.col("col") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col(what).alias(tmp))
-        j = join_stats(df, side, df[c].cast("string") == side[f"_v_{c}"], "left",
-                       n_stats=self.counts.get(c, 0)).drop(f"_v_{c}")
-        return j, tmp
+    def attach(self, df: DataFrame, what: Column, prefix: str = "_enc_") -> DataFrame:
+        """``df`` with ``what`` (an expression over the fitted table) per column as ``<prefix><c>``,
+        NULL where the value is unseen: one left join per column.
+
+        Dictionaries are broadcast while their bytes together stay under the bound for one plan.  A
+        larger one is joined by shuffle; its frequent values (at most ``HOT_VALUES``) are
+        broadcast apart, and rows with a frequent or NULL value get a key of their own that
+        spreads them, so no task receives a hot value."""
+        spark = df.sparkSession
+        room, out = broadcast_max_bytes(spark), df
+        spread = F.concat(F.lit("\u0001"), F.xxhash64(*df.columns).cast("string"))
+        for c in self.cols:
+            side = self.stats.filter(F.col("col") == c).select(
+                F.col("value").alias("_v"), what.alias(prefix + c), F.col("n").alias("_n"))
+            n, width = self.counts.get(c, 0), 64 + 8 * (self.k + 1)
+            key = F.col(c).cast("string")
+            if n <= broadcast_max_rows(spark) and n * width <= room:
+                room -= n * width
+                out = out.join(F.broadcast(side.drop("_n")), key == F.col("_v"), "left").drop("_v")
+                continue
+            often = F.col("_n") > self.rows / HOT_VALUES
+            hot = F.broadcast(side.filter(often).select(F.col("_v").alias("_h"), F.col(prefix + c).alias("_e")))
+            out = out.join(hot, key == F.col("_h"), "left")
+            out = out.withColumn("_k", F.when(key.isNull() | F.col("_h").isNotNull(), spread).otherwise(key))
+            out = (out.join(side.filter(~often).drop("_n"), F.col("_k") == F.col("_v"), "left")
+                   .withColumn(prefix + c, F.coalesce("_e", prefix + c)).drop("_h", "_e", "_k", "_v"))
+        return out
+
+    def _encoded(self, df: DataFrame, what: Column, value, suffix: str) -> DataFrame:
+        joined = self.attach(df, what)
+        return joined.select(*df.columns, *[value(F.col(f"_enc_{c}")).alias(c + suffix) for c in self.cols])
 
     def transform_fold(self, df: DataFrame, fold_col: str = "fold", suffix: str = "_avg") -> DataFrame:
         """Each row encoded with the statistics that exclude its own fold."""
-        out = df
-        for c in self.cols:
-            out, tmp = self._join(out, c, "enc")
-            idx = F.col(fold_col)
-            out = out.withColumn(c + suffix, F.coalesce(F.element_at(F.col(tmp), idx + 1), self._prior(idx))) \
-                .drop(tmp)
-        return out
+        idx = F.col(fold_col)
+        return self._encoded(df, F.col("enc"),
+                             lambda e: F.coalesce(F.element_at(e, idx + 1), self._prior(idx)), suffix)
 
     def transform_each_fold(self, df: DataFrame, suffix: str = "_avg", fold_out: str = "fold") -> DataFrame:
-        """Rows (typically test) once per fold model j, encoded without fold j."""
-        out = df.withColumn(fold_out, F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))))
-        return self.transform_fold(out, fold_out, suffix)
+        """Rows once per fold model j, encoded without fold j: joined once, then
+        the arrays are exploded."""
+        joined = self.attach(df, F.col("enc"))
+        rows = joined.withColumn(fold_out, F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))))
+        idx = F.col(fold_out)
+        return rows.select(*df.columns, fold_out, *[
+            F.coalesce(F.element_at(F.col(f"_enc_{c}"), idx + 1), self._prior(idx)).alias(c + suffix)
+            for c in self.cols])
+
+    def transform_train_by_fold(self, df: DataFrame, fold_col: str = "fold", suffix: str = "_avg",
+                                model_fold: str = "model_fold") -> DataFrame:
+        """The train part of every fold model j: labelled rows with ``fold <> j``, encoded
+        with the statistics of these same rows."""
+        out = self.transform_each_fold(df.filter(F.col(fold_col).isNotNull()), suffix, model_fold)
+        return out.filter(F.col(fold_col) != F.col(model_fold))
 
     def transform_full(self, df: DataFrame, suffix: str = "_avg") -> DataFrame:
-        out = df
-        for c in self.cols:
-            out, tmp = self._join(out, c, "enc_full")
-            out = out.withColumn(c + suffix, F.coalesce(F.col(tmp), self._prior(None))).drop(tmp)
-        return out
+        return self._encoded(df, F.col("enc_full"), lambda e: F.coalesce(e, self._prior(None)), suffix)
+
+    def transform_fold_or_full(self, df: DataFrame, fold_col: str = "fold", suffix: str = "_avg") -> DataFrame:
+        """Rows with a fold encoded without it, the others from all labelled rows, in one pass:
+        the full encoding is element k + 1 of the array."""
+        at = F.coalesce(F.col(fold_col), F.lit(self.k)) + 1
+        prior = F.when(F.col(fold_col).isNull(), self._prior(None)).otherwise(self._prior(F.col(fold_col)))
+        return self._encoded(df, F.concat("enc", F.array("enc_full")),
+                             lambda e: F.coalesce(F.element_at(e, at), prior), suffix)
 
 
 def fit_target_encoding(df: DataFrame, cols: list[str], label: str = "target",
@@ -151,7 +189,7 @@ def fit_target_encoding(df: DataFrame, cols: list[str], label: str = "target",
         (F.array(*per_fold) if per_fold else F.array().cast("array<double>")).alias("enc"),
         enc(F.col("n"), F.col("s"), prior_full_v).alias("enc_full"),
         F.col("n"))
-    return TargetEncoding(fitted, list(cols), k, priors, prior_full_v, counts, unseen)
+    return TargetEncoding(fitted, list(cols), k, priors, prior_full_v, counts, unseen, tot_n)
 
 
 def target_encode_oof(df: DataFrame, cols: list[str], label: str = "target", fold_col: str = "fold",
@@ -165,7 +203,8 @@ def target_encode_oof(df: DataFrame, cols: list[str], label: str = "target", fol
 def target_encode_full(df: DataFrame, cols: list[str], label: str = "target",
                        min_samples_leaf: float = 1, smoothing: float = 1, suffix: str = "_avg",
                        leak_ok: bool = False) -> DataFrame:
-    """Fit on every labelled row and apply to the same rows.  Leaks the label."""
+    """Fit on every labelled row and apply to all rows: the labelled ones (this leaks
+    their label) and the unlabelled."""
     if not leak_ok:
         raise ValueError("full-data target encoding sees each row's own label; pass leak_ok=True")
     model = fit_target_encoding(df, cols, label, None, 0, min_samples_leaf, smoothing)
@@ -177,9 +216,7 @@ def oof_mean(df: DataFrame, cols: list[str], label: str = "target", fold_col: st
     """Plain category mean; labelled rows out of fold, unlabelled rows from all
     labelled rows; unseen -> NULL.  (Not leave-one-out, despite the name.)"""
     model = fit_target_encoding(df, cols, label, fold_col, k, smoothing=None, unseen="null")
-    lab = model.transform_fold(df.filter(F.col(fold_col).isNotNull()), fold_col, "_oofm")
-    unl = model.transform_full(df.filter(F.col(fold_col).isNull()), "_oofm")
-    out = lab.unionByName(unl)
+    out = model.transform_fold_or_full(df, fold_col, "_oofm")
     ren = [F.col(c + "_oofm").alias(prefix + c) for c in cols]
     keep = [c for c in df.columns if not (drop_source and c in cols)]
     return out.select(*keep, *ren)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.metrics import gini
+from foldwise.session import released
 
 
 class GiniEvaluator(Evaluator):
@@ -32,7 +33,9 @@ class GiniEvaluator(Evaluator):
         from pyspark.ml.functions import vector_to_array
         scored = dataset.select(F.col(self.labelCol).alias("y"),
                                 vector_to_array(F.col(self.probabilityCol))[1].alias("p"))
-        return float(gini(scored, "y", "p").collect()[0]["gini"])
+        with released(dataset.sparkSession):
+            value = gini(scored, "y", "p").collect()[0]["gini"]
+        return float("-inf") if value is None else float(value)
 
     def isLargerBetter(self) -> bool:
         return True

@@ -76,6 +76,20 @@ def q_te_test_by_fold(spark, sf_dir):
     return round_doubles(enc.select("id", "fold", *[c + "_avg" for c in CATS]))
 
 
+_tb, _tx = _oof_sql("policy_folds", "r.fold IS NOT NULL", CATS, 200, 10, "_avg", out_fold="model_fold", rows_expand=True)
+
+
+@register("te_train_by_fold", duck_with(
+    f"SELECT b.*, CAST(p.fold AS INT) AS fold FROM ({_tb}) b JOIN policy_folds p USING (id) WHERE p.fold <> b.model_fold",
+    "policy_folds", extra=_tx))
+def q_te_train_by_fold(spark, sf_dir):
+    """The train part of every fold model, encoded with the statistics it was fitted on."""
+    df = fx.policy_folds(spark, sf_dir)
+    model = te.fit_target_encoding(df, CATS, min_samples_leaf=200, smoothing=10)
+    enc = model.transform_train_by_fold(df)
+    return round_doubles(enc.select("id", "fold", "model_fold", *[c + "_avg" for c in CATS]))
+
+
 @register("kfold", duck_with(
     f"SELECT id, split, CASE WHEN split = 'train' THEN CAST({duck_hash_mod(1024, 'id', 5)} AS INT) END AS fold FROM policy",
     "policy"))
@@ -187,10 +201,19 @@ def documents_frame(spark, sf_dir):
 
 
 _b, _e = _oof_sql("docs", "r.fold IS NOT NULL", DOC_CATS, 20, 10, "_avg")
+_full = ", ".join(f"round(coalesce({_smooth_sql(f'a_{c}.n', f'a_{c}.m', 'pa.prior', 20, 10)}, pa.prior), 6) AS {c}_avg"
+                  for c in DOC_CATS)
+_u = (f"SELECT r.id, CAST(NULL AS INT) AS fold, {_full} FROM (SELECT * FROM docs WHERE fold IS NULL) r CROSS JOIN pa " +
+      " ".join(f"LEFT JOIN a_{c} ON a_{c}.v = r.{c}" for c in DOC_CATS))
+_e = _e + [("pa", "SELECT avg(CAST(target AS DOUBLE)) AS prior FROM tr")] + [
+    (f"a_{c}", f"SELECT {c} AS v, count(*) AS n, avg(CAST(target AS DOUBLE)) AS m FROM tr WHERE {c} IS NOT NULL GROUP BY {c}")
+    for c in DOC_CATS]
 
 
-@register("te_oof_documents", duck_with(_b, extra=[("docs", DOC_SQL)] + _e))
+@register("te_oof_documents", duck_with(f"{_b}\nUNION ALL\n{_u}", extra=[("docs", DOC_SQL)] + _e))
 def q_te_oof_documents(spark, sf_dir):
+    """Labelled documents out of fold, unlabelled ones (the test side) from all labels."""
     df = documents_frame(spark, sf_dir)
-    enc = te.target_encode_oof(df, DOC_CATS, label="target", min_samples_leaf=20, smoothing=10)
+    model = te.fit_target_encoding(df, DOC_CATS, min_samples_leaf=20, smoothing=10)
+    enc = model.transform_fold_or_full(df)
     return round_doubles(enc.select("id", "fold", *[c + "_avg" for c in DOC_CATS]))

@@ -140,8 +140,8 @@ def _smooth(n, m, prior, msl=200.0, sm=10.0):
 @register("te_smoothed", duck_with(
     "SELECT r.id, r.part, " + ", ".join(
         f"{_r(f'coalesce({_smooth(f's_{c}.n', f's_{c}.m', 'pr.prior')}, pr.prior)')} AS {c}_mean" for c in CATS) +
-    " FROM (SELECT *, CASE WHEN split = 'test' THEN 'tst' ELSE 'val' END AS part FROM policy_folds "
-    "WHERE fold = 0 OR split = 'test') r CROSS JOIN pr " +
+    " FROM (SELECT *, CASE WHEN split = 'test' THEN 'tst' WHEN fold = 0 THEN 'val' ELSE 'trn' END AS part FROM policy_folds "
+    ") r CROSS JOIN pr " +
     " ".join(f"LEFT JOIN s_{c} ON s_{c}.v = CAST(r.{c} AS VARCHAR)" for c in CATS), "policy_folds",
     extra=[("trn", "SELECT * FROM policy_folds WHERE fold <> 0"),
            ("pr", "SELECT avg(CAST(target AS DOUBLE)) AS prior FROM trn")] +
@@ -150,8 +150,8 @@ def _smooth(n, m, prior, msl=200.0, sm=10.0):
 def q_te_smoothed(spark, sf_dir):
     df = fx.policy_folds(spark, sf_dir)
     model = te.fit_target_encoding(df.filter("fold <> 0"), CATS, fold_col=None, min_samples_leaf=200, smoothing=10)
-    rows = df.filter("fold = 0 OR split = 'test'") \
-        .withColumn("part", F.when(F.col("split") == "test", "tst").otherwise("val"))
+    rows = df.withColumn("part", F.when(F.col("split") == "test", "tst").when(F.col("fold") == 0, "val")
+                         .otherwise("trn"))
     out = model.transform_full(rows, "_mean")
     return round_doubles(out.select("id", "part", *[c + "_mean" for c in CATS]))
 
@@ -159,14 +159,14 @@ def q_te_smoothed(spark, sf_dir):
 @register("te_full", duck_with(
     "SELECT r.id, " + ", ".join(
         f"{_r(f'coalesce({_smooth(f's_{c}.n', f's_{c}.m', 'pr.prior')}, pr.prior)')} AS {c}_avg" for c in CATS) +
-    " FROM (SELECT * FROM policy WHERE split = 'train') r CROSS JOIN pr " +
+    " FROM policy r CROSS JOIN pr " +
     " ".join(f"LEFT JOIN s_{c} ON s_{c}.v = CAST(r.{c} AS VARCHAR)" for c in CATS), "policy",
     extra=[("trn", "SELECT * FROM policy WHERE split = 'train'"),
            ("pr", "SELECT avg(CAST(target AS DOUBLE)) AS prior FROM trn")] +
           [(f"s_{c}", f"SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n, avg(CAST(target AS DOUBLE)) AS m FROM trn "
                       f"WHERE {c} IS NOT NULL GROUP BY 1") for c in CATS]))
 def q_te_full(spark, sf_dir):
-    p = fx.policy(spark, sf_dir).filter("split = 'train'")
+    p = fx.policy(spark, sf_dir)
     out = te.target_encode_full(p, CATS, min_samples_leaf=200, smoothing=10, leak_ok=True)
     return round_doubles(out.select("id", *[c + "_avg" for c in CATS]))
 
@@ -293,16 +293,19 @@ def _sql_balanced(parts):
     return parts[0]
 
 
-N_FEATURE_TERMS = 50
-N_ENSEMBLE_TERMS = 400
+N_TERMS = 400
+N_FEATURE_TERMS = N_ENSEMBLE_TERMS = N_TERMS
 
 
 @register("expr_features", duck_with(
     "SELECT id, " + ", ".join(f"round({_sql_term(w, e)}, 6) AS {n}"
-                              for n, w, e in generated_terms(0, N_FEATURE_TERMS)) + " FROM policy", "policy"))
+                              for n, w, e in generated_terms(0, N_FEATURE_TERMS)) +
+    f', round(CAST({INTERCEPTS[0]!r} AS DOUBLE), 6) AS "0" FROM policy', "policy"))
 def q_expr_features(spark, sf_dir):
+    """400 weighted terms and the constant column "0"."""
     p = fx.policy(spark, sf_dir)
-    return round_doubles(ex.expression_features(p, generated_terms(0, N_FEATURE_TERMS)))
+    return round_doubles(ex.expression_features(p, generated_terms(0, N_FEATURE_TERMS))
+                         .withColumn("0", F.lit(INTERCEPTS[0])))
 
 
 def _ensemble_sql():
@@ -325,11 +328,12 @@ def q_expr_ensemble(spark, sf_dir):
     "SELECT id, " + ", ".join(
         f"round({_sql_term(w0, e0)} + {_sql_term(w1, e1)}, 6) AS {n}"
         for (n, w0, e0), (_, w1, e1) in zip(generated_terms(0, N_FEATURE_TERMS), generated_terms(1, N_FEATURE_TERMS)))
-    + " FROM policy", "policy"))
+    + f', round(CAST({INTERCEPTS[0]!r} AS DOUBLE) + CAST({INTERCEPTS[1]!r} AS DOUBLE), 6) AS "0" FROM policy', "policy"))
 def q_expr_features_sum(spark, sf_dir):
     p = fx.policy(spark, sf_dir)
     return round_doubles(ex.expression_features_sum(p, generated_terms(0, N_FEATURE_TERMS),
-                                                    generated_terms(1, N_FEATURE_TERMS)))
+                                                    generated_terms(1, N_FEATURE_TERMS))
+                         .withColumn("0", F.lit(INTERCEPTS[0]) + F.lit(INTERCEPTS[1])))
 
 
 # ----------------------------------------------------------- E23, E24
@@ -405,10 +409,14 @@ def q_scalar_math(spark, sf_dir):
     return round_doubles(out)
 
 
-@register("string_key", duck_with("SELECT id, concat_ws('_', prio_cat, nation_cat) AS key FROM policy", "policy"))
+@register("string_key", duck_with(
+    "SELECT id, CASE WHEN age IS NULL THEN 'nan' ELSE CAST(age AS VARCHAR) END || '_' || CAST(nation_cat AS VARCHAR) AS key, "
+    "CAST(nation_cat AS VARCHAR) || '_' || CASE WHEN age IS NULL THEN 'nan' ELSE CAST(age AS VARCHAR) END AS key_back "
+    "FROM policy", "policy"))
 def q_string_key(spark, sf_dir):
     p = fx.policy(spark, sf_dir)
-    return p.select("id", fn.string_key("prio_cat", "nation_cat").alias("key"))
+    return p.select("id", fn.string_key("age", "nation_cat").alias("key"),
+                    fn.string_key("nation_cat", "age").alias("key_back"))
 
 
 @register("add_noise", duck_with("SELECT id, round(price, 6) AS price_noisy FROM policy", "policy"))
@@ -484,7 +492,8 @@ def q_blend_mean(spark, sf_dir):
 
 @register("stack_pivot", duck_with(
     "SELECT id, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN pred END), 6) AS {m}" for m in fx.SCORE_MODELS) +
-    " FROM fin WHERE split = 'train' GROUP BY id", "scores", extra=_FIN))
+    ", split FROM fin GROUP BY id, split", "scores", extra=_FIN))
 def q_stack_pivot(spark, sf_dir):
-    wide = pr.stack_matrix(fx.scores(spark, sf_dir), list(fx.SCORE_MODELS))
-    return round_doubles(wide)
+    scores, models = fx.scores(spark, sf_dir), list(fx.SCORE_MODELS)
+    wide = [pr.stack_matrix(scores, models, s).withColumn("split", F.lit(s)) for s in ("train", "test")]
+    return round_doubles(wide[0].unionByName(wide[1]))

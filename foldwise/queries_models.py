@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions import scalar as fn
+from foldwise.functions.hashing import duck_hash_u32
 from foldwise.operators import cluster as cl
 from foldwise.operators import metrics as me
 from foldwise.operators import scale as sc
@@ -153,7 +154,10 @@ def q_rbf_features(spark, sf_dir):
     return round_doubles(cl.rbf_features(emb, "embedding", centers, gamma=1.0, keep=["vec_id"]))
 
 
-@register("add_noise_level")
+@register("add_noise_level", duck_with(
+    "SELECT id, round(price * (1.0 + CAST(0.01 AS DOUBLE) * (sqrt(-2.0 * ln((" + duck_hash_u32("7a", "id") +
+    " + 1) / 4294967297.0)) * cos(2.0 * pi() * (" + duck_hash_u32("7b", "id") + " / 4294967296.0)))), 6) AS price_noisy "
+    "FROM policy", "policy"))
 def q_add_noise_level(spark, sf_dir):
     p = fx.policy(spark, sf_dir)
     return round_doubles(p.select("id", fn.add_noise(F.col("price"), 0.01, seed=7).alias("price_noisy")))

@@ -62,11 +62,12 @@ def q_replace_cats(spark, sf_dir):
 
 
 @register("persist_features", duck_with(
-    "SELECT id, price, bal, age, split FROM policy WHERE split = 'test'", "policy"))
+    "SELECT id, price, bal, age, split FROM policy", "policy"))
 def q_persist_features(spark, sf_dir):
     df = fx.policy(spark, sf_dir).select("id", "price", "bal", "age", "split")
     path = sf.persist_features(df)
-    return round_doubles(sf.read_features(spark, path, "test").select("id", "price", "bal", "age", "split"))
+    both = sf.read_features(spark, path, "train").unionByName(sf.read_features(spark, path, "test"))
+    return round_doubles(both.select("id", "price", "bal", "age", "split"))
 
 
 def _scores_final_sql() -> list[tuple[str, str]]:
@@ -296,7 +297,7 @@ def q_minmax_scale(spark, sf_dir):
 
 @register("cv_summary", duck_with(
     "SELECT model, bag, round(avg(g), 6) AS mean_gini, round(stddev_pop(g), 6) AS std_gini, "
-    "round(max(full_gini), 6) AS full_gini FROM gf JOIN gl USING (model, bag) GROUP BY model, bag",
+    "round(max(full_gini), 6) AS full_gini, count(g) AS folds FROM gf JOIN gl USING (model, bag) GROUP BY model, bag",
     "scores", "policy", extra=[
         ("oof", "SELECT s.model, s.bag, s.fold, s.pred, p.target AS y FROM scores s JOIN policy p USING (id) "
                 "WHERE s.split = 'train'"),

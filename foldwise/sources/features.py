@@ -1,8 +1,9 @@
 """External feature tables and persisted features.
 
 The reference matches precomputed feature files to rows by position; here
-every feature table is keyed by ``id`` and joined with an equi-join whose
-uniqueness is checked (one aggregate per side).
+every feature table is keyed by ``id`` and joined with an equi-join.  Both sides
+must be unique in the key and every row must find its features: one aggregate over
+the joined keys checks all three.
 """
 
 from __future__ import annotations
@@ -15,17 +16,28 @@ from pyspark.sql import functions as F
 from foldwise.session import scratch_path
 
 
-def assert_unique(df: DataFrame, key: str, what: str) -> None:
-    dup = not df.groupBy(key).count().filter(F.col("count") > 1).isEmpty()
-    if dup:
-        raise ValueError(f"{what}: key {key!r} is not unique")
+def check_one_to_one(rows: DataFrame, feats: DataFrame, key: str, complete: bool = True) -> None:
+    """Raise when a key repeats on either side or (``complete``) a row has no features."""
+    sides = rows.select(key, F.lit(1).alias("_r"), F.lit(0).alias("_f")).unionByName(
+        feats.select(key, F.lit(0).alias("_r"), F.lit(1).alias("_f")))
+    per = sides.groupBy(key).agg(F.sum("_r").alias("r"), F.sum("_f").alias("f"))
+    got = per.agg(F.max("r").alias("r"), F.max("f").alias("f"),
+                  F.sum(((F.col("r") > 0) & (F.col("f") == 0)).cast("bigint")).alias("bare")).first()
+    if (got["r"] or 0) > 1:
+        raise ValueError(f"rows: key {key!r} is not unique")
+    if (got["f"] or 0) > 1:
+        raise ValueError(f"feature table: key {key!r} is not unique")
+    if complete and got["bare"]:
+        raise ValueError(f"feature table: {got['bare']} rows have no entry for their {key!r}")
 
 
 def join_feature_table(rows: DataFrame, feats: DataFrame, key: str = "id", check: bool = True,
-                       how: str = "inner") -> DataFrame:
-    """Attach a feature table by key (1:1)."""
+                       how: str = "left") -> DataFrame:
+    """Attach a feature table by key (1:1).  No row is lost: the join is a left
+    join, and with ``check`` a row without features raises (pass ``check=False`` to
+    get NULL features instead)."""
     if check:
-        assert_unique(feats, key, "feature table")
+        check_one_to_one(rows, feats, key)
     return rows.join(feats, key, how)
 
 

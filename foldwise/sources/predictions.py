@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from foldwise.session import scratch_path
 
-RUN_PATTERN = r"^(\d{8}-\d{4})-(.+?)-(-?\d+\.\d{5})-(-?\d+\.\d{5})-(-?\d+\.\d{5})$"
+_SCORE = r"(-?\d+\.\d{5}|null)"          # an undefined Gini is written as null
+RUN_PATTERN = rf"^(\d{{8}}-\d{{4}})-(.+?)-{_SCORE}-{_SCORE}-{_SCORE}$"
 
 
 def final_predictions(preds: DataFrame) -> DataFrame:
@@ -47,20 +48,22 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_run_names(df: DataFrame, col: str = "run") -> DataFrame:
-    """Split run names into stamp, model and the three scores."""
+    """Split run names into stamp, model and the three scores.  A name of another
+    form, or an undefined score, gives NULL scores."""
     c = F.col(col)
     return df.select(
         "*",
         F.regexp_extract(c, RUN_PATTERN, 1).alias("stamp"),
         F.regexp_extract(c, RUN_PATTERN, 2).alias("model"),
-        F.regexp_extract(c, RUN_PATTERN, 3).cast("double").alias("mean_gini"),
-        F.regexp_extract(c, RUN_PATTERN, 4).cast("double").alias("full_gini"),
-        F.regexp_extract(c, RUN_PATTERN, 5).cast("double").alias("std_gini"))
+        F.regexp_extract(c, RUN_PATTERN, 3).try_cast("double").alias("mean_gini"),
+        F.regexp_extract(c, RUN_PATTERN, 4).try_cast("double").alias("full_gini"),
+        F.regexp_extract(c, RUN_PATTERN, 5).try_cast("double").alias("std_gini"))
 
 
 def stack_matrix(preds: DataFrame, models: list[str], split: str = "train") -> DataFrame:
     """One row per id, one column per model (names listed, so the
-    pivot needs no extra distinct job); a missing model is an error (N7)."""
+    pivot needs no extra distinct job).  A model missing for an id is NULL here;
+    ``plans.stack.check_complete`` turns that into an error (N7)."""
     final = final_predictions(preds.filter(F.col("split") == split))
     wide = final.groupBy("id").pivot("model", models).agg(F.first("pred"))
     return wide

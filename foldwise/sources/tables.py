@@ -1,38 +1,18 @@
-"""Driver tables: one Parquet file per table below an ``sf`` directory."""
+"""Driver tables: one Parquet file or folder per table below an ``sf`` directory.
 
-from __future__ import annotations
+Tables are read through Spark only (any file system); scan splits are Spark's
+(``spark.sql.files.maxPartitionBytes``).
+"""
 
-import os
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-SPREAD_CONF = "foldwise.scan.spread"
-SPREAD_MIN_BYTES = 4 << 20       # smaller files are not worth a shuffle
-
-
-def _spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """A file stored as one row group scans as one task, whatever the split
-    size, so every per-row step before the first shuffle would run on one
-    core.  Such a scan (fewer partitions than the default parallelism, and
-    large enough) is spread round-robin once; on a cluster, scans have far more
-    partitions than cores and this never triggers."""
-    if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
-        return df
-    try:
-        size = os.path.getsize(path)
-    except OSError:
-        return df
-    n = spark.sparkContext.defaultParallelism
-    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _spread(spark, spark.read.parquet(path), path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -119,16 +119,9 @@ def test_csv_scan_with_sentinel_and_expected_rows(spark):
         read_frame(spark, path, None, fmt="csv")
 
 
-def test_scan_spread_guard(spark):
-    from foldwise.sources.tables import SPREAD_CONF, read_table
-    n = spark.sparkContext.defaultParallelism
-    big = read_table(spark, "/root/testdata/sf0.1", "lineitem")        # 10 MB, one row group
-    small = read_table(spark, "/root/testdata/sf0.1", "nation")        # tiny: never spread
-    assert big.rdd.getNumPartitions() == n
-    assert small.rdd.getNumPartitions() == 1
-    spark.conf.set(SPREAD_CONF, "false")
-    try:
-        raw = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").rdd.getNumPartitions()
-        assert read_table(spark, "/root/testdata/sf0.1", "lineitem").rdd.getNumPartitions() == raw
-    finally:
-        spark.conf.set(SPREAD_CONF, "true")
+def test_tables_are_read_through_spark_only(spark, tmp_path):
+    from foldwise.sources.tables import read_table
+    spark.range(5).write.parquet(str(tmp_path / "region.parquet"))       # a folder works like a file
+    assert read_table(spark, str(tmp_path), "region").count() == 5
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path), "unknown")
