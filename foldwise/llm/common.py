@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from foldwise.session import default_buckets, scratch_path
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach the Python workers in batches of at most ``BATCH_BYTES``, so that a
+    worker's memory follows the batch and not the length of the texts of 10,000 rows.  A session
+    that already asks for smaller batches keeps its setting."""
+    now = spark.conf.get(BATCH_CONF, "").lower().removesuffix("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below
     ``spark.checkpoint.dir`` (shared by driver and executors), so a lost executor
@@ -17,6 +30,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = scratch_path(spark, name)
+        small_batches(spark)
 
     def put(self, df: DataFrame, key: str) -> DataFrame:
         path = f"{self.base}/{key}"

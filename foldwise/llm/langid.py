@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import small_batches
+
 BITS, MAX_TRAIN, LEARNERS, EPOCHS = 15, 20_000, 6, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 CALIBRATION = 10              # one learning row in so many is kept for the temperature
@@ -189,6 +191,7 @@ def predict_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       parts: int = 5, part: int = 0, **limits) -> DataFrame:
     """(key, held_out, lang_pred, score) of every row; learnt from the rows not held out."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.col(lang).cast("string").alias("lang"))
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 31)).alias("draw")

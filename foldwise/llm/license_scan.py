@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import small_batches
+
 CUES = (r"(?i)\b((un)?licen[sc]ed?|copyright(ed)?|copyleft|spdx|public domain|creative commons|all rights reserved"
         r"|permission is hereby granted|redistribution and use|free software)\b")
 FINALISTS, MAX_DIFFERENCE, LEVEL = 5, 0.2, 19
@@ -183,6 +185,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
                   templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per license notice found: its line, license, reduction and wording differences."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(
         F.col("text").rlike(CUES))
     wanted = templates or TEMPLATES

@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     n_pieces = pieces.count()
     wanted = pieces.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("h", "p", "c", "different", "lo", "hi", "at")).alias("pieces"))
-    cut = _cut_pieces(join_stats(rows, wanted, ["k1", "k2"], "inner", n_pieces), length, core).dropDuplicates(["h", "p"])
+    cut = _cut_pieces(join_stats(rows, wanted, ["k1", "k2"], "inner", n_pieces, width=80), length, core).dropDuplicates(["h", "p"])
     part = F.when(F.col("different") > limit, F.pmod(F.xxhash64("p"), F.ceil(F.col("different") / limit))).otherwise(0)
     blocks = max(1, -(-n_pieces // BLOCK_PIECES))
     found = (cut.withColumn("part", part.cast("bigint"))
@@ -292,7 +292,7 @@ def _with_spans(docs: DataFrame, text: str, keep: list, **limits) -> DataFrame:
     size = spans.agg(F.sum(F.size("spans") / 2 + 1)).first()[0] or 0
     body = F.col(text).cast("string")
     return join_stats(docs.select(*keep, *text_key(body), F.coalesce(body, F.lit("")).cast("binary").alias("raw")),
-                      spans, ["k1", "k2"], "left", int(size))
+                      spans, ["k1", "k2"], "left", int(size), width=40)
 
 
 def kept_bytes(raw: bytes, spans) -> bytes:
