@@ -16,8 +16,10 @@ def small_batches(spark: SparkSession) -> None:
     """Texts reach the Python workers in batches of at most ``BATCH_BYTES``, so that a
     worker's memory follows the batch and not the length of the texts of 10,000 rows.  A session
     that already asks for smaller batches keeps its setting."""
-    now = spark.conf.get(BATCH_CONF, "").lower().removesuffix("b")
-    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+    now = spark.conf.get(BATCH_CONF, "64m").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    size = int(now.rstrip("kmg") or 0) * unit
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
