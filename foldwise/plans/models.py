@@ -1,8 +1,8 @@
 """Learners, parameter mapping and the named model registry.
 
-Reference parameters are translated to MLlib estimators.  Parameters with no
-MLlib counterpart are rejected unless the caller accepts dropping them, and
-the dropped names are kept on the spec so reports can show them.
+Reference parameters are translated to MLlib estimators.  A name that no learner
+knows raises; a name without an MLlib counterpart raises too, unless the caller accepts
+dropping it (``dropped_params`` lists what a spec loses, for reports).
 """
 
 from __future__ import annotations
@@ -18,10 +18,21 @@ from pyspark.sql import functions as F
 # 0.59 of it blocks every split).
 UNSUPPORTED = {"reg_alpha", "reg_lambda", "num_leaves", "subsample_freq", "colsample_bylevel",
                "n_jobs", "silent", "objective", "booster", "nthread", "max_bin_by_feature", "gamma"}
+# Translated names by learner; ``seed`` and ``scale_pos_weight`` are read by the training plan.
+SUPPORTED = {
+    "lr": {"C", "penalty", "max_iter"},
+    "linear": {"alpha", "lambda", "max_iter"},
+    "gbt": {"learning_rate", "eta", "n_estimators", "max_depth", "subsample", "colsample_bytree", "min_child_weight",
+            "min_child_samples", "max_bin"},
+    "rf": {"n_estimators", "max_depth", "min_samples_leaf"},
+    "mlp": {"hidden", "n_features", "max_iter", "learning_rate"},
+}
+COMMON = {"seed", "scale_pos_weight"}
 
 
 @dataclass
 class ModelSpec:
+    """``bag``, ``split`` and ``fold`` are the defaults of the training plan for this model."""
     name: str
     mdl_type: str                    # lr | linear | gbt | rf | mlp
     param: dict = field(default_factory=dict)
@@ -36,39 +47,47 @@ def class_weights(df: DataFrame, label: str = "target", pos_weight: float = 1.0,
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
 
 
-def _check(param: dict, allow_drop: bool) -> tuple[dict, list[str]]:
-    dropped = sorted(k for k in param if k in UNSUPPORTED)
-    if dropped and not allow_drop:
-        raise ValueError(f"parameters without an MLlib counterpart: {dropped}")
-    return {k: v for k, v in param.items() if k not in UNSUPPORTED}, dropped
+def dropped_params(spec: ModelSpec) -> list[str]:
+    """Names of the spec that have no MLlib counterpart."""
+    return sorted(k for k in spec.param if k in UNSUPPORTED)
+
+
+def _check(spec: ModelSpec, allow_drop: bool) -> dict:
+    if spec.mdl_type not in SUPPORTED:
+        raise ValueError(f"unknown model type {spec.mdl_type!r}")
+    unknown = sorted(k for k in spec.param if k not in UNSUPPORTED | COMMON | SUPPORTED[spec.mdl_type])
+    if unknown:
+        raise ValueError(f"unknown parameters for {spec.mdl_type!r}: {unknown}")
+    if dropped_params(spec) and not allow_drop:
+        raise ValueError(f"parameters without an MLlib counterpart: {dropped_params(spec)}")
+    return {k: v for k, v in spec.param.items() if k not in UNSUPPORTED | COMMON}
 
 
 def build_estimator(spec: ModelSpec, n_train: int, features_col: str = "features", label: str = "target",
-                    weight_col: str | None = None, seed: int = 1024, max_iter_cap: int | None = None,
-                    allow_drop: bool = True):
-    """Return ``(estimator, dropped_params)`` for one fold model."""
+                    weight_col: str | None = None, seed: int = 1024, allow_drop: bool = False):
+    """The MLlib estimator for one fold model."""
     from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                            MultilayerPerceptronClassifier, RandomForestClassifier)
-    p, dropped = _check(dict(spec.param), allow_drop)
-    cap = (lambda v: min(v, max_iter_cap)) if max_iter_cap else (lambda v: v)
+    p = _check(spec, allow_drop)
     common = dict(featuresCol=features_col, labelCol=label)
+    weighted = dict(weightCol=weight_col) if weight_col else {}
     if spec.mdl_type == "lr":
         c = float(p.get("C", 1.0))
         l1 = p.get("penalty", "l2") == "l1"
         # sklearn's C on summed loss -> regParam on mean loss.  Features are
         # standardized inside MLlib (near-constant encodings otherwise stall
         # L-BFGS), so the penalty applies to standardized coefficients.
-        est = LogisticRegression(regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=1.0 if l1 else 0.0,
-                                 standardization=True, maxIter=cap(int(p.get("max_iter", 100))), **common)
-    elif spec.mdl_type == "linear":          # linear booster: alpha (l1) + lambda (l2) on summed loss
+        return LogisticRegression(regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=1.0 if l1 else 0.0,
+                                  standardization=True, maxIter=int(p.get("max_iter", 100)), **common, **weighted)
+    if spec.mdl_type == "linear":            # linear booster: alpha (l1) + lambda (l2) on summed loss
         a, lam = float(p.get("alpha", 0.0)), float(p.get("lambda", 1.0))
-        est = LogisticRegression(regParam=(a + lam) / max(n_train, 1),
-                                 elasticNetParam=a / (a + lam) if a + lam > 0 else 0.0,
-                                 standardization=True, maxIter=cap(int(p.get("max_iter", 100))), **common)
-    elif spec.mdl_type == "gbt":
+        return LogisticRegression(regParam=(a + lam) / max(n_train, 1),
+                                  elasticNetParam=a / (a + lam) if a + lam > 0 else 0.0,
+                                  standardization=True, maxIter=int(p.get("max_iter", 100)), **common, **weighted)
+    if spec.mdl_type == "gbt":
         kw = dict(stepSize=float(p.get("learning_rate", p.get("eta", 0.1))),
-                  maxIter=cap(int(p.get("n_estimators", 100))), maxDepth=int(p.get("max_depth", 5)),
-                  subsamplingRate=float(p.get("subsample", 1.0)), seed=seed, **common)
+                  maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 5)),
+                  subsamplingRate=float(p.get("subsample", 1.0)), seed=seed, **common, **weighted)
         if "colsample_bytree" in p:
             kw["featureSubsetStrategy"] = str(float(p["colsample_bytree"]))
         if "min_child_weight" in p:
@@ -77,25 +96,18 @@ def build_estimator(spec: ModelSpec, n_train: int, features_col: str = "features
             kw["minInstancesPerNode"] = max(1, int(p["min_child_samples"]))
         if "max_bin" in p:
             kw["maxBins"] = int(p["max_bin"])
-        if weight_col:
-            kw["weightCol"] = weight_col
-        est = GBTClassifier(**kw)
-    elif spec.mdl_type == "rf":
-        kw = dict(numTrees=cap(int(p.get("n_estimators", 100))), maxDepth=int(p.get("max_depth", 8)),
-                  seed=seed, **common)
+        return GBTClassifier(**kw)
+    if spec.mdl_type == "rf":
+        kw = dict(numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 8)),
+                  seed=seed, **common, **weighted)
         if "min_samples_leaf" in p:
             kw["minInstancesPerNode"] = int(p["min_samples_leaf"])
-        if weight_col:
-            kw["weightCol"] = weight_col
-        est = RandomForestClassifier(**kw)
-    elif spec.mdl_type == "mlp":
-        hidden = list(p.get("hidden", (128, 64)))
-        n_in = int(p["n_features"])
-        est = MultilayerPerceptronClassifier(layers=[n_in, *hidden, 2], maxIter=cap(int(p.get("max_iter", 100))),
-                                             seed=seed, stepSize=float(p.get("learning_rate", 0.03)), **common)
-    else:
-        raise ValueError(f"unknown model type {spec.mdl_type!r}")
-    return est, dropped
+        return RandomForestClassifier(**kw)
+    if weight_col:
+        raise ValueError("the perceptron takes no class weights")
+    return MultilayerPerceptronClassifier(layers=[int(p["n_features"]), *list(p.get("hidden", (128, 64))), 2],
+                                          maxIter=int(p.get("max_iter", 100)), seed=seed,
+                                          stepSize=float(p.get("learning_rate", 0.03)), **common)
 
 
 # --------------------------------------------------------------------------
@@ -103,8 +115,10 @@ def build_estimator(spec: ModelSpec, n_train: int, features_col: str = "features
 # with its parameter names; MLlib translation happens in ``build_estimator``.
 REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
     ModelSpec("lr1", "lr", {"C": 0.8, "penalty": "l2"}, bag=1, split=1, fold=5),
-    ModelSpec("lr2", "lr", {"C": 2, "penalty": "l2"}, bag=1, split=1, fold=5),
-    ModelSpec("lr4", "lr", {"C": 0.8, "penalty": "l1"}, bag=1, split=1, fold=5),
+    ModelSpec("lr2", "lr", {"C": 2, "penalty": "l2"}, bag=3, split=1, fold=5),
+    ModelSpec("lr3", "lr", {"C": 0.8, "penalty": "l2"}, bag=1, split=1, fold=5),
+    ModelSpec("lr4", "lr", {"C": 1, "penalty": "l1"}, bag=1, split=1, fold=5),
+    ModelSpec("lr5", "lr", {"C": 1, "penalty": "l2"}, bag=3, split=1, fold=5),
     ModelSpec("stack_lr1", "lr", {"penalty": "l2"}, bag=2, split=1, fold=5),
     ModelSpec("stack_lr11", "lr", {"penalty": "l2", "C": 0.8}, bag=2, split=1, fold=5),
     ModelSpec("stack_lr2", "lr", {"penalty": "l2", "C": 2}, bag=3, split=1, fold=5),
@@ -115,6 +129,10 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
     ModelSpec("rgf1", "rf", {"n_estimators": 100, "max_depth": 8}, bag=1, split=1, fold=5,
               note="regularised greedy forest replaced by a random forest"),
     ModelSpec("mlp", "mlp", {"hidden": (128, 64)}, bag=1, split=1, fold=5),
+    # smaller models of this library, under names of their own
+    ModelSpec("gbt_small", "gbt", {"learning_rate": 0.1, "n_estimators": 20, "max_depth": 4, "subsample": 0.8}),
+    ModelSpec("rf_small", "rf", {"n_estimators": 20, "max_depth": 6}),
+    ModelSpec("mlp_small", "mlp", {"hidden": (16,), "max_iter": 40}),
 ]}
 # --------------------------------------------------------------------------
 

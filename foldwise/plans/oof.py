@@ -4,12 +4,13 @@ Fold-independent features are prepared once and checkpointed.  Fold-wise
 target encoding is joined once as an array per column (element j = encoding
 without fold j), so fold model j just picks element j.  The k x bags fits are
 submitted from a small thread pool and run as concurrent Spark jobs; every
-prediction lands in one long table ``(id, model, split, fold, bag, pred)``:
+prediction lands in one long table ``(id, model, split, fold, bag, pred)`` (and ``rep`` with repeated splits):
 OOF rows carry their own fold, test rows one row per fold model.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -17,22 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_mod
-from foldwise.operators.joins import join_stats
+from foldwise.operators.folds import kfold_stratified, seed_schedule
 from foldwise.operators.target import TargetEncoding, fit_target_encoding
 from foldwise.plans.models import ModelSpec, build_estimator, class_weights, positive_probability
 from foldwise.session import materialize
 
 
-def attach_fold_encodings(df: DataFrame, model: TargetEncoding, prefix: str = "_te_") -> DataFrame:
-    """One left join per encoded column, adding the per-fold encoding array."""
-    out = df
-    for c in model.cols:
-        side = model.stats.filter(F.col("col") == c).select(F.col("value").alias("_v"), F.col("enc").alias(prefix + c))
-        out = join_stats(out, side, out[c].cast("string") == side["_v"], "left",
-                         n_stats=model.counts.get(c, 0)).drop("_v")
-    return out
-
-
 def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", suffix: str = "_avg"):
     if model is None:
         return []
@@ -40,93 +31,121 @@ def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", s
     return [F.coalesce(F.element_at(F.col(prefix + c), k + 1), F.lit(prior)).alias(c + suffix) for c in model.cols]
 
 
+def check_fit(model) -> None:
+    """Raise when a linear fit has no finite objective or ended above its start."""
+    if not getattr(model, "hasSummary", False) or not hasattr(model.summary, "objectiveHistory"):
+        return
+    history = list(model.summary.objectiveHistory)
+    if not history or not all(math.isfinite(h) for h in history) or history[-1] > history[0] + 1e-9:
+        raise ValueError(f"the fit did not converge: objective {history[:1]} -> {history[-1:]}")
+
+
+def varying(train: DataFrame, names: Sequence[str]) -> list[str]:
+    """The inputs that vary in ``train``: constant (or all but constant) inputs carry nothing
+    and stall the line search of the linear learners."""
+    row = train.agg(*[F.struct(F.stddev_pop(c).alias("s"), F.max(F.abs(c)).alias("m")).alias(c) for c in names]).first()
+    return [c for c in names if row[c]["s"] is not None and row[c]["s"] > 1e-7 * max(row[c]["m"], 1e-300)]
+
+
 def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
-              fold_col: str = "fold", k: int = 5, bags: int = 1, seed: int = 1024, te_cols: Sequence[str] = (),
+              fold_col: str = "fold", k: int = 5, bags: int = 1, splits: int = 1, stratified: bool = False,
+              seed: int = 1024, te_cols: Sequence[str] = (),
               te_params: tuple[float, float] = (200, 10), refold_per_bag: bool = False,
-              upsample: bool = False, pos_weight: float | None = None, early_stop: bool = False,
-              max_iter_cap: int | None = None, parallelism: int | None = None, id_col: str = "id",
+              bag_seed_step: int | None = None, upsample: bool = False, pos_weight: float | None = None,
+              early_stop: bool = False, allow_drop: bool = False, parallelism: int = 2, id_col: str = "id",
               split_col: str = "split") -> DataFrame:
-    """X8 (+X9 re-drawn folds per bag, X10 learner seeds per bag, X11 upsampling,
-    M1 early stopping on the held-out fold, M6 class weights)."""
+    """X8 (+X4 stratified folds, X5 repeated splits, X9 folds re-drawn per bag, X10 learner seeds per bag,
+    X11 upsampling of the train side, M1 early stopping on the held-out fold, M6 class weights).
+
+    The learner seed follows ``seed_schedule`` (split, fold, bag), or moves by ``bag_seed_step`` per
+    bag when that is given.  ``pos_weight`` defaults to the spec's ``scale_pos_weight``.  At most
+    ``parallelism`` fits run at a time, as each holds a cached copy of its train rows."""
     from pyspark.ml.feature import VectorAssembler
 
+    pos_weight = spec.param.get("scale_pos_weight") if pos_weight is None else pos_weight
     base = df
-    fold_cols = []
-    for b in range(bags):
-        fc = f"_fold_b{b}"
-        if refold_per_bag:                       # X9: fold seed 1024 + 10 * bag
-            base = base.withColumn(fc, F.when(F.col(split_col) == "train",
-                                              hash_mod(seed + 10 * b, id_col, k).cast("int")))
-        else:
+    runs = [(s, b) for s in range(splits) for b in range(bags)]
+    fold_of: dict[tuple[int, int], str] = {}
+    for s, b in runs:
+        own = refold_per_bag or b == 0
+        if not own:
+            fold_of[s, b] = fold_of[s, 0]
+            continue
+        draw = seed + 11 * s + (10 * b if refold_per_bag else 0)      # X9: fold seed 1024 + 10 * bag
+        fc = fold_of[s, b] = f"_fold_s{s}_b{b}"
+        if stratified:
+            base = kfold_stratified(base, k, draw, label, id_col, out=fc)
+        elif s == 0 and b == 0 and not refold_per_bag:
             base = base.withColumn(fc, F.col(fold_col))
-        fold_cols.append(fc)
+        else:
+            base = base.withColumn(fc, F.when(F.col(split_col) == "train", hash_mod(draw, id_col, k).cast("int")))
 
-    te_models: list[TargetEncoding | None] = [None] * bags
+    te_models: dict[str, TargetEncoding | None] = dict.fromkeys(fold_of.values())
     if te_cols:
-        for b in range(bags):
-            if b == 0 or refold_per_bag:
-                te_models[b] = fit_target_encoding(base, list(te_cols), label, fold_cols[b], k,
-                                                   te_params[0], te_params[1])
-            else:
-                te_models[b] = te_models[0]
-            base = attach_fold_encodings(base, te_models[b], prefix=f"_te{b}_")
+        for fc in te_models:
+            te_models[fc] = fit_target_encoding(base, list(te_cols), label, fc, k, te_params[0], te_params[1])
+            base = te_models[fc].attach(base, F.col("enc"), prefix=f"_te{fc}_")
     # only what the fold models read is written (column pruning before the copy)
-    arrays = [f"_te{b}_{c}" for b in range(bags) if te_models[b] is not None for c in te_models[b].cols]
-    keep = list(dict.fromkeys([id_col, split_col, label, *fold_cols, *features, *arrays]))
+    arrays = [f"_te{fc}_{c}" for fc, m in te_models.items() if m is not None for c in m.cols]
+    keep = list(dict.fromkeys([id_col, split_col, label, *te_models, *features, *arrays]))
     prepared = materialize(base.select(*keep), "oof-prepared")
 
     sizes = {}
-    for b, fc in enumerate(fold_cols):
+    for fc in te_models:
         for r in prepared.groupBy(fc).count().collect():
-            sizes[(b, r[fc])] = r["count"]
+            sizes[fc, r[fc]] = r["count"]
 
     def one(task):
-        b, j = task
-        fc = fold_cols[b]
-        te_feats = _fold_features(te_models[b], j, prefix=f"_te{b}_")
-        names = list(features) + ([c + "_avg" for c in te_models[b].cols] if te_models[b] is not None else [])
-        rows = prepared.select(id_col, split_col, label, fc, *features, *te_feats)
-        n_train = sum(v for (bb, f), v in sizes.items() if bb == b and f is not None and f != j)
-        learner_seed = seed + 100 * b
-        weight_col = None
+        s, b, j = task
+        fc = fold_of[s, b]
+        te = te_models[fc]
+        names = list(features) + ([c + "_avg" for c in te.cols] if te is not None else [])
+        rows = prepared.select(id_col, split_col, label, fc, *features, *_fold_features(te, j, prefix=f"_te{fc}_"))
+        n_train = sum(v for (f, value), v in sizes.items() if f == fc and value is not None and value != j)
+        learner_seed = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, j, b)
         train = rows.filter(F.col(fc).isNotNull() & (F.col(fc) != j))
+        if spec.mdl_type in ("lr", "linear"):
+            names = varying(train, names)
         if upsample:
             train = train.unionByName(train.filter(F.col(label) == 1))
+        stop = early_stop and spec.mdl_type == "gbt"
+        if stop:                                  # the held-out rows come once, whatever was resampled
+            held = rows.filter(F.col(fc) == j).withColumn("_is_valid", F.lit(True))
+            train = train.withColumn("_is_valid", F.lit(False)).unionByName(held)
+        weight_col = None
         if pos_weight is not None:
             train = class_weights(train, label, pos_weight, "_w")
             weight_col = "_w"
-        est, _ = build_estimator(spec, n_train, "features", label, weight_col, learner_seed, max_iter_cap)
-        if early_stop and spec.mdl_type == "gbt":
-            train = rows.filter(F.col(fc).isNotNull()).withColumn("_is_valid", F.col(fc) == j)
+        est = build_estimator(spec, n_train, "features", label, weight_col, learner_seed, allow_drop)
+        if stop:
             est = est.setValidationIndicatorCol("_is_valid")
             est.set(est.getParam("validationTol"), 0.01)
         asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
         model = est.fit(asm.transform(train))
+        check_fit(model)
         score = rows.filter((F.col(fc) == j) | (F.col(split_col) == "test"))
         pred = model.transform(asm.transform(score))
         return pred.select(id_col, F.lit(spec.name).alias("model"), split_col,
                            F.lit(j).cast("int").alias("fold"), F.lit(b).cast("int").alias("bag"),
-                           positive_probability().alias("pred"))
+                           F.lit(s).cast("int").alias("rep"), positive_probability().alias("pred"))
 
-    tasks = [(b, j) for b in range(bags) for j in range(k)]
-    workers = parallelism or min(len(tasks), 8)
-    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+    tasks = [(s, b, j) for s, b in runs for j in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
         parts = list(pool.map(one, tasks))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out if splits > 1 else out.drop("rep")
 
 
 def learning_curve(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
-                   fold_col: str = "fold", fold: int = 0, max_iter_cap: int | None = None) -> DataFrame:
+                   fold_col: str = "fold", fold: int = 0, allow_drop: bool = False) -> DataFrame:
     """Log-loss after each boosting stage on the fold's train and valid parts."""
     from pyspark.ml.feature import VectorAssembler
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     lab = asm.transform(df.filter(F.col(fold_col).isNotNull()))
     train, valid = lab.filter(F.col(fold_col) != fold), lab.filter(F.col(fold_col) == fold)
-    est, _ = build_estimator(spec, train.count(), "features", label, None, 1024, max_iter_cap)
-    model = est.fit(train)
+    model = build_estimator(spec, train.count(), "features", label, None, 1024, allow_drop).fit(train)
     tr = model.evaluateEachIteration(train)
     va = model.evaluateEachIteration(valid)
     rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
@@ -149,7 +168,7 @@ def permute_columns(df: DataFrame, cols: Sequence[str], seed: int = 2024, id_col
 
 
 def shadow_importance(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
-                      seed: int = 2024, max_iter_cap: int | None = None) -> DataFrame:
+                      seed: int = 2024, allow_drop: bool = False) -> DataFrame:
     """Importance of each feature next to the importance of its permuted
     (shadow) copy, from one tree-ensemble fit on the labelled rows."""
     from pyspark.ml.feature import VectorAssembler
@@ -158,10 +177,29 @@ def shadow_importance(df: DataFrame, spec: ModelSpec, features: Sequence[str], l
     names = list(features) + [f"shadow_{c}" for c in features]
     asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     data = asm.transform(with_shadow)
-    est, _ = build_estimator(spec, 1, "features", label, None, seed, max_iter_cap)
-    imp = est.fit(data).featureImportances.toArray()
+    imp = build_estimator(spec, 1, "features", label, None, seed, allow_drop).fit(data).featureImportances.toArray()
     n = len(features)
     best_shadow = max(imp[n:]) if n else 0.0
     rows = [(c, float(imp[i]), float(imp[n + i]), bool(imp[i] > best_shadow)) for i, c in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, shadow_importance double, "
                                                  "beats_shadows boolean")
+
+
+def oof_tree(df: DataFrame, col: str, label: str = "target", fold_col: str = "fold", k: int = 5, id_col: str = "id",
+             split_col: str = "split") -> DataFrame:
+    """X8 with one unpruned regression tree on one column: (id, split, fold, pred)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    asm = VectorAssembler(inputCols=[col], outputCol="features")
+    data = materialize(df.select(id_col, split_col, label, fold_col, col), "oof-tree")
+    est = DecisionTreeRegressor(featuresCol="features", labelCol=label, maxDepth=8, minInstancesPerNode=1)
+    parts = []
+    for j in range(k):
+        model = est.fit(asm.transform(data.filter(F.col(fold_col).isNotNull() & (F.col(fold_col) != j))))
+        score = asm.transform(data.filter((F.col(fold_col) == j) | (F.col(split_col) == "test")))
+        parts.append(model.transform(score).select(id_col, split_col, F.lit(j).cast("int").alias("fold"),
+                                                   F.col("prediction").alias("pred")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foldwise.operators.folds import kfold
 from foldwise.plans.models import ModelSpec
 from foldwise.plans.oof import oof_train
+from foldwise.session import materialize
 from foldwise.sources.predictions import stack_matrix
 
 
@@ -36,9 +37,11 @@ def check_complete(frame: DataFrame, models: Sequence[str]) -> None:
 
 
 def stack_level(preds: DataFrame, labels: DataFrame, models: Sequence[str], spec: ModelSpec, k: int = 5,
-                seed: int = 1024, bags: int = 1, parallelism: int | None = None, check: bool = True) -> DataFrame:
-    """One stacking level: returns the next level's long prediction table."""
-    frame = stack_frame(preds, labels, models, k, seed)
+                seed: int = 1024, bags: int = 1, parallelism: int = 2, check: bool = True) -> DataFrame:
+    """One stacking level: returns the next level's long prediction table, stored, as the
+    next level reads it more than once."""
+    frame = materialize(stack_frame(preds, labels, models, k, seed), "stack-frame")
     if check:
         check_complete(frame, models)
-    return oof_train(frame, spec, list(models), k=k, bags=bags, seed=seed, parallelism=parallelism)
+    return materialize(oof_train(frame, spec, list(models), k=k, bags=bags, seed=seed, parallelism=parallelism),
+                       "stack-level")

@@ -20,7 +20,6 @@ from foldwise.sources.tables import read_table
 
 NUMS = ["prio_cat", "nation_cat", "month_cat", "debt_bin", "price", "bal", "age"]
 TE = [c for c in fx.FEATURES if "_cat" in c]          # FeatureSpec.te_marker convention
-ITER_CAP = 20
 
 
 def model_frame(spark, sf_dir):
@@ -53,21 +52,21 @@ def q_oof_lr(spark, sf_dir):
 @register("oof_gbt")
 def q_oof_gbt(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    return _preds(oo.oof_train(df, mo.lookup("xgb1"), NUMS, te_cols=TE, early_stop=True, max_iter_cap=ITER_CAP))
+    return _preds(oo.oof_train(df, mo.lookup("gbt_small"), NUMS, te_cols=TE, early_stop=True))
 
 
 @register("oof_rf")
 def q_oof_rf(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    return _preds(oo.oof_train(df, mo.lookup("rgf1"), NUMS, te_cols=TE, max_iter_cap=ITER_CAP))
+    return _preds(oo.oof_train(df, mo.lookup("rf_small"), NUMS, te_cols=TE))
 
 
 @register("oof_mlp")
 def q_oof_mlp(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    spec = mo.lookup("mlp")
+    spec = mo.lookup("mlp_small")
     spec = mo.ModelSpec(spec.name, spec.mdl_type, {**spec.param, "n_features": len(NUMS) + len(TE)})
-    return _preds(oo.oof_train(df, spec, NUMS, te_cols=TE, max_iter_cap=ITER_CAP))
+    return _preds(oo.oof_train(df, spec, NUMS, te_cols=TE))
 
 
 @register("oof_scores")
@@ -93,13 +92,13 @@ def q_oof_upsampled(spark, sf_dir):
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    return round_doubles(oo.learning_curve(df, mo.lookup("xgb1"), NUMS, max_iter_cap=ITER_CAP))
+    return round_doubles(oo.learning_curve(df, mo.lookup("gbt_small"), NUMS))
 
 
 @register("shadow_importance")
 def q_shadow_importance(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    return round_doubles(oo.shadow_importance(df, mo.lookup("rgf1"), NUMS, max_iter_cap=ITER_CAP))
+    return round_doubles(oo.shadow_importance(df, mo.lookup("rf_small"), NUMS))
 
 
 def _level1(spark, sf_dir):
@@ -130,9 +129,10 @@ def q_stack_l3(spark, sf_dir):
 def q_model_registry(spark, sf_dir):
     df = model_frame(spark, sf_dir)
     spec = mo.lookup("lr2")
-    preds = oo.oof_train(df, spec, NUMS, te_cols=TE)
+    preds = oo.oof_train(df, spec, NUMS, te_cols=TE, bags=spec.bag, splits=spec.split, k=spec.fold)
     summ = me.cv_summary(preds, df.select("id", "target"), by=["model"])
-    return round_doubles(summ.withColumn("mdl_type", F.lit(spec.mdl_type)))
+    return round_doubles(summ.withColumn("mdl_type", F.lit(spec.mdl_type))
+                         .withColumn("dropped", F.lit(" ".join(mo.dropped_params(spec)))))
 
 
 SWEEP_BOX = {"regParam": (1e-4, 1e-1, "log"), "elasticNetParam": (0.0, 1.0, "lin"), "maxIter": (20, 60, "int")}
@@ -167,4 +167,86 @@ def q_add_noise_level(spark, sf_dir):
 def q_oof_bagged_seeds(spark, sf_dir):
     """Bags share the folds; the learner seed moves by 100 per bag."""
     df = model_frame(spark, sf_dir)
-    return _preds(oo.oof_train(df, mo.lookup("rgf1"), NUMS, te_cols=TE, bags=2, max_iter_cap=ITER_CAP))
+    return _preds(oo.oof_train(df, mo.lookup("rf_small"), NUMS, te_cols=TE, bags=2, bag_seed_step=100))
+
+
+@register("oof_repeated")
+def q_oof_repeated(spark, sf_dir):
+    """X5 under X8: two independent splits, their predictions side by side (``rep``)."""
+    df = model_frame(spark, sf_dir)
+    return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, te_cols=TE, splits=2))
+
+
+@register("oof_stratified")
+def q_oof_stratified(spark, sf_dir):
+    """X4 under X8: stratified folds."""
+    df = model_frame(spark, sf_dir)
+    return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, stratified=True))
+
+
+# ------------------------------------------------------------------ twins
+# Who is predicted, by which fold model, and that every prediction is a probability: the part
+# of a training query that SQL can state.  The full predictions are the queries above.
+_FOLD = "CAST(CAST(('0x' || substr(md5('{seed}:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS INT)"
+
+
+def _shape_sql(model: str, bags: int = 1, refold: bool = False, reps: int = 1) -> str:
+    parts = []
+    for r in range(reps):
+        for b in range(bags):
+            fold = _FOLD.format(seed=1024 + 11 * r + (10 * b if refold else 0))
+            rep = f", CAST({r} AS INT) AS rep" if reps > 1 else ""
+            tail = f"CAST({b} AS INT) AS bag{rep}, 1 AS in_range"
+            parts.append(f"SELECT id, '{model}' AS model, split, {fold} AS fold, {tail} FROM policy WHERE split = 'train'")
+            parts.append(f"SELECT id, '{model}' AS model, split, CAST(j AS INT) AS fold, {tail} FROM policy "
+                         "CROSS JOIN range(0, 5) r(j) WHERE split = 'test'")
+    return duck_with(" UNION ALL ".join(parts), "policy")
+
+
+def _shape(preds):
+    ok = F.coalesce((F.col("pred") >= 0) & (F.col("pred") <= 1), F.lit(False)).cast("int")
+    return preds.withColumn("in_range", ok).drop("pred")
+
+
+def _register_shapes():
+    """``<query>_rows`` for the training queries over the planted fixture."""
+    from foldwise.registry import QUERIES
+    for name, model, kw in [
+            ("oof_lr", "lr1", {}), ("oof_gbt", "gbt_small", {}), ("oof_rf", "rf_small", {}), ("oof_mlp", "mlp_small", {}),
+            ("oof_bagged", "lr2", {"bags": 2, "refold": True}), ("oof_upsampled", "lr1", {}),
+            ("oof_bagged_seeds", "rf_small", {"bags": 2}), ("oof_repeated", "lr1", {"reps": 2}),
+            ("stack_l2", "stack_lr1", {}), ("stack_linear", "xgbl", {}), ("stack_l3", "stack_lr2", {})]:
+        def run(spark, sf_dir, name=name):
+            return _shape(QUERIES[name](spark, sf_dir))
+        register(f"{name}_rows", _shape_sql(model, **kw))(run)
+
+
+_register_shapes()
+
+
+@register("oof_tree_means", duck_with(
+    "SELECT r.id, r.split, CAST(k.j AS INT) AS fold, round(m.mean, 6) AS pred FROM policy_folds r CROSS JOIN range(0, 5) k(j) "
+    "JOIN (SELECT ks.k, prio_cat, avg(CAST(target AS DOUBLE)) AS mean FROM policy_folds t CROSS JOIN range(0, 5) ks(k) "
+    "WHERE t.fold IS NOT NULL AND t.fold <> ks.k GROUP BY ks.k, prio_cat) m ON m.k = k.j AND m.prio_cat = r.prio_cat "
+    "WHERE r.fold = k.j OR r.split = 'test'", "policy_folds"))
+def q_oof_tree_means(spark, sf_dir):
+    """A regression tree on a column of five values predicts the mean label of the value over the
+    other folds: the whole out-of-fold plan against SQL."""
+    return round_doubles(oo.oof_tree(fx.policy_folds(spark, sf_dir), "prio_cat").select("id", "split", "fold", "pred"))
+
+
+@register("kmeans_planted", duck_with(
+    "SELECT c_custkey AS id, " + ", ".join(
+        f"round(exp(-1.0 * sqrt(pow(x - (SELECT avg(x) FROM pts WHERE g = {j}), 2) + "
+        f"pow(y - (SELECT avg(y) FROM pts WHERE g = {j}), 2)) / 1000.0), 6) AS rbf_{j}" for j in range(5)) +
+    " FROM pts", extra=[("pts", "SELECT c_custkey, CAST(floor(c_nationkey / 5) AS INT) AS g, "
+                                "CAST(floor(c_nationkey / 5) AS DOUBLE) * 10000 + c_custkey % 7 AS x, "
+                                "CAST(c_custkey % 11 AS DOUBLE) AS y FROM customer")]))
+def q_kmeans_planted(spark, sf_dir):
+    """Five well-separated groups of points: the fitted centers are the group means."""
+    c = read_table(spark, sf_dir, "customer")
+    pts = c.select(F.col("c_custkey").alias("id"),
+                   F.array(F.floor(F.col("c_nationkey") / 5).cast("double") * 10000 + F.col("c_custkey") % 7,
+                           (F.col("c_custkey") % 11).cast("double")).alias("v"))
+    centers = sorted(c for _, c in cl.kmeans_centers(pts, "v", k=5, seed=1, starts=5))
+    return round_doubles(cl.rbf_features(pts, "v", list(enumerate(centers)), gamma=1.0 / 1000.0, keep=["id"]))

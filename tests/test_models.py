@@ -45,8 +45,11 @@ def test_unsupported_params_rejected_when_strict():
     spec = mo.lookup("xgb1")
     with pytest.raises(ValueError):
         mo.build_estimator(spec, 100, allow_drop=False)
-    _, dropped = mo.build_estimator(spec, 100, allow_drop=True)
+    mo.build_estimator(spec, 100, allow_drop=True)
+    dropped = mo.dropped_params(spec)
     assert "reg_alpha" in dropped and "gamma" in dropped
+    with pytest.raises(ValueError):
+        mo.build_estimator(mo.ModelSpec("x", "gbt", {"invented": 1}), 100, allow_drop=True)
 
 
 def test_stack_missing_model_is_an_error(spark):
@@ -79,7 +82,7 @@ def test_param_points_are_reproducible_and_sanitised():
 def test_oof_with_class_weights_runs(spark):
     # M6: scale_pos_weight through weightCol on a tree learner
     df = model_frame(spark, "/root/testdata/sf0.001")
-    preds = oo.oof_train(df, mo.lookup("rgf1"), NUMS, pos_weight=1.5, max_iter_cap=5)
+    preds = oo.oof_train(df, mo.lookup("rf_small"), NUMS, pos_weight=1.5)
     n_train = df.filter("split = 'train'").count()
     assert preds.filter("split = 'train'").count() == n_train
     assert preds.filter("pred IS NULL OR pred < 0 OR pred > 1").count() == 0
