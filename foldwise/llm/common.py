@@ -36,7 +36,7 @@ class Scratch:
 
     def put(self, df: DataFrame, key: str) -> DataFrame:
         path = f"{self.base}/{key}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keys: str) -> None:
