@@ -8,7 +8,7 @@ is a plain projection with no join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,23 @@ def impute_mean(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None
     return _apply(df, stats, lambda v: {c: F.coalesce(F.col(c).cast("double"), v(f"_mu_{c}")) for c in cols})
 
 
+def fold_apply(df: DataFrame, k: int, fit: Callable[[DataFrame], object], apply: Callable[[DataFrame, object], DataFrame],
+               fold_col: str = "fold", out_fold: str = "model_fold") -> DataFrame:
+    """X6 for any statistic: per fold model j, ``fit`` sees the labelled rows with ``fold != j`` and
+    ``apply`` maps all labelled rows (tagged ``part`` train/valid) with what it returned.  Statistics
+    that add up over folds need only one pass (``fold_minmax_scale``)."""
+    lab = df.filter(F.col(fold_col).isNotNull())
+    parts = []
+    for j in range(k):
+        part = F.when(F.col(fold_col) == j, F.lit("valid")).otherwise(F.lit("train"))
+        rows = lab.withColumn(out_fold, F.lit(j).cast("int")).withColumn("part", part)
+        parts.append(apply(rows, fit(lab.filter(F.col(fold_col) != j))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def fold_minmax_scale(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fold",
                       out_fold: str = "model_fold") -> DataFrame:
     """X6 for a decomposable statistic: for every fold model j, min-max bounds

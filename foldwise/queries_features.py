@@ -210,10 +210,9 @@ def q_equal_width_bins(spark, sf_dir):
 
 
 @register("unpack_int", duck_with("""
-SELECT id, CAST(CASE WHEN x = -1 THEN -1 ELSE a END AS INT) AS x_A,
-       CAST(CASE WHEN x = -1 THEN -1 ELSE floor((i - a) / 31) END AS INT) AS x_M
-FROM (SELECT id, x, i, CASE WHEN i % 31 = 0 THEN 31 ELSE i % 31 END AS a
-      FROM (SELECT id, x, CAST(round_even(pow(x * 40, 2), 0) AS BIGINT) AS i FROM packed))""", "packed"))
+SELECT id, CAST(CASE WHEN x = -1 THEN -1 ELSE a END AS INT) AS x_A, CAST(CASE WHEN x = -1 THEN -1 ELSE m END AS INT) AS x_M
+FROM (SELECT id, x, CAST(round_even(pow(x * 40, 2), 0) AS BIGINT) AS i FROM packed)
+JOIN (SELECT a, m FROM range(1, 32) r(a) CROSS JOIN range(-1, 4000) q(m)) ON 31 * m + a = i""", "packed"))
 def q_unpack_int(spark, sf_dir):
     return en.unpack_int(fx.packed(spark, sf_dir), "x").select("id", "x_A", "x_M")
 
@@ -240,12 +239,29 @@ NONLINEAR_BINDINGS = {
 
 
 def _derive_sql():
-    inner = "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in NONLINEAR_BINDINGS.items()) + " FROM policy"
-    for lvl in ex.dependency_levels(ex.NONLINEAR_FORMULAS):
-        inner = "SELECT *, " + ", ".join(f"{ex.NONLINEAR_FORMULAS[n]} AS {n}" for n in lvl) + f" FROM ({inner})"
-    names = list(ex.NONLINEAR_FORMULAS)
-    return duck_with("SELECT id, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + f" FROM ({inner})",
-                     "policy")
+    """The 20 formulas written out in SQL (not the operator's dictionary)."""
+    base = "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in NONLINEAR_BINDINGS.items()) + " FROM policy"
+    one = f"""SELECT *,
+  ps_ind_03 + ps_ind_14 + ps_ind_15 * ps_ind_15 AS v001,
+  ps_ind_03 + ps_ind_14 + tanh(ps_ind_15) AS v002,
+  ps_reg_01 + ps_reg_02 * ps_reg_02 * ps_reg_02 + ps_reg_03 AS v003,
+  ps_reg_01 ** 2.15 + tanh(ps_reg_02) + ps_reg_03 ** 3.1 AS v004,
+  ps_calc_01 + ps_calc_13 + tanh(ps_calc_14) AS v005,
+  ps_ind_03 ** 2.1 + ps_ind_14 ** 0.45 + ps_ind_15 ** 2.4 AS v011,
+  ps_ind_03 ** 2.56 + ps_calc_13 ** 2.15 + ps_reg_01 ** 2.3 AS v012 FROM ({base})"""
+    two = f"""SELECT *,
+  ps_car_13 + tanh(v003) AS v006, ps_car_13 + v002 ** 2.7 AS v007, ps_car_13 + v003 ** 3.4 AS v008,
+  ps_car_13 + v004 ** 3.1 AS v009, ps_car_13 + v005 ** 2.3 AS v010,
+  v003 ** 2.15 + ps_reg_01 ** 2.49 + ps_ind_15 ** 2.14 AS v013,
+  v003 ** 3.21 + 0.001 * tanh(ps_reg_01) + ps_ind_15 ** 3.12 AS v015,
+  v012 ** 2.3 + v002 ** 2.3 + v005 ** 2.31 AS v018, v012 ** 2.7 + v002 ** 2.2 + v005 ** 2.43 AS v020 FROM ({one})"""
+    three = f"""SELECT *,
+  v009 ** 2.36 + ps_calc_01 ** 2.25 + ps_reg_01 ** 2.36 AS v014,
+  v009 ** 2.13 + 0.001 * tanh(ps_calc_01) + ps_reg_01 ** 2.13 AS v016,
+  v008 ** 2.6 + v009 ** 2.1 + v004 ** 2.13 AS v019 FROM ({two})"""
+    four = f"SELECT *, v016 * v016 + v001 ** 2.1 + v003 ** 2.3 AS v017 FROM ({three})"
+    names = [f"v{i:03d}" for i in range(1, 21)]
+    return duck_with("SELECT id, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + f" FROM ({four})", "policy")
 
 
 @register("derive_nonlinear", _derive_sql())
@@ -455,6 +471,26 @@ def q_fold_preproc(spark, sf_dir):
     return round_doubles(out.select("id", "model_fold", "part", "price"))
 
 
+@register("fold_preproc_standard", duck_with(
+    "SELECT r.id, CAST(k.k AS INT) AS model_fold, CASE WHEN r.fold = k.k THEN 'valid' ELSE 'train' END AS part, "
+    "round((coalesce(CAST(r.bal AS DOUBLE), b.mu) - b.mu) / b.sd, 6) AS bal FROM policy_folds r CROSS JOIN range(0, 5) k(k) "
+    "JOIN (SELECT k2.k, avg(bal) AS mu, stddev_pop(bal) AS sd FROM policy_folds t CROSS JOIN range(0, 5) k2(k) "
+    "WHERE t.fold IS NOT NULL AND t.fold <> k2.k GROUP BY k2.k) b ON b.k = k.k WHERE r.fold IS NOT NULL",
+    "policy_folds"))
+def q_fold_preproc_standard(spark, sf_dir):
+    """X6 with a callback: mean imputation and standard scaling fitted without each fold."""
+    df = fx.policy_folds(spark, sf_dir).select("id", "fold", "bal")
+
+    def fit(train):
+        return sc.stats_row(train, [F.avg("bal").alias("mu"), F.stddev_pop("bal").alias("sd")])
+
+    def apply(rows, s):
+        x = F.coalesce(F.col("bal").cast("double"), sc.stat_lit(s["mu"]))
+        return rows.withColumn("bal", (x - sc.stat_lit(s["mu"])) / sc.stat_lit(s["sd"]))
+
+    return round_doubles(sc.fold_apply(df, 5, fit, apply).select("id", "model_fold", "part", "bal"))
+
+
 @register("seed_schedule", duck_with(
     "SELECT DISTINCT model, fold, bag, 1024 + 17 * fold + 13 * bag AS seed FROM scores WHERE split = 'train'",
     "scores"))
