@@ -99,7 +99,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT text, row_number() OVER () AS t, ws FROM
+       (SELECT DISTINCT text, regexp_extract_all(lower(text), '\\S+') AS ws FROM documents) WHERE len(ws) > 0),
+     g AS (SELECT DISTINCT t, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram
+           FROM t, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i)),
+     c AS (SELECT t, count(*) AS n FROM g GROUP BY t),
+     p AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.t <> b.t GROUP BY a.t, b.t),
+     e AS (SELECT a, b FROM p JOIN c x ON x.t = a JOIN c y ON y.t = b WHERE p.n >= 0.8 * (x.n + y.n - p.n) - 1e-9),
+     reach AS (SELECT t AS a, t AS b FROM t UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+     least AS (SELECT r.a AS t, min(d.doc_id) AS class_id FROM reach r JOIN t ON t.t = r.b JOIN documents d ON d.text = t.text
+               GROUP BY r.a),
+     links AS (SELECT a AS t, count(*) AS n FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN least USING (t) LEFT JOIN links USING (t)
+""")
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return similar_texts(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -123,7 +137,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     m AS (SELECT r, list_transform(range(0, length(h) // 2 - 399), lambda i: md5_number(substr(h, 2 * i + 1, 800))) AS ks FROM d),
+     w AS (SELECT r, unnest(ks) AS k, unnest(range(0, len(ks))) AS i FROM m),
+     dup AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+     cut AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM dup),
+     run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM cut),
+     span AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY r, g),
+     edge AS (SELECT r, a, b FROM span UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d),
+     gap AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS before FROM edge),
+     kept AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t FROM gap JOIN d USING (r) GROUP BY r),
+     gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+""")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in 400-byte strings that occur anywhere else."""
     return repeat_report(read(spark, sf_dir, "documents"))
