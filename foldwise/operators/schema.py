@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.session import materialize
+
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """P1"""
@@ -86,8 +88,11 @@ def compose(df: DataFrame, steps: Sequence[tuple[Callable, dict]]) -> DataFrame:
 
 
 def expect_rows(df: DataFrame, n: int) -> DataFrame:
-    """Fail unless the frame has exactly ``n`` rows."""
-    got = df.count()
+    """Fail unless the frame has exactly ``n`` rows; counted in the action that
+    stores it, so nothing is computed twice.  Returns the stored frame."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), "expected")
+    got = seen.get["rows"]
     if got != n:
         raise ValueError(f"expected {n} rows, found {got}")
-    return df
+    return stored

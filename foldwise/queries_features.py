@@ -377,6 +377,24 @@ def q_rbf_given(spark, sf_dir):
     return round_doubles(_centroid_rbf(spark, sf_dir)[1])
 
 
+_OH_POS = [("prio_cat", v) for v in range(1, 6)] + [("month_cat", v) for v in range(1, 13)]
+
+
+@register("rbf_features_policy", duck_with(
+    "SELECT id, " + ", ".join(f"round(exp(-list_distance(v, (SELECT c FROM cen WHERE g = {j}))), 6) AS rbf_{j}"
+                              for j in range(25)) + " FROM vec", "policy", extra=[
+        ("vec", "SELECT id, nation_cat AS g, [" + ", ".join(f"CAST({c} = {v} AS INT)::DOUBLE" for c, v in _OH_POS) +
+         "] AS v FROM policy"),
+        ("cen", "SELECT g, [" + ", ".join(f"avg(v[{i + 1}])" for i in range(len(_OH_POS))) + "] AS c FROM vec GROUP BY g")]))
+def q_rbf_policy(spark, sf_dir):
+    """E23 on one-hot rows, train and test together, with 25 given centers (the means per nation)."""
+    p = fx.policy(spark, sf_dir).select("id", "nation_cat", "prio_cat", "month_cat")
+    wide = en.one_hot(p, ["prio_cat", "month_cat"])
+    vec = wide.select("id", "nation_cat", F.array(*[F.col(f"`{c}_{v}`").cast("double") for c, v in _OH_POS]).alias("v"))
+    centers = cl.collect_centers(cl.label_centroids(vec, "v", "nation_cat"), "nation_cat")
+    return round_doubles(cl.rbf_features(vec, "v", centers, keep=["id"]))
+
+
 @register("append_features", duck_with(
     "SELECT e.vec_id, e.label, round(n.norm, 6) AS norm, " + ", ".join(f"round(rbf_{j}, 6) AS rbf_{j}" for j in range(10)) +
     " FROM embeddings e JOIN (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM u GROUP BY vec_id) n USING (vec_id) "
