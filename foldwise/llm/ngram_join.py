@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import Scratch, text_key
+from foldwise.llm.common import Scratch, partitions, text_key
 from foldwise.llm.components import connected_components
 from foldwise.operators.joins import join_stats
 
@@ -286,6 +286,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
              .select("root", "node", "texts", "block", F.least("block", "other").alias("lo"),
                      F.greatest("block", "other").alias("hi")).join(sets, "node"))
+    # little data, much work: as many tasks as asked for
+    tiles = tiles.repartition(partitions(spark), "root", "lo", "hi")
     counted = scratch.put(tiles.groupBy("root", "lo", "hi").applyInPandas(_tile(threshold), "a long, b long, n long"),
                           "counted")
     weight = lambda c: nodes.select(F.col("node").alias(c), F.col("texts").alias("n"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import Scratch, text_key
+from foldwise.llm.common import Scratch, partitions, text_key
 from foldwise.llm.ngram_join import mix
 from foldwise.llm.suffix_sort import suffix_arrays
 from foldwise.operators.joins import join_stats
@@ -264,6 +264,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     blocks = max(1, -(-n_pieces // BLOCK_PIECES))
     found = (cut.withColumn("part", part.cast("bigint"))
              .withColumn("block", F.pmod(F.xxhash64("h", "part"), F.lit(blocks)))
+             # little data, much work: as many tasks as asked for, not as few as the bytes suggest
+             .repartition(max(partitions(spark), blocks // 4), "block")
              .groupBy("block").applyInPandas(_match_pieces(length, core, limit),
                                              "kind long, k1 long, k2 long, lo long, hi long, a long, b long"))
     found = scratch.put(found, "found")
