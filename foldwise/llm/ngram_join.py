@@ -249,8 +249,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     hashes = scratch.put(hashes, "hashes")
     buckets = (hashes.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
                .filter("size > 1"))
-    members = scratch.put(hashes.join(buckets, "band"), "members")
-    scratch.drop("hashes")
+    members = scratch.put(hashes.join(scratch.put(buckets, "buckets"), "band"), "members")
+    scratch.drop("hashes", "buckets")
     # candidate pairs of small buckets; dense groups from the large ones
     small = members.filter(F.col("size") <= dense).select("band", "node")
     pairs = (small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "band")
@@ -300,8 +300,10 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     labels = (nodes.select("node", "texts").join(links, "node", "left").join(roots, "node", "left")
               .select("node", (F.coalesce("n", F.lit(0)) + F.col("texts") - 1).alias("n_links"),
                       F.coalesce("root", "node").alias("root")))
+    # written first, so that the joins deal both sides anew and Spark can split copies of one text
+    labels = scratch.put(labels, "labels")
     labelled = scratch.put(signed.select("doc_id", "k1", "k2", "node", "grams").join(labels, "node", "left"), "labelled")
-    names = labelled.filter("grams > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    names = scratch.put(labelled.filter("grams > 0").groupBy("root").agg(F.min("doc_id").alias("class_id")), "names")
     out = labelled.join(names, "root", "left")
     return out.select("doc_id", "k1", "k2",
                       F.coalesce("class_id", F.when(F.col("grams") == 0, F.col("doc_id"))).cast(kind).alias("class_id"),
