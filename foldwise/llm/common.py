@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.session import default_buckets, scratch_path
+from foldwise.session import default_buckets, delete_path, scratch_path
 
 
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -26,8 +26,8 @@ def small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below
     ``spark.checkpoint.dir`` (shared by driver and executors), so a lost executor
-    costs re-run tasks, never data.  ``drop`` deletes a table as soon as nothing
-    lazy reads it any more."""
+    costs re-run tasks, never data.  ``drop`` and ``keep`` delete tables as soon as nothing
+    lazy reads them any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -40,11 +40,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keys: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for key in keys:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{key}")
-            path.getFileSystem(conf).delete(path, True)
+            delete_path(self.spark, f"{self.base}/{key}")
+
+    def keep(self, *keys: str) -> None:
+        """Delete all tables but those that the (lazy) result still reads."""
+        sc = self.spark.sparkContext
+        base = sc._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = base.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(base):
+            for entry in fs.listStatus(base):
+                if entry.getPath().getName() not in keys:
+                    fs.delete(entry.getPath(), True)
 
 
 def partitions(spark: SparkSession) -> int:

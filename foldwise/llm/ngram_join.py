@@ -304,6 +304,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     labels = scratch.put(labels, "labels")
     labelled = scratch.put(signed.select("doc_id", "k1", "k2", "node", "grams").join(labels, "node", "left"), "labelled")
     names = scratch.put(labelled.filter("grams > 0").groupBy("root").agg(F.min("doc_id").alias("class_id")), "names")
+    scratch.keep("labelled", "names")
     out = labelled.join(names, "root", "left")
     return out.select("doc_id", "k1", "k2",
                       F.coalesce("class_id", F.when(F.col("grams") == 0, F.col("doc_id"))).cast(kind).alias("class_id"),

@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     listed = (spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
               .select("k1", "k2", merged(F.col("s.lo"), F.col("s.hi")).alias("spans")))
     listed = scratch.put(listed, "spans")
-    scratch.drop("own", "shared", "counted", "open", "pieces", "found")
+    scratch.keep("spans")
     return listed
 
 

@@ -184,6 +184,7 @@ def learn(rows: DataFrame) -> dict:
     if len(got):
         got = got.sort_values(["toxic", "mean", "most"])
         model["weights"] = logistic_fit(got[["mean", "most"]].to_numpy(), got["toxic"].to_numpy(float))
+    scratch.keep()
     return model
 
 
@@ -195,8 +196,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     marks = (labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("toxic"))
              .filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(~held_out(F.col("doc_id"), parts, part)))
-    marks = Scratch(spark, "toxicity").put(marks, "labels")
+    scratch = Scratch(spark, "toxicity")
+    marks = scratch.put(marks, "labels")
     model = learn(join_stats(rows.filter(F.col("text").isNotNull()), marks, "doc_id", "inner", marks.count()))
+    scratch.keep()
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
