@@ -22,7 +22,7 @@ def base(text):
 
 def removed(rows):
     seen, sizes = defaultdict(set), defaultdict(set)
-    norm = lambda x: " ".join(x.lower().encode().split and [w.decode() for w in x.lower().encode().split()])
+    norm = lambda x: " ".join(w.decode() for w in x.lower().encode().split())
     for _, t, s in rows:
         sizes[s].add(t or "")
         for x in (t or "").split("\n"):

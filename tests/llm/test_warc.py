@@ -85,8 +85,7 @@ def test_salvage_of_damaged_members():
     assert ids(b"".join(cut)) == ([i for i in range(12) if i != 5], [(at[5], 30)])
     assert ids(b"".join(good)[:at[11] + 9]) == (list(range(11)), [(at[11], 9)])
     junk = b"".join(good[:3]) + b"junk \x1f\x8b\x08 more" + b"".join(good[3:])
-    assert ids(junk) == (list(range(12)), [(at[3], 14 + 0)]) or ids(junk)[0] == list(range(12))
-    assert sum(n for _, n in ids(junk)[1]) == len(b"junk \x1f\x8b\x08 more")
+    assert ids(junk) == (list(range(12)), [(at[3], len(b"junk \x1f\x8b\x08 more"))])
 
 
 def test_salvage_of_damaged_plain_records():
@@ -109,8 +108,10 @@ def test_gaps_are_logged_by_the_reader(spark, tmp_path):
     raw = bytearray(open(file, "rb").read())
     raw[len(raw) // 2] ^= 0xFF
     open(str(tmp_path / "damaged.warc.gz"), "wb").write(bytes(raw))
-    n = warc.read_warc(spark, path).count()
+    n = warc.read_warc(spark, path).count() + 1
     back = warc.read_warc(spark, str(tmp_path / "damaged.warc.gz")).collect()
     gaps = [r for r in back if r.reason]
-    assert gaps and all(r.length > 0 and r.record_type is None for r in gaps)
-    assert n - 1 <= sum(r.reason is None for r in back) + 0 <= n or len(back) > 0
+    assert len(gaps) == 1 and gaps[0].length > 0 and gaps[0].record_type is None
+    assert gaps[0].offset <= len(raw) // 2 < gaps[0].offset + gaps[0].length
+    whole = warc.read_warc(spark, file).count()
+    assert sum(r.reason is None for r in back) == whole - 1 < n
