@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
     classes = {c for _, c, _ in test_ngram_join.brute([(r.doc_id, r.text) for r in good.collect()])}
     assert single.columns == columns and {r.doc_id for r in single.collect()} == classes
     cut = cp.repeated_substrings(spark, single, MID).persist()
-    want = {r[0]: r for r in test_suffix_dedup.brute([(r.doc_id, r.text) for r in single.collect()])}
+    want = {r[0]: r for r in test_suffix_dedup.brute([(r.doc_id, r.text) for r in single.collect()], cp.PASSAGE_BYTES)}
     for r in cut.collect():
         n = len(r.text.encode())
         assert want[r.doc_id][1] - want[r.doc_id][2] <= n <= want[r.doc_id][1] - want[r.doc_id][2] + 6 * want[r.doc_id][3]
