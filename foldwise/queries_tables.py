@@ -32,6 +32,22 @@ def q_scan_policy(spark, sf_dir):
     return round_doubles(fx.policy(spark, sf_dir, sentinel_null=False))
 
 
+@register("scan_labelled", duck_with("SELECT id, target, split, price, bal, age, cust_cat FROM policy", "policy"))
+def q_scan_labelled(spark, sf_dir):
+    """Train and test written as CSV with the sentinel, read with a schema, united with ``split``."""
+    from foldwise.session import scratch_path
+    from foldwise.sources.scan import read_frame, read_labelled
+    raw = fx.policy(spark, sf_dir, sentinel_null=False).select("id", "target", "price", "bal", "age", "cust_cat", "split")
+    frames, sizes = [], []
+    for split in ("train", "test"):
+        part = raw.filter(F.col("split") == split).drop("split", *(["target"] if split == "test" else []))
+        path = scratch_path(spark, f"csv-{split}")
+        part.write.option("header", True).csv(path)
+        frames.append(read_frame(spark, path, part.schema, fmt="csv", sentinel="-1"))
+        sizes.append(part.count())
+    return round_doubles(read_labelled(*frames, expect=tuple(sizes)))
+
+
 @register("scan_sentinel_null", duck_with("SELECT * FROM policy", "policy"))
 def q_scan_sentinel_null(spark, sf_dir):
     from foldwise.sources.scan import sentinel_as_null
@@ -54,6 +70,16 @@ def q_join_feature_table(spark, sf_dir):
     return round_doubles(sf.join_feature_table(rows, fx.features_ext(spark, sf_dir)))
 
 
+@register("join_feature_table_partial", duck_with(
+    "SELECT p.id, p.price, f.f1, f.f2 FROM policy p LEFT JOIN (SELECT * FROM features_ext WHERE id % 3 <> 0) f USING (id)",
+    "policy", "features_ext"))
+def q_join_feature_table_partial(spark, sf_dir):
+    """Rows without an entry in the feature table stay, with NULL features."""
+    rows = fx.policy(spark, sf_dir).select("id", "price")
+    feats = fx.features_ext(spark, sf_dir).filter("id % 3 <> 0").select("id", "f1", "f2")
+    return round_doubles(sf.join_feature_table(rows, feats, check=False))
+
+
 @register("replace_cats_with_encoding", duck_with(
     "SELECT p.id, p.target, p.split, p.debt_bin, p.price, p.bal, p.age, f.f1, f.f2, f.f3 "
     "FROM policy p JOIN features_ext f USING (id)", "policy", "features_ext"))
