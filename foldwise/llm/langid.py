@@ -44,7 +44,11 @@ def ngram_counts(text: str | None, letters: np.ndarray, bits: int) -> np.ndarray
     if not text:
         return None
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = np.where(cp < 0x10000, letters[np.minimum(cp, 0xFFFF)], cp < 0x323B0)
+    is_letter = letters[np.minimum(cp, 0xFFFF)]
+    beyond = np.flatnonzero(cp >= 0x10000)               # outside the table: few, looked up one by one
+    if len(beyond):
+        kinds, which = np.unique(cp[beyond], return_inverse=True)
+        is_letter[beyond] = np.array([chr(c).isalpha() for c in kinds.tolist()])[which]
     if not is_letter.any():
         return None
     cp = np.where(is_letter, cp, 32)

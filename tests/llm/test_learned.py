@@ -41,6 +41,12 @@ def test_language_awkward(spark):
     assert {r.lang_pred for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+def test_letters_beyond_the_table():
+    letters = langid.letter_table()
+    assert langid.ngram_counts("\U0001F600 \U0001F601 12 ##", letters, 12) is None         # no letter
+    assert langid.ngram_counts("\U00020000\U0001F600", letters, 12) is not None            # a letter
+
+
 def test_ngrams_do_not_depend_on_chunks(monkeypatch):
     letters, text = langid.letter_table(), "Ein Wort, noch éins\n und 12 mehr " * 50
     whole = langid.ngram_counts(text, letters, 12)
