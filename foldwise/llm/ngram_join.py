@@ -321,6 +321,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits)
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "k2")).alias("m"))
             .select("m.doc_id", "m.k1", "m.k2", F.lit(1).alias("rows")))
     best = scratch.put(best, "best")
+    bare = scratch.put(found.filter("root is null").select("k1", "k2").distinct(), "bare")
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("id"), *text_key(F.col(text)))
     same = (F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
     best = best.withColumnRenamed("k1", "b1").withColumnRenamed("k2", "b2")
@@ -335,5 +336,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits)
         marks = again.select(F.col("id").alias("i"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
         rows = kept.join(marks, on, "left_anti").select("doc", "id", "k1", "k2").union(
             kept.join(marks, on, "left_semi").dropDuplicates(["id", "k1", "k2"]))
-    blank = docs.filter(F.coalesce(F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " ")), F.lit("")) == "")
-    return rows.select("doc.*").union(blank)
+    blank = join_stats(keyed, bare, ["k1", "k2"], "left_semi", bare.count())
+    return rows.select("doc.*").union(blank.select("doc.*"))

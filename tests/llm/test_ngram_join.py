@@ -91,6 +91,8 @@ def test_keep_one(spark):
     twice = spark.createDataFrame([(7, prose(90, 4))] * 5 + [(8, prose(90, 4))], "doc_id long, text string")
     assert [r.doc_id for r in nj.keep_one(twice).collect()] == [7]
     assert nj.keep_one(empty(spark)).count() == 0
+    blank = spark.createDataFrame([(1, "\x1c\x85 "), (2, "\u00a0"), (3, None), (4, prose(90, 4))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in nj.keep_one(blank).collect()) == [1, 2, 3, 4]
 
 
 def test_bands_reach_the_recall():
