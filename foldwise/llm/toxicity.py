@@ -9,7 +9,8 @@ character.  A text is scored by the mean difference over its words and by the la
 a window of ``WINDOW`` words; a logistic fit on labelled rows that were not
 counted turns both into a probability.
 
-All labelled learning rows are counted: words first (map-side), then the
+All labelled learning rows are counted but those of the logistic fit, which are one
+document in ``CALIBRATION`` and at most about ``MAX_CALIBRATION``: words first (map-side), then the
 character n-grams of distinct words.  The fitted log-ratios go into tables of
 ``2^BITS`` hash buckets (n-grams that share a bucket are averaged by count), so the
 broadcast model has a fixed size.
@@ -38,8 +39,8 @@ from foldwise.operators.joins import join_stats
 
 ORDER, DISCOUNT, BITS = 6, 0.75, 19
 WINDOW = 6
-CALIBRATION = 8               # one learning document in so many is kept for the logistic fit
-MAX_CALIBRATION = 20_000      # and at most about so many of these are used
+CALIBRATION = 8               # one learning document in so many may be kept for the logistic fit
+MAX_CALIBRATION = 20_000      # but at most about so many are; the others are counted
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 64                  # characters of a word that are modelled in one piece; longer words are cut into pieces
@@ -141,11 +142,21 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
+def calibration(rows: DataFrame) -> Column:
+    """Which rows (doc_id) are kept for the logistic fit; all others are counted."""
+    kept = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATION)) == 0
+    n = rows.filter(kept).count()
+    if n > MAX_CALIBRATION:
+        part = int((1 << 31) * MAX_CALIBRATION / n)
+        kept &= F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 31)) < part
+    return kept
+
+
 def learn(rows: DataFrame) -> dict:
     """Model from rows (doc_id, text, toxic)."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "toxicity")
-    kept = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATION)) == 0
+    kept = calibration(rows.select("doc_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -175,12 +186,7 @@ def learn(rows: DataFrame) -> dict:
             got = [text_features(t, scores) for t in pdf["text"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "mean": [g[0] for g in got], "most": [g[1] for g in got]})
 
-    held = rows.filter(kept).select("doc_id", "text", "toxic")
-    n = held.count()
-    if n > MAX_CALIBRATION:
-        part = int((1 << 31) * MAX_CALIBRATION / n)
-        held = held.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 31)) < part)
-    got = held.select("text", "toxic").mapInPandas(features, "toxic int, mean double, most double").toPandas()
+    got = rows.filter(kept).select("text", "toxic").mapInPandas(features, "toxic int, mean double, most double").toPandas()
     if len(got):
         got = got.sort_values(["toxic", "mean", "most"])
         model["weights"] = logistic_fit(got[["mean", "most"]].to_numpy(), got["toxic"].to_numpy(float))

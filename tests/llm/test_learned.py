@@ -108,3 +108,15 @@ def test_toxicity_awkward(spark):
     none = labels.filter("false")
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
+
+
+def test_surplus_calibration_rows_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CALIBRATION", 50)
+    rows = spark.range(8000).withColumnRenamed("id", "doc_id")
+    assert 20 < rows.filter(toxicity.calibration(rows)).count() < 100
+    counted = []
+    fit = toxicity.fit_ratios
+    monkeypatch.setattr(toxicity, "fit_ratios", lambda words, *a, **k: counted.append(
+        words.agg(F.sum("n")).first()[0]) or fit(words, *a, **k))
+    toxicity.learn(rows.withColumn("text", F.lit("word")).withColumn("toxic", (F.col("doc_id") % 2).cast("int")))
+    assert counted[0] == 8000 - rows.filter(toxicity.calibration(rows)).count()
