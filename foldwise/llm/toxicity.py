@@ -11,9 +11,10 @@ counted turns both into a probability.
 
 All labelled learning rows are counted but those of the logistic fit, which are one
 document in ``CALIBRATION`` and at most about ``MAX_CALIBRATION``: words first (map-side), then the
-character n-grams of distinct words.  The fitted log-ratios go into tables of
-``2^BITS`` hash buckets (n-grams that share a bucket are averaged by count), so the
-broadcast model has a fixed size.
+character n-grams of distinct words.  The fitted log-ratios are a Spark table with one row
+per n-gram, so it grows with the input and n-grams never share an entry.  Texts are scored
+in chunks: the n-grams of the corpus's distinct words are joined with the table, and the words of
+a chunk with their scores.
 
 Edge cases: a null, empty or wordless text gets the features 0, 0 (about the base rate); several
 labels of one id count as toxic if one does; null labels are ignored; with no learnable
@@ -30,15 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldwise.llm.common import Scratch
 from foldwise.llm.langid import held_out
 from foldwise.operators.joins import join_stats
 
-ORDER, DISCOUNT, BITS = 6, 0.75, 19
+ORDER, DISCOUNT = 6, 0.75
 WINDOW = 6
+CHUNK_WORDS = 1_000_000       # words of texts that are scored together
 CALIBRATION = 8               # one learning document in so many may be kept for the logistic fit
 MAX_CALIBRATION = 20_000      # but at most about so many are; the others are counted
 THRESHOLD = 0.3
@@ -53,12 +59,9 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-def bucket(gram: Column, bits: int = BITS) -> Column:
-    return F.crc32(gram.cast("binary")) % (1 << bits)
-
-
-def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> dict:
-    """Log-ratio tables from (word, toxic, n)."""
+def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """Log-ratios (gram, r) from (word, toxic, n): of every n-gram seen, and of every context (with a
+    control character before it) for characters that never followed it."""
     d = DISCOUNT
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     at = F.explode(F.sequence(F.lit(2), F.length("p")))
@@ -83,46 +86,96 @@ def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> dict:
     back = lambda k, n: F.when(F.col(n) > 0, F.col(k) * d / F.col(n)).otherwise(1.0)
     own = lambda c, n: F.when(F.col(n) > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(n)).otherwise(0.0)
     seen = (grams.withColumn("h", short).join(shared, ["h", "x"]).join(contexts, "ctx")
-            .select(F.concat("ctx", "x").alias("gram"), (F.col("t") + F.col("o")).alias("n"),
+            .select(F.concat("ctx", "x").alias("gram"),
                     F.log((own("t", "tn") + back("tk", "tn") * F.col("low"))
                           / (own("o", "on") + back("ok", "on") * F.col("low"))).alias("r")))
-    unseen = contexts.select(F.concat(F.lit("\x01"), "ctx").alias("gram"), (F.col("tn") + F.col("on")).alias("n"),
+    unseen = contexts.select(F.concat(F.lit("\x01"), "ctx").alias("gram"),
                              F.log(back("tk", "tn") / back("ok", "on")).alias("r"))
-    # bounded: one row per bucket
-    table = (seen.union(unseen).groupBy(bucket(F.col("gram")).alias("b"))
-             .agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).cast("float").alias("r")).toPandas())
-    ratios = np.full(1 << BITS, np.nan, np.float32)
-    ratios[table["b"].to_numpy()] = table["r"].to_numpy()
-    return ratios
-
-
-class WordScores(dict):
-    """Word -> difference of its log-likelihoods per character; remembers ``room`` words."""
-
-    def __init__(self, ratios: np.ndarray, order: int = ORDER, room: int = 200_000):
-        super().__init__()
-        self.ratios, self.order, self.room = ratios, order, room
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.room:
-            self.clear()
-        p, total, mask = f"^{word}$", 0.0, len(self.ratios) - 1
-        for i in range(1, len(p)):
-            gram = p[max(0, i - self.order + 1):i + 1]
-            r = self.ratios[zlib.crc32(gram.encode()) & mask]
-            if r != r:              # the character never followed: both classes back off
-                r = self.ratios[zlib.crc32(b"\x01" + gram[:-1].encode()) & mask]
-            if r == r:
-                total += float(r)
-        v = self[word] = total / (len(p) - 1)
-        return v
-
-
-def text_features(text: str | None, scores: WordScores) -> tuple[float, float]:
-    found = words_of(text)
-    if not found:
+    return scratch.put(seen.union(unseen).select("gram", "r"), "ratios")
+
+
+def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, order: int = ORDER) -> DataFrame:
+    """(word, score): the difference of its log-likelihoods per character, of distinct words."""
+    p = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    rows = (words.withColumn("p", p).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("p"))))
+            .select("word", F.expr(f"substring(p, greatest(1, i - {order - 1}), least(i, {order}))").alias("gram")))
+    rows = join_stats(rows, ratios, "gram", "left", n_ratios)
+    # the character never followed: both classes back off (keys of grams that were found match nothing)
+    context = F.when(F.col("r").isNull(), F.expr("concat('\x01', left(gram, length(gram) - 1))")).otherwise(
+        F.concat(F.lit("\x02"), "gram"))
+    rows = join_stats(rows.select("word", "r", context.alias("context")),
+                      ratios.select(F.col("gram").alias("context"), F.col("r").alias("back")), "context", "left", n_ratios)
+    unit = float(1 << 32)                       # whole numbers, so the order of summation is of no account
+    part = F.round(F.coalesce("r", "back", F.lit(0.0)) * unit).cast("long")
+    return rows.groupBy("word").agg((F.sum(part) / F.count(F.lit(1)) / unit).alias("score"))
+
+
+def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (..., text) as word numbers, in chunks of about ``CHUNK_WORDS`` words, beside one row per
+    word (``word``, ``number``) of each chunk."""
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*rest, *T._parse_datatype_string("chunk long, numbers binary, word string, number int")])
+    arrow = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n, held = TaskContext.get().partitionId() << 32, 0, 0
+        number: dict[str, int] = {}
+
+        def batch(size: int, **columns) -> pa.RecordBatch:
+            columns["chunk"] = pa.array([base + n] * size, pa.int64())
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in arrow],
+                                              schema=arrow)
+
+        def close():
+            yield batch(len(number), word=pa.array(list(number), pa.string()),
+                        number=pa.array(range(len(number)), pa.int32()))
+            number.clear()
+
+        for got in batches:
+            found = []
+            for text in got.column("text").to_pylist():
+                words = words_of(text)
+                held += len(words)
+                found.append(zlib.compress(np.array([number.setdefault(w, len(number)) for w in words], "<i4").tobytes(), 1))
+            yield batch(got.num_rows, numbers=pa.array(found, pa.binary()), **{f.name: got.column(f.name) for f in rest})
+            if held >= CHUNK_WORDS:
+                yield from close()
+                n, held = n + 1, 0
+        if number:
+            yield from close()
+
+    return scratch.put(rows.mapInArrow(work, schema), name)
+
+
+def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (..., text) with ``mean`` and ``most`` for the text.  The words of every chunk are joined with
+    their scores, so no task holds more of the model than its chunk needs."""
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+    table = chunked(rows, scratch, f"{name}-chunks")
+    words = table.filter("word is not null").select(F.col("chunk").alias("of"), "word", "number")
+    scores = scratch.put(word_scores(words.select("word").distinct(), ratios, n_ratios), f"{name}-words")
+    known = join_stats(words, scores, "word", "inner", scores.count()).select("of", "number", "score")
+    schema = T.StructType([*rest, *T._parse_datatype_string("mean double, most double")])
+    arrow = to_arrow_schema(schema)
+
+    def work(docs: pa.Table, parts: pa.Table) -> pa.Table:
+        values = np.zeros(parts.num_rows)
+        values[parts.column("number").to_numpy()] = parts.column("score").to_numpy()
+        got = [text_features(values[np.frombuffer(zlib.decompress(c), "<i4")]) for c in docs.column("numbers").to_pylist()]
+        columns = [docs.column(f.name) for f in rest] + [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    docs = table.filter("numbers is not null").select(*[f.name for f in rest], "chunk", "numbers")
+    out = docs.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(work, schema)
+    out = scratch.put(out, name)
+    scratch.drop(f"{name}-chunks", f"{name}-words")
+    return out
+
+
+def text_features(v: np.ndarray) -> tuple[float, float]:
+    """Mean of the word scores of a text, and the largest mean over ``WINDOW`` words."""
+    if not len(v):
         return 0.0, 0.0
-    v = np.fromiter(map(scores.__getitem__, found), np.float64, len(found))
     sums = np.concatenate([[0.0], np.cumsum(v)])
     width = min(WINDOW, len(v))
     return float(v.mean()), float((sums[width:] - sums[:-width]).max() / width)
@@ -152,10 +205,8 @@ def calibration(rows: DataFrame) -> Column:
     return kept
 
 
-def learn(rows: DataFrame) -> dict:
-    """Model from rows (doc_id, text, toxic)."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "toxicity")
+def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, np.ndarray]:
+    """(log-ratios by n-gram, their number, weights of the logistic fit) from rows (doc_id, text, toxic)."""
     kept = calibration(rows.select("doc_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,21 +228,14 @@ def learn(rows: DataFrame) -> dict:
     words = (rows.filter(~kept).select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
              .groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     words = scratch.put(words, "words")
-    model = {"ratios": fit_ratios(words, scratch), "weights": np.array([0.0, 0.0, 0.0])}
-    shared = spark.sparkContext.broadcast(model["ratios"])
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(shared.value)
-        for pdf in batches:
-            got = [text_features(t, scores) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "mean": [g[0] for g in got], "most": [g[1] for g in got]})
-
-    got = rows.filter(kept).select("text", "toxic").mapInPandas(features, "toxic int, mean double, most double").toPandas()
+    ratios = fit_ratios(words, scratch)
+    n_ratios, weights = ratios.count(), np.zeros(3)
+    # bounded: about MAX_CALIBRATION rows
+    got = with_features(rows.filter(kept).select("text", "toxic"), ratios, n_ratios, scratch, "calibration").toPandas()
     if len(got):
         got = got.sort_values(["toxic", "mean", "most"])
-        model["weights"] = logistic_fit(got[["mean", "most"]].to_numpy(), got["toxic"].to_numpy(float))
-    scratch.keep()
-    return model
+        weights = logistic_fit(got[["mean", "most"]].to_numpy(), got["toxic"].to_numpy(float))
+    return ratios, n_ratios, weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -204,20 +248,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
              .filter(~held_out(F.col("doc_id"), parts, part)))
     scratch = Scratch(spark, "toxicity")
     marks = scratch.put(marks, "labels")
-    model = learn(join_stats(rows.filter(F.col("text").isNotNull()), marks, "doc_id", "inner", marks.count()))
-    scratch.keep()
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        scores = WordScores(known["ratios"])
-        for pdf in batches:
-            x = np.array([(1.0, *text_features(t, scores)) for t in pdf.pop("text")]).reshape(-1, 3)
-            pdf["score"] = 1 / (1 + np.exp(-np.clip(x @ known["weights"], -30, 30)))
-            pdf["predicted"] = (pdf["score"] >= threshold).astype("int32")
-            yield pdf
-
-    kind = docs.schema[key].dataType.simpleString()
-    return (rows.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
-            .mapInPandas(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
-            .withColumnRenamed("doc_id", key))
+    learnt = join_stats(rows.filter(F.col("text").isNotNull()), marks, "doc_id", "inner", marks.count())
+    ratios, n_ratios, weights = learn(learnt, scratch)
+    rows = rows.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
+    got = with_features(rows, ratios, n_ratios, scratch, "features")
+    scratch.keep("features")
+    base, mean, most = map(float, weights)
+    z = F.lit(base) + F.col("mean") * mean + F.col("most") * most
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return (got.select(F.col("doc_id").alias(key), "held_out", score.alias("score"))
+            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foldwise.llm import langid, toxicity
+from foldwise.llm.common import Scratch
 from tests.llm.helpers import MID, awkward, empty, table
 
 
@@ -118,5 +119,30 @@ def test_surplus_calibration_rows_are_counted(spark, monkeypatch):
     fit = toxicity.fit_ratios
     monkeypatch.setattr(toxicity, "fit_ratios", lambda words, *a, **k: counted.append(
         words.agg(F.sum("n")).first()[0]) or fit(words, *a, **k))
-    toxicity.learn(rows.withColumn("text", F.lit("word")).withColumn("toxic", (F.col("doc_id") % 2).cast("int")))
+    toxicity.learn(rows.withColumn("text", F.lit("word")).withColumn("toxic", (F.col("doc_id") % 2).cast("int")),
+                   Scratch(spark, "test"))
     assert counted[0] == 8000 - rows.filter(toxicity.calibration(rows)).count()
+
+
+def test_every_ngram_has_its_own_ratio(spark, monkeypatch):
+    """A rare toxic word among so many ordinary ones that a table of 2^19 buckets would be full."""
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 500)
+    draw = np.random.default_rng(3)
+    words = sorted({"".join(w) for w in draw.choice(list("abcdefghijklmnop"), (60_000, 12))})
+    rows = [(w, 0, 5) for w in words] + [("zyxwvu", 1, 2)]
+    scratch = Scratch(spark, "test")
+    ratios = toxicity.fit_ratios(spark.createDataFrame(rows, "word string, toxic int, n long"), scratch)
+    pieces = lambda w: [f"^{w}$"[max(0, i - 5):i + 1] for i in range(1, len(w) + 2)]
+    grams = {g for w, _, _ in rows for g in pieces(w)}
+    want = grams | {"\x01" + g[:-1] for g in grams}
+    n = ratios.count()
+    assert n > 1 << 19 and n == len(want) and ratios.select("gram").distinct().count() == n
+    known = dict(map(tuple, ratios.filter("gram rlike '[q-z]'").collect()))
+    assert min(known[g] for g in pieces("zyxwvu")) > 0.5
+    score = lambda w: np.mean([known.get(g, known.get("\x01" + g[:-1], 0.0)) for g in pieces(w)])
+    texts = [(None, None), (1, "zyxwvu"), (2, ""), (3, "zyxwvu " * 600), (4, "zyxwvu 12 zyxwvq")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.mean, r.most) for r in toxicity.with_features(docs, ratios, n, scratch, "got").collect()}
+    assert set(got) == {None, 1, 2, 3, 4} and got[None] == got[2] == (0, 0)
+    assert np.allclose(got[1], score("zyxwvu")) and np.allclose(got[3], got[1])
+    assert np.allclose(got[4], (score("zyxwvu") + score("zyxwvq")) / 2)
