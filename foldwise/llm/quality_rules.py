@@ -2,15 +2,15 @@
 
 Base rules look at one text: fewer than ``min_words`` words, or more than half
 of the words inside repeated three-word windows, fail it.  The cross-document
-rule hashes normalised lines (lower case, blanks collapsed) of at most
-``max_line_words`` words, counts the distinct documents of a host that hold each
+rule hashes normalised lines (lower case, blanks collapsed) of every length (of at most
+``max_line_words`` words, if that is given), counts the distinct documents of a host that hold each
 line, removes lines above the limit, and rejects documents that keep less than
 ``min_left`` of their words.
 
 A line is above the limit when it is in more than ``min_docs`` distinct
 documents and in more than ``max_share`` of its host's distinct documents.
 Exact copies are one document, so a copied text is not boilerplate for being
-copied; long passages are left to the substring operator for the same reason.
+copied.
 
 Edge cases: a null text has no words (it fails the base rules); a null host is a
 host of its own; repeated rows get equal results; ties do not arise; an empty
@@ -34,7 +34,8 @@ from foldwise.operators.joins import join_stats
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_DOCS, MAX_SHARE, MAX_LINE_WORDS, MIN_LEFT = 20, 0.01, 30, 0.5
+MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.01, 0.5
+MAX_LINE_WORDS = 30           # limit of the SQL twin; the operator has none unless ``max_line_words`` is given
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 LINES = "lines array<struct<line:long,words:int,times:int>>"
@@ -81,20 +82,19 @@ def line_hash(line: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63), len(words)
 
 
-def line_counts(text: str | None, max_line_words: int) -> list[tuple[int, int, int]]:
-    """(hash, words, times) of each different line short enough for the rule."""
+def line_counts(text: str | None, max_line_words: int | None = None) -> list[tuple[int, int, int]]:
+    """(hash, words, times) of each different line with words."""
     found: dict[int, list[int]] = {}
     for line in (text or "").split("\n"):
-        if len(line) <= 40 * max_line_words or len(line.split()) <= max_line_words:
-            h, n = line_hash(line)
-            if 0 < n <= max_line_words:
-                found.setdefault(h, [n, 0])[1] += 1
+        h, n = line_hash(line)
+        if n and (max_line_words is None or n <= max_line_words):
+            found.setdefault(h, [n, 0])[1] += 1
     return [(h, n, times) for h, (n, times) in found.items()]
 
 
 def rule_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
                 min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
-                max_line_words: int = MAX_LINE_WORDS) -> tuple[DataFrame, DataFrame]:
+                max_line_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per document: statistics and lines; per (host, text): the lines to remove.
 
     Both are keyed by (host, k1, k2), as equal texts of a host share their fate."""

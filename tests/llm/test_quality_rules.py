@@ -80,3 +80,15 @@ def test_keeps_whole_table_shape(spark):
     docs = table(spark, "documents", SF)
     assert q.quality_verdicts(docs).count() == docs.count()
     assert q.clean_documents(docs).filter(F.col("text").isNull()).count() == 0
+
+
+def test_frequent_long_lines(spark):
+    notice = "We use cookies " + prose(35, 777)
+    rows = [(i, prose(60, i) + "\n" + notice, "en", "a", 1) for i in range(30)]
+    rows += [(100 + i, prose(50, 100 + i) + f"\n{notice}\n{notice}", "en", "a", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.removed_words, r.kept) for r in q.quality_verdicts(docs).collect()}
+    assert got == {i: (38, True) for i in range(30)} | {100 + i: (76, False) for i in range(3)}
+    assert {r.doc_id: r.text for r in q.clean_documents(docs).collect()} == {i: prose(60, i) for i in range(30)}
+    short = q.quality_verdicts(docs, max_line_words=q.MAX_LINE_WORDS).collect()
+    assert all(r.removed_words == 0 for r in short)
