@@ -41,3 +41,13 @@ def test_awkward_and_empty(spark):
     assert sorted((str(r.doc_id), r.line, r.license) for r in got if r.confirmed) == [("2", 3000, "CC0-1.0"), ("None", 0, "MIT")]
     assert [(r.doc_id, r.line) for r in got if not r.confirmed] == [(2, 0)]
     assert scan_licenses(table(spark, "documents", SF)).columns[0] == "doc_id"
+
+
+def test_several_notices_in_one_line():
+    assert scan("Released under the MIT License. Docs licensed under CC BY 4.0.") == [(0, "MIT", True), (0, "CC-BY-4.0", True)]
+    far = "Copyright 2020 by them. " + prose(900, 1) + " Licensed under the Apache License, Version 2.0. " + prose(900, 2)
+    assert scan(far) == [(0, "Apache-2.0", True)]
+    assert scan("Released under the MIT License. " * 3) == [(0, "MIT", True)] * 3
+    assert scan("copyright x, licence y, " + prose(80, 3) + " copyright z") == [(0, scan("copyright x, licence y, "
+                + prose(80, 3))[0][1], False)]
+    assert scan("end...Licensed under CC BY 4.0. see--Licensed under CC0 1.0.") == [(0, "CC-BY-4.0", True), (0, "CC0-1.0", True)]
