@@ -51,3 +51,19 @@ def test_several_notices_in_one_line():
     assert scan("copyright x, licence y, " + prose(80, 3) + " copyright z") == [(0, scan("copyright x, licence y, "
                 + prose(80, 3))[0][1], False)]
     assert scan("end...Licensed under CC BY 4.0. see--Licensed under CC0 1.0.") == [(0, "CC-BY-4.0", True), (0, "CC0-1.0", True)]
+
+
+def test_wrapped_notices_keep_their_head():
+    for name, text, cut in (("MPL-2.0", TEMPLATES["MPL-2.0"][1], "Public "), ("Unlicense", TEMPLATES["Unlicense"][0], "the "),
+                            ("CC0-1.0", TEMPLATES["CC0-1.0"][1], "the ")):
+        head, tail = text.split(cut, 1) if name != "CC0-1.0" else text.split("to the ", 1)
+        wrapped = f"{head}{cut.strip() if name != 'CC0-1.0' else 'to the'}\n{tail}"
+        assert scan(prose(30, 1) + "\n" + wrapped + "\n" + prose(30, 2)) == [(1, name, True)]
+
+
+def test_every_template_is_tried():
+    """With more templates than any number of finalists the right one is still found."""
+    others = {f"X{i}": [f"Licensed under the Apache License, Version 2.0 with exception number {i}.1 of this list."] for i in range(40)}
+    rows = Scanner(others | {"Apache-2.0": TEMPLATES["Apache-2.0"][:1]}).scan(
+        "Licensed under the Apache License, Version 2.0. The exception number of this list is none.")
+    assert [(r["license"], r["confirmed"]) for r in rows] == [("Apache-2.0", True)]
