@@ -1,10 +1,11 @@
-"""Registered queries ``op1_* .. op10_*`` and ``pipeline`` with their SQL twins."""
+"""Registered queries ``op1_* .. op13_*`` and ``pipeline`` with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.llm.collocations import mine_phrases
 from foldwise.llm.common import read
 from foldwise.llm.decontam import find_leaks
 from foldwise.llm.langid import predict_languages
@@ -162,3 +163,32 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or as a paraphrase."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
+@query("""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+     g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+           FROM w, (VALUES (1), (2), (3), (4)) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+     c AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+     t AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+     q AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k >= 2 AND f >= 30),
+     cuts AS (SELECT q.lang, q.k, q.phrase, a, x.k AS c, x.f AS l, y.f AS r,
+                    CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+             FROM (SELECT q.*, cut, array_to_string(ws[1:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp
+                   FROM q, unnest(range(1, k)) AS u(cut)) q
+             LEFT JOIN c x ON x.lang = q.lang AND x.k = cut AND x.phrase = lp
+             LEFT JOIN c y ON y.lang = q.lang AND y.k = q.k - cut AND y.phrase = rp),
+     best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+     part AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+              FROM q, (VALUES (2), (3)) AS v(m), unnest(range(1, k - m + 2)) AS u(i) WHERE m < k GROUP BY ALL),
+     inner_ AS (SELECT q.lang, q.phrase FROM q JOIN part USING (lang, phrase) WHERE 100 * longer >= 80 * a),
+     r AS (SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+           FROM best ANTI JOIN inner_ USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM r JOIN t USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of two to four words of every language."""
+    return mine_phrases(read(spark, sf_dir, "documents"))
