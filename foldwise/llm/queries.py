@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.collocations import mine_phrases
 from foldwise.llm.common import read
+from foldwise.llm.conversations import damage, repair_report
 from foldwise.llm.decontam import find_leaks
 from foldwise.llm.langid import predict_languages
 from foldwise.llm.license_scan import scan_licenses
@@ -14,6 +15,7 @@ from foldwise.llm.ngram_join import similar_texts
 from foldwise.llm.packing import pack_documents
 from foldwise.llm.quality_rules import quality_verdicts
 from foldwise.llm.sharding import shard_documents
+from foldwise.llm.simhash import simhash_classes
 from foldwise.llm.suffix_dedup import repeat_report
 from foldwise.llm.toxicity import score_toxicity
 from foldwise.llm.warc import archive_pages
@@ -192,3 +194,62 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM r JOIN t
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best phrases of two to four words of every language."""
     return mine_phrases(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and class of near duplicates of every document."""
+    return simhash_classes(read(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+     crc AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                 list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                 lambda x, y: list_reduce(list_prepend(xor(x, y), range(0, 8)),
+                     lambda p, k: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)) AS c FROM raw),
+     hurt AS (SELECT conv_id, turn, xor(c, 4294967295) % 20 AS hit, role, text FROM crc),
+     rows_ AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                      CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+               FROM hurt, (VALUES (0), (1)) AS twice(t) WHERE hit <> 0 AND (t = 0 OR hit = 3)),
+     num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS i FROM rows_),
+     fault AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+                      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+                      NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+                      left(role, 1) AS ini, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS prev FROM num),
+     f AS (SELECT *, cut AND NOT blank AND NOT dup AS trunc FROM fault),
+     stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     sum(CAST(blank AS INT)) AS blank, sum(CAST(dup AND NOT blank AS INT)) AS duplicate,
+                     sum(CAST(trunc AS INT)) AS truncated,
+                     sum(CAST(i > 1 AND prev || ini NOT IN ('su', 'ua', 'au') AS INT)) AS illegal, max(i) AS n
+              FROM f GROUP BY conv_id),
+     ins(s, e, c, w, txt) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+         (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+         (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+     step(s, ini, e) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+     move AS (SELECT conv_id, i, s.s, s.e, CASE WHEN trunc THEN 5 ELSE 0 END AS c, 'K' AS w, chr(10) || role || ':' || text AS txt
+              FROM f JOIN step s USING (ini) WHERE NOT blank AND NOT dup
+              UNION ALL SELECT conv_id, i, s.s, s.e, CASE WHEN trunc THEN 6 ELSE 1 END, 'R',
+                     chr(10) || CASE s.ini WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text
+              FROM f, step s WHERE NOT blank AND NOT dup AND s.ini IN ('u', 'a')
+              UNION ALL SELECT conv_id, i, s.s, s.s, 2, 'D', '' FROM f, (VALUES (0), (1), (2), (3)) AS s(s)),
+     v AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, e AS st, c AS cost, w AS audit, txt FROM (SELECT DISTINCT conv_id FROM f), ins WHERE s = 0
+           UNION ALL
+           SELECT m.conv_id, m.i, ins.e, v.cost + m.c + ins.c, v.audit || m.w || ins.w, v.txt || m.txt || ins.txt
+           FROM v JOIN move m ON v.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = v.i + 1 AND m.s = v.st JOIN ins ON ins.s = m.e
+           QUALIFY row_number() OVER (PARTITION BY m.conv_id, ins.e ORDER BY v.cost + m.c + ins.c, v.audit || m.w || ins.w) = 1),
+     best AS (SELECT v.* FROM v JOIN stat ON v.conv_id IS NOT DISTINCT FROM stat.conv_id AND v.i = stat.n WHERE st IN (0, 3)
+              QUALIFY row_number() OVER (PARTITION BY v.conv_id ORDER BY cost, audit) = 1),
+     all_ AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT all_.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(substr(txt, 2), '')) AS repaired_sha256
+FROM all_ LEFT JOIN stat ON all_.conv_id IS NOT DISTINCT FROM stat.conv_id
+     LEFT JOIN best ON all_.conv_id IS NOT DISTINCT FROM best.conv_id
+""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by rule, its faults, and the cheapest repair of its structure."""
+    return repair_report(damage(read(spark, sf_dir, "conversations")))
