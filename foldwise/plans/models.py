@@ -27,6 +27,7 @@ SUPPORTED = {
     "rf": {"n_estimators", "max_depth", "min_samples_leaf"},
     "mlp": {"hidden", "n_features", "max_iter", "learning_rate"},
 }
+BOOSTED = "newton"      # second-order trees (plans/boost.py): every parameter of the native libraries counts
 COMMON = {"seed", "scale_pos_weight"}
 
 
@@ -34,7 +35,7 @@ COMMON = {"seed", "scale_pos_weight"}
 class ModelSpec:
     """``bag``, ``split`` and ``fold`` are the defaults of the training plan for this model."""
     name: str
-    mdl_type: str                    # lr | linear | gbt | rf | mlp
+    mdl_type: str                    # lr | linear | gbt | rf | mlp | newton
     param: dict = field(default_factory=dict)
     bag: int = 1
     split: int = 1
@@ -49,6 +50,8 @@ def class_weights(df: DataFrame, label: str = "target", pos_weight: float = 1.0,
 
 def dropped_params(spec: ModelSpec) -> list[str]:
     """Names of the spec that have no MLlib counterpart."""
+    if spec.mdl_type == BOOSTED:
+        return []
     return sorted(k for k in spec.param if k in UNSUPPORTED)
 
 
@@ -123,13 +126,31 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
     ModelSpec("stack_lr11", "lr", {"penalty": "l2", "C": 0.8}, bag=2, split=1, fold=5),
     ModelSpec("stack_lr2", "lr", {"penalty": "l2", "C": 2}, bag=3, split=1, fold=5),
     ModelSpec("xgbl", "linear", {"alpha": 0.0001, "lambda": 2, "seed": 1024}, bag=3, split=1, fold=5),
-    ModelSpec("xgb1", "gbt", {"learning_rate": 0.04, "n_estimators": 800, "seed": 1024, "colsample_bytree": 0.8,
+    ModelSpec("xgb1", "newton", {"learning_rate": 0.04, "n_estimators": 800, "seed": 1024, "colsample_bytree": 0.8,
                               "gamma": 0.59, "reg_alpha": 10.4, "reg_lambda": 5, "max_depth": 5,
                               "min_child_weight": 9.15, "subsample": 0.8, "n_jobs": 8}, bag=1, split=1, fold=5),
     ModelSpec("rgf1", "rf", {"n_estimators": 100, "max_depth": 8}, bag=1, split=1, fold=5,
               note="regularised greedy forest replaced by a random forest"),
     ModelSpec("mlp", "mlp", {"hidden": (128, 64)}, bag=1, split=1, fold=5),
+    ModelSpec("shadow.xgb1", "newton", {"objective": "binary:logistic", "learning_rate": 0.07, "n_estimators": 400,
+                                        "max_depth": 4, "scale_pos_weight": 1.6, "seed": 1024, "subsample": 0.9,
+                                        "colsample_bytree": 0.8, "min_child_weight": 6, "reg_lambda": 1.3,
+                                        "reg_alpha": 8.0, "n_jobs": 7}),
+    ModelSpec("shadow.xgb2", "newton", {"objective": "binary:logistic", "learning_rate": 0.07, "n_estimators": 400,
+                                        "max_depth": 4, "scale_pos_weight": 1.8, "seed": 1024, "subsample": 0.9,
+                                        "subsample_freq": 10, "colsample_bytree": 0.8, "min_child_samples": 500,
+                                        "n_jobs": 7}),
+    ModelSpec("shadow.lgb2", "newton", {"objective": "binary:logistic", "learning_rate": 0.02, "n_estimators": 1000,
+                                        "num_leaves": 16, "seed": 1024, "subsample": 0.8, "subsample_freq": 4,
+                                        "colsample_bytree": 0.3, "n_jobs": 7}),
+    ModelSpec("shadow.lgb3", "newton", {"objective": "binary:logistic", "learning_rate": 0.02, "n_estimators": 800,
+                                        "num_leaves": 18, "seed": 1024, "subsample": 0.8, "subsample_freq": 4,
+                                        "colsample_bytree": 0.5, "n_jobs": 7}),
     # smaller models of this library, under names of their own
+    ModelSpec("newton_small", "newton", {"learning_rate": 0.3, "n_estimators": 12, "max_depth": 4, "subsample": 0.8,
+                                         "colsample_bytree": 0.8, "reg_alpha": 0.5, "reg_lambda": 1.3, "gamma": 0.1}),
+    ModelSpec("leafwise_small", "newton", {"learning_rate": 0.3, "n_estimators": 8, "num_leaves": 8,
+                                           "subsample": 0.8, "subsample_freq": 4, "colsample_bytree": 0.8}),
     ModelSpec("gbt_small", "gbt", {"learning_rate": 0.1, "n_estimators": 20, "max_depth": 4, "subsample": 0.8}),
     ModelSpec("rf_small", "rf", {"n_estimators": 20, "max_depth": 6}),
     ModelSpec("mlp_small", "mlp", {"hidden": (16,), "max_iter": 40}),

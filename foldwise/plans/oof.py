@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from foldwise.functions.hashing import hash_mod
 from foldwise.operators.folds import kfold_stratified, seed_schedule
 from foldwise.operators.target import TargetEncoding, fit_target_encoding
-from foldwise.plans.models import ModelSpec, build_estimator, class_weights, positive_probability
+from foldwise.plans.boost import BoostParams, fit_boosted, learning_curve_gini, predict_boosted
+from foldwise.plans.models import BOOSTED, ModelSpec, build_estimator, class_weights, positive_probability
 from foldwise.session import materialize
 
 
@@ -90,6 +92,9 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
     keep = list(dict.fromkeys([id_col, split_col, label, *te_models, *features, *arrays]))
     prepared = materialize(base.select(*keep), "oof-prepared")
 
+    if spec.mdl_type == BOOSTED:
+        return _oof_boosted(prepared, spec, features, label, k, runs, splits, fold_of, te_models, seed, bag_seed_step,
+                            upsample, pos_weight, early_stop, id_col, split_col)
     sizes = {}
     for fc in te_models:
         for r in prepared.groupBy(fc).count().collect():
@@ -138,18 +143,45 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
     return out if splits > 1 else out.drop("rep")
 
 
+EARLY_STOP = 50        # stages without a better held-out Gini (fixed value of the reference's runs)
+
+
+def _oof_boosted(prepared: DataFrame, spec: ModelSpec, features, label: str, k: int, runs, splits: int, fold_of, te_models,
+                 seed: int, bag_seed_step, upsample: bool, pos_weight, early_stop, id_col: str, split_col: str) -> DataFrame:
+    """The fold models of a run are fitted together (plans/boost.py).  A positive row that upsampling
+    doubles has weight 2; ``early_stop`` may be a number of stages."""
+    params = BoostParams.of(spec.param)
+    if pos_weight is not None:
+        params = replace(params, scale_pos_weight=float(pos_weight))
+    patience = EARLY_STOP if early_stop is True else int(early_stop)
+    weight = F.when(F.col(label) == 1, F.lit(2.0 if upsample else 1.0)).otherwise(F.lit(1.0))
+    parts = []
+    for s, b in runs:
+        fc = fold_of[s, b]
+        te = te_models[fc]
+        own = [_fold_features(te, j, prefix=f"_te{fc}_", suffix=f"_avg_{j}") for j in range(k)]
+        rows = prepared.select(id_col, split_col, label, fc, *features, *[c for cols in own for c in cols],
+                               weight.alias("_weight"))
+        names = [list(features) + ([f"{c}_avg_{j}" for c in te.cols] if te is not None else []) for j in range(k)]
+        step = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, 0, b)
+        model = fit_boosted(rows, names, replace(params, seed=step), label, fc, id_col, "_weight", patience)
+        pred = predict_boosted(rows, model, label, fc, id_col, split_col)
+        parts.append(pred.select(id_col, F.lit(spec.name).alias("model"), split_col, "fold",
+                                 F.lit(b).cast("int").alias("bag"), F.lit(s).cast("int").alias("rep"), "pred"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if splits > 1 else out.drop("rep")
+
+
 def learning_curve(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
-                   fold_col: str = "fold", fold: int = 0, allow_drop: bool = False) -> DataFrame:
-    """Log-loss after each boosting stage on the fold's train and valid parts."""
-    from pyspark.ml.feature import VectorAssembler
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    lab = asm.transform(df.filter(F.col(fold_col).isNotNull()))
-    train, valid = lab.filter(F.col(fold_col) != fold), lab.filter(F.col(fold_col) == fold)
-    model = build_estimator(spec, train.count(), "features", label, None, 1024, allow_drop).fit(train)
-    tr = model.evaluateEachIteration(train)
-    va = model.evaluateEachIteration(valid)
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
-    return df.sparkSession.createDataFrame(rows, "iteration int, train_loss double, valid_loss double")
+                   fold_col: str = "fold", k: int = 5, every: int = 1, id_col: str = "id") -> DataFrame:
+    """Exact Gini of all fold models on their train and held-out rows after every ``every`` stages."""
+    if spec.mdl_type != BOOSTED:
+        raise ValueError(f"no stages in a model of type {spec.mdl_type!r}")
+    kept = materialize(df.select(id_col, label, fold_col, *features), "curve")
+    model = fit_boosted(kept, [list(features)] * k, BoostParams.of(spec.param), label, fold_col, id_col)
+    return learning_curve_gini(kept, model, label, fold_col, id_col, every)
 
 
 def permute_columns(df: DataFrame, cols: Sequence[str], seed: int = 2024, id_col: str = "id",

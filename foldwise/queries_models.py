@@ -91,8 +91,9 @@ def q_oof_upsampled(spark, sf_dir):
 
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
+    """Gini of every fold model after each stage, on its train and its held-out rows."""
     df = model_frame(spark, sf_dir)
-    return round_doubles(oo.learning_curve(df, mo.lookup("gbt_small"), NUMS))
+    return round_doubles(oo.learning_curve(df, mo.lookup("newton_small"), NUMS))
 
 
 @register("shadow_importance")
@@ -235,6 +236,69 @@ def q_oof_tree_means(spark, sf_dir):
     return round_doubles(oo.oof_tree(fx.policy_folds(spark, sf_dir), "prio_cat").select("id", "split", "fold", "pred"))
 
 
+# One depth-2 tree of every fold model, from its definition: all cuts of all columns, L1, L2 and minimum gain.
+_T = {"alpha": 2.0, "lambda": 1.5, "gamma": 0.5, "eta": 0.3, "least": 5.0}
+_TREE_COLS = ["prio_cat", "month_cat", "nation_cat"]
+
+
+def _score_sql(n: str, s: str) -> str:
+    """Score of a leaf of n rows, s of them positive, at margin 0: gradient sum n / 2 - s, hessian sum n / 4."""
+    t = f"greatest(abs(0.5 * {n} - {s}) - {_T['alpha']}, 0.0)"
+    return f"({t} * {t} / (0.25 * {n} + {_T['lambda']}))"
+
+
+def _level_sql(level: int) -> list[tuple[str, str]]:
+    """CTEs ``best{level}`` (model, node -> column, cut) and ``n{level}`` (rows with their node after it)."""
+    src = f"n{level - 1}"
+    cols = "[" + ", ".join(_TREE_COLS) + "]"
+    gain = f"{_score_sql('nl', 'sl')} + {_score_sql('nr', 'sr')} - {_score_sql('nt', 'st')} - {_T['gamma']}"
+    picked = "CASE fi " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_TREE_COLS)) + " END"
+    return [
+        (f"h{level}", f"SELECT j, node, fi, v, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM (SELECT j, node, y, "
+                      f"unnest(range(0, {len(_TREE_COLS)})) AS fi, unnest({cols}) AS v FROM {src} WHERE fold <> j) GROUP BY ALL"),
+        (f"cum{level}", f"SELECT j, node, fi, v, nl, sl, nt, st, nt - nl AS nr, st - sl AS sr FROM (SELECT j, node, fi, v, "
+                        f"sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER t AS nt, sum(s) OVER t AS st FROM h{level} "
+                        f"WINDOW w AS (PARTITION BY j, node, fi ORDER BY v), t AS (PARTITION BY j, node, fi))"),
+        (f"best{level}", f"SELECT j, node, fi, v FROM (SELECT *, {gain} AS gain FROM cum{level} WHERE nr > 0 AND 0.25 * nl >= {_T['least']} "
+                         f"AND 0.25 * nr >= {_T['least']}) WHERE gain > 1e-12 "
+                         f"QUALIFY row_number() OVER (PARTITION BY j, node ORDER BY gain DESC, fi, v) = 1"),
+        (f"n{level}", f"SELECT r.* REPLACE (CASE WHEN b.fi IS NULL THEN r.node || '-' WHEN {picked} <= b.v THEN r.node || 'l' "
+                      f"ELSE r.node || 'r' END AS node) FROM {src} r LEFT JOIN best{level} b ON b.j = r.j AND b.node = r.node"),
+    ]
+
+
+_TREE_CTES = [("n0", "SELECT id, split, fold, CAST(target AS DOUBLE) AS y, CAST(k.j AS INT) AS j, '' AS node, "
+                     + ", ".join(_TREE_COLS) + " FROM planted CROSS JOIN range(0, 5) k(j)"),
+              *_level_sql(1), *_level_sql(2),
+              ("leaf", f"SELECT j, node, -sign(g) * greatest(abs(g) - {_T['alpha']}, 0.0) / (h + {_T['lambda']}) * {_T['eta']} AS value "
+                       "FROM (SELECT j, node, 0.5 * count(*) - sum(y) AS g, 0.25 * count(*) AS h FROM n2 WHERE fold <> j GROUP BY j, node)")]
+
+
+@register("oof_newton_trees", duck_with(
+    "SELECT r.id, r.split, r.j AS fold, round(1.0 / (1.0 + exp(-l.value)), 6) AS pred FROM n2 r JOIN leaf l ON l.j = r.j AND l.node = r.node "
+    "WHERE r.fold = r.j OR r.split = 'test'", "planted", extra=_TREE_CTES))
+def q_oof_newton_trees(spark, sf_dir):
+    """One second-order tree of depth 2 through the whole out-of-fold plan."""
+    spec = mo.ModelSpec("newton2", "newton", {
+        "learning_rate": _T["eta"], "n_estimators": 1, "max_depth": 2, "reg_alpha": _T["alpha"], "reg_lambda": _T["lambda"],
+        "gamma": _T["gamma"], "min_child_weight": _T["least"]})
+    preds = oo.oof_train(fx.planted(spark, sf_dir), spec, _TREE_COLS)
+    return round_doubles(preds.select("id", "split", "fold", "pred"))
+
+
+@register("oof_newton")
+def q_oof_newton(spark, sf_dir):
+    """M1: boosted second-order trees by level, with target encodings and stopping on the held-out Gini."""
+    df = model_frame(spark, sf_dir)
+    return _preds(oo.oof_train(df, mo.lookup("newton_small"), NUMS, te_cols=TE, early_stop=5))
+
+
+@register("oof_leafwise")
+def q_oof_leafwise(spark, sf_dir):
+    """M1: boosted trees grown best-first to a number of leaves."""
+    return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("leafwise_small"), NUMS))
+
+
 @register("kmeans_planted", duck_with(
     "SELECT c_custkey AS id, " + ", ".join(
         f"round(exp(-1.0 * sqrt(pow(x - (SELECT avg(x) FROM pts WHERE g = {j}), 2) + "

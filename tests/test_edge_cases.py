@@ -51,7 +51,9 @@ def test_perceptron_refuses_weights(frame):
 
 def test_parameters_are_rejected_by_default(frame):
     with pytest.raises(ValueError):
-        oo.oof_train(frame, mo.lookup("xgb1"), NUMS, k=2)
+        oo.oof_train(frame, mo.ModelSpec("x", "gbt", mo.lookup("xgb1").param), NUMS, k=2)
+    with pytest.raises(ValueError):
+        oo.oof_train(frame, mo.ModelSpec("x", "newton", {"invented": 1}), NUMS, k=2)
     with pytest.raises(ValueError):
         mo.build_estimator(mo.ModelSpec("x", "lr", {"invented": 1}), 10, allow_drop=True)
 

@@ -42,7 +42,8 @@ def test_registry_lookup_error():
 
 
 def test_unsupported_params_rejected_when_strict():
-    spec = mo.lookup("xgb1")
+    spec = mo.ModelSpec("x", "gbt", mo.lookup("xgb1").param)      # the same parameters for the MLlib learner
+    assert mo.dropped_params(mo.lookup("xgb1")) == []
     with pytest.raises(ValueError):
         mo.build_estimator(spec, 100, allow_drop=False)
     mo.build_estimator(spec, 100, allow_drop=True)
