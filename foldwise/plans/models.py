@@ -66,6 +66,17 @@ def _check(spec: ModelSpec, allow_drop: bool) -> dict:
     return {k: v for k, v in spec.param.items() if k not in UNSUPPORTED | COMMON}
 
 
+def linear_penalties(spec: ModelSpec, allow_drop: bool = False) -> dict:
+    """Penalties on raw coefficients and the summed loss: C of scikit-learn, alpha and lambda of the linear booster."""
+    p = _check(spec, allow_drop)
+    rounds = {"max_iter": int(p["max_iter"])} if "max_iter" in p else {}
+    if spec.mdl_type == "linear":
+        return {"l1": float(p.get("alpha", 0.0)), "l2": float(p.get("lambda", 1.0)), **rounds}
+    strength = 1.0 / float(p.get("C", 1.0))
+    return {"l1" if p.get("penalty", "l2") == "l1" else "l2": strength,
+            "l2" if p.get("penalty", "l2") == "l1" else "l1": 0.0, **rounds}
+
+
 def build_estimator(spec: ModelSpec, n_train: int, features_col: str = "features", label: str = "target",
                     weight_col: str | None = None, seed: int = 1024, allow_drop: bool = False):
     """The MLlib estimator for one fold model."""

@@ -10,7 +10,6 @@ OOF rows carry their own fold, test rows one row per fold model.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -22,7 +21,8 @@ from foldwise.functions.hashing import hash_mod
 from foldwise.operators.folds import kfold_stratified, seed_schedule
 from foldwise.operators.target import TargetEncoding, fit_target_encoding
 from foldwise.plans.boost import BoostParams, fit_boosted, learning_curve_gini, predict_boosted
-from foldwise.plans.models import BOOSTED, ModelSpec, build_estimator, class_weights, positive_probability
+from foldwise.plans.linear import fit_linear, predict_linear
+from foldwise.plans.models import BOOSTED, ModelSpec, build_estimator, linear_penalties, class_weights, positive_probability
 from foldwise.session import materialize
 
 
@@ -33,22 +33,6 @@ def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", s
     return [F.coalesce(F.element_at(F.col(prefix + c), k + 1), F.lit(prior)).alias(c + suffix) for c in model.cols]
 
 
-def check_fit(model) -> None:
-    """Raise when a linear fit has no finite objective or ended above its start."""
-    if not getattr(model, "hasSummary", False) or not hasattr(model.summary, "objectiveHistory"):
-        return
-    history = list(model.summary.objectiveHistory)
-    if not history or not all(math.isfinite(h) for h in history) or history[-1] > history[0] + 1e-9:
-        raise ValueError(f"the fit did not converge: objective {history[:1]} -> {history[-1:]}")
-
-
-def varying(train: DataFrame, names: Sequence[str]) -> list[str]:
-    """The inputs that vary in ``train``: constant (or all but constant) inputs carry nothing
-    and stall the line search of the linear learners."""
-    row = train.agg(*[F.struct(F.stddev_pop(c).alias("s"), F.max(F.abs(c)).alias("m")).alias(c) for c in names]).first()
-    return [c for c in names if row[c]["s"] is not None and row[c]["s"] > 1e-7 * max(row[c]["m"], 1e-300)]
-
-
 def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
               fold_col: str = "fold", k: int = 5, bags: int = 1, splits: int = 1, stratified: bool = False,
               seed: int = 1024, te_cols: Sequence[str] = (),
@@ -92,9 +76,9 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
     keep = list(dict.fromkeys([id_col, split_col, label, *te_models, *features, *arrays]))
     prepared = materialize(base.select(*keep), "oof-prepared")
 
-    if spec.mdl_type == BOOSTED:
-        return _oof_boosted(prepared, spec, features, label, k, runs, splits, fold_of, te_models, seed, bag_seed_step,
-                            upsample, pos_weight, early_stop, id_col, split_col)
+    if spec.mdl_type in (BOOSTED, "lr", "linear"):
+        return _oof_joint(prepared, spec, features, label, k, runs, splits, fold_of, te_models, seed, bag_seed_step,
+                          upsample, pos_weight, early_stop, allow_drop, id_col, split_col)
     sizes = {}
     for fc in te_models:
         for r in prepared.groupBy(fc).count().collect():
@@ -109,8 +93,6 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
         n_train = sum(v for (f, value), v in sizes.items() if f == fc and value is not None and value != j)
         learner_seed = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, j, b)
         train = rows.filter(F.col(fc).isNotNull() & (F.col(fc) != j))
-        if spec.mdl_type in ("lr", "linear"):
-            names = varying(train, names)
         if upsample:
             train = train.unionByName(train.filter(F.col(label) == 1))
         stop = early_stop and spec.mdl_type == "gbt"
@@ -127,7 +109,6 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
             est.set(est.getParam("validationTol"), 0.01)
         asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
         model = est.fit(asm.transform(train))
-        check_fit(model)
         score = rows.filter((F.col(fc) == j) | (F.col(split_col) == "test"))
         pred = model.transform(asm.transform(score))
         return pred.select(id_col, F.lit(spec.name).alias("model"), split_col,
@@ -146,16 +127,22 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
 EARLY_STOP = 50        # stages without a better held-out Gini (fixed value of the reference's runs)
 
 
-def _oof_boosted(prepared: DataFrame, spec: ModelSpec, features, label: str, k: int, runs, splits: int, fold_of, te_models,
-                 seed: int, bag_seed_step, upsample: bool, pos_weight, early_stop, id_col: str, split_col: str) -> DataFrame:
-    """The fold models of a run are fitted together (plans/boost.py).  A positive row that upsampling
-    doubles has weight 2; ``early_stop`` may be a number of stages."""
-    params = BoostParams.of(spec.param)
-    if pos_weight is not None:
-        params = replace(params, scale_pos_weight=float(pos_weight))
-    patience = EARLY_STOP if early_stop is True else int(early_stop)
-    weight = F.when(F.col(label) == 1, F.lit(2.0 if upsample else 1.0)).otherwise(F.lit(1.0))
-    parts = []
+def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: int, runs, splits: int, fold_of, te_models,
+               seed: int, bag_seed_step, upsample: bool, pos_weight, early_stop, allow_drop: bool, id_col: str,
+               split_col: str) -> DataFrame:
+    """Learners whose fold models are fitted together (plans/boost.py, plans/linear.py).  A positive row that
+    upsampling doubles has weight 2; ``early_stop`` may be a number of stages."""
+    weighted = F.lit(2.0 if upsample else 1.0)
+    if spec.mdl_type == BOOSTED:
+        params = BoostParams.of(spec.param)
+        if pos_weight is not None:
+            params = replace(params, scale_pos_weight=float(pos_weight))
+        patience = EARLY_STOP if early_stop is True else int(early_stop)
+    else:
+        penalty = linear_penalties(spec, allow_drop)
+        weighted = weighted * F.lit(1.0 if pos_weight is None else float(pos_weight))
+    weight = F.when(F.col(label) == 1, weighted).otherwise(F.lit(1.0))
+    parts, shared = [], {}
     for s, b in runs:
         fc = fold_of[s, b]
         te = te_models[fc]
@@ -163,9 +150,14 @@ def _oof_boosted(prepared: DataFrame, spec: ModelSpec, features, label: str, k:
         rows = prepared.select(id_col, split_col, label, fc, *features, *[c for cols in own for c in cols],
                                weight.alias("_weight"))
         names = [list(features) + ([f"{c}_avg_{j}" for c in te.cols] if te is not None else []) for j in range(k)]
-        step = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, 0, b)
-        model = fit_boosted(rows, names, replace(params, seed=step), label, fc, id_col, "_weight", patience)
-        pred = predict_boosted(rows, model, label, fc, id_col, split_col)
+        if spec.mdl_type == BOOSTED:
+            step = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, 0, b)
+            model = fit_boosted(rows, names, replace(params, seed=step), label, fc, id_col, "_weight", patience)
+            pred = predict_boosted(rows, model, label, fc, id_col, split_col)
+        else:
+            if fc not in shared:                     # nothing is drawn: bags on the same folds are the same model
+                shared[fc] = fit_linear(rows, names, **penalty, label=label, fold_col=fc, weight_col="_weight")
+            pred = predict_linear(rows, shared[fc], fc, id_col, split_col)
         parts.append(pred.select(id_col, F.lit(spec.name).alias("model"), split_col, "fold",
                                  F.lit(b).cast("int").alias("bag"), F.lit(s).cast("int").alias("rep"), "pred"))
     out = parts[0]

@@ -299,6 +299,56 @@ def q_oof_leafwise(spark, sf_dir):
     return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("leafwise_small"), NUMS))
 
 
+# A saturated model (one 0/1 column per value, no penalty) predicts the weighted mean label of a value over the
+# other folds: a closed form for the whole out-of-fold plan, its folds, bags, splits and weights.
+_MEAN_COLS = [f"prio_{v}" for v in range(1, 6)]
+
+
+def _means_sql(weight: float = 1.0, bags: int = 1, refold: bool = False, reps: int = 1, stratified: bool = False) -> str:
+    parts = []
+    for r in range(reps):
+        for b in range(bags):
+            seed = 1024 + 11 * r + (10 * b if refold else 0)
+            fold = _FOLD.format(seed=seed) if not stratified else (
+                "CAST((row_number() OVER (PARTITION BY split, target "
+                f"ORDER BY md5('{seed}:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INT)")
+            parts.append(f"SELECT id, split, target, prio_cat, {r} AS rep, {b} AS bag, "
+                         f"CASE WHEN split = 'train' THEN {fold} END AS fold FROM planted")
+    return duck_with(
+        "SELECT r.id, r.split, CAST(m.j AS INT) AS fold, CAST(r.bag AS INT) AS bag, CAST(r.rep AS INT) AS rep, round(m.mean, 6) AS pred "
+        f"FROM rows_ r JOIN (SELECT rep, bag, j, prio_cat, {weight} * sum(target) / ({weight} * sum(target) + count(*) - sum(target)) AS mean "
+        "FROM rows_ CROSS JOIN range(0, 5) k(j) WHERE fold <> j GROUP BY rep, bag, j, prio_cat) m "
+        "ON m.rep = r.rep AND m.bag = r.bag AND m.prio_cat = r.prio_cat AND (r.fold = m.j OR r.split = 'test')",
+        "planted", extra=[("rows_", " UNION ALL ".join(parts))])
+
+
+def _saturated(spark, sf_dir, **kw):
+    df = fx.planted(spark, sf_dir).select(
+        "id", "split", "target", "fold", *[(F.col("prio_cat") == v).cast("int").alias(f"prio_{v}") for v in range(1, 6)])
+    spec = mo.ModelSpec("saturated", "linear", {"alpha": 0.0, "lambda": 0.0})
+    preds = oo.oof_train(df, spec, _MEAN_COLS, **kw)
+    preds = preds if "rep" in preds.columns else preds.withColumn("rep", F.lit(0))
+    return round_doubles(preds.select("id", "split", "fold", "bag", "rep", "pred"))
+
+
+def _register_means():
+    """X8 plain, X9 folds per bag, X10 bags on shared folds, X5 repeated splits, X4 stratified, X11 upsampled, M6 weighted."""
+    for name, sql, kw in [
+            ("oof_means", {}, {}),
+            ("oof_means_refolded", {"weight": 1.7, "bags": 2, "refold": True}, {"pos_weight": 1.7, "bags": 2, "refold_per_bag": True}),
+            ("oof_means_bagged", {"bags": 2}, {"bags": 2}),
+            ("oof_means_repeated", {"reps": 2}, {"splits": 2}),
+            ("oof_means_stratified", {"stratified": True}, {"stratified": True}),
+            ("oof_means_upsampled", {"weight": 2.0}, {"upsample": True}),
+            ("oof_means_weighted", {"weight": 1.6}, {"pos_weight": 1.6})]:
+        def run(spark, sf_dir, kw=kw):
+            return _saturated(spark, sf_dir, **kw)
+        register(name, _means_sql(**sql))(run)
+
+
+_register_means()
+
+
 @register("kmeans_planted", duck_with(
     "SELECT c_custkey AS id, " + ", ".join(
         f"round(exp(-1.0 * sqrt(pow(x - (SELECT avg(x) FROM pts WHERE g = {j}), 2) + "
