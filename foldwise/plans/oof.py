@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_mod
 from foldwise.operators.folds import kfold_stratified, seed_schedule
+from foldwise.operators.nested import fit_nested_encoding, nested_element
 from foldwise.operators.target import TargetEncoding, fit_target_encoding
 from foldwise.plans.boost import BoostParams, fit_boosted, learning_curve_gini, predict_boosted
 from foldwise.plans.linear import fit_linear, predict_linear
@@ -26,9 +27,12 @@ from foldwise.plans.models import BOOSTED, ModelSpec, build_estimator, linear_pe
 from foldwise.session import materialize
 
 
-def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", suffix: str = "_avg"):
+def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", suffix: str = "_avg", folds: int = 0, fold_col: str = ""):
+    """Encodings for fold model k; of nested encodings (k * k elements) the one that also leaves out the row's own fold."""
     if model is None:
         return []
+    if folds and model.k == folds * folds:
+        return [nested_element(model, F.col(prefix + c), folds, F.col(fold_col), k).alias(c + suffix) for c in model.cols]
     prior = model.priors[k]
     return [F.coalesce(F.element_at(F.col(prefix + c), k + 1), F.lit(prior)).alias(c + suffix) for c in model.cols]
 
@@ -36,12 +40,13 @@ def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", s
 def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str = "target",
               fold_col: str = "fold", k: int = 5, bags: int = 1, splits: int = 1, stratified: bool = False,
               seed: int = 1024, te_cols: Sequence[str] = (),
-              te_params: tuple[float, float] = (200, 10), refold_per_bag: bool = False,
+              te_params: tuple[float, float] = (200, 10), nested: bool = False, refold_per_bag: bool = False,
               bag_seed_step: int | None = None, upsample: bool = False, pos_weight: float | None = None,
               early_stop: bool = False, allow_drop: bool = False, parallelism: int = 2, id_col: str = "id",
               split_col: str = "split") -> DataFrame:
     """X8 (+X4 stratified folds, X5 repeated splits, X9 folds re-drawn per bag, X10 learner seeds per bag,
-    X11 upsampling of the train side, M1 early stopping on the held-out fold, M6 class weights).
+    X11 upsampling of the train side, M1 early stopping on the held-out fold, M6 class weights).  ``nested``
+    encodes the train rows of a fold model without their own fold, too (operators/nested.py).
 
     The learner seed follows ``seed_schedule`` (split, fold, bag), or moves by ``bag_seed_step`` per
     bag when that is given.  ``pos_weight`` defaults to the spec's ``scale_pos_weight``.  At most
@@ -69,7 +74,8 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
     te_models: dict[str, TargetEncoding | None] = dict.fromkeys(fold_of.values())
     if te_cols:
         for fc in te_models:
-            te_models[fc] = fit_target_encoding(base, list(te_cols), label, fc, k, te_params[0], te_params[1])
+            fit = fit_nested_encoding if nested else fit_target_encoding
+            te_models[fc] = fit(base, list(te_cols), label, fc, k, te_params[0], te_params[1])
             base = te_models[fc].attach(base, F.col("enc"), prefix=f"_te{fc}_")
     # only what the fold models read is written (column pruning before the copy)
     arrays = [f"_te{fc}_{c}" for fc, m in te_models.items() if m is not None for c in m.cols]
@@ -89,7 +95,7 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
         fc = fold_of[s, b]
         te = te_models[fc]
         names = list(features) + ([c + "_avg" for c in te.cols] if te is not None else [])
-        rows = prepared.select(id_col, split_col, label, fc, *features, *_fold_features(te, j, prefix=f"_te{fc}_"))
+        rows = prepared.select(id_col, split_col, label, fc, *features, *_fold_features(te, j, f"_te{fc}_", "_avg", k, fc))
         n_train = sum(v for (f, value), v in sizes.items() if f == fc and value is not None and value != j)
         learner_seed = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, j, b)
         train = rows.filter(F.col(fc).isNotNull() & (F.col(fc) != j))
@@ -146,7 +152,7 @@ def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: in
     for s, b in runs:
         fc = fold_of[s, b]
         te = te_models[fc]
-        own = [_fold_features(te, j, prefix=f"_te{fc}_", suffix=f"_avg_{j}") for j in range(k)]
+        own = [_fold_features(te, j, f"_te{fc}_", f"_avg_{j}", k, fc) for j in range(k)]
         rows = prepared.select(id_col, split_col, label, fc, *features, *[c for cols in own for c in cols],
                                weight.alias("_weight"))
         names = [list(features) + ([f"{c}_avg_{j}" for c in te.cols] if te is not None else []) for j in range(k)]

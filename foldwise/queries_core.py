@@ -8,6 +8,7 @@ from foldwise.functions.hashing import duck_hash_mod
 from foldwise.operators import folds as fo
 from foldwise.operators import metrics as me
 from foldwise.operators import target as te
+from foldwise.operators.nested import target_encode_nested
 from foldwise.registry import register, round_doubles
 from foldwise.sources import fixtures as fx
 from foldwise.sources.fixtures import duck_with
@@ -217,3 +218,30 @@ def q_te_oof_documents(spark, sf_dir):
     model = te.fit_target_encoding(df, DOC_CATS, min_samples_leaf=20, smoothing=10)
     enc = model.transform_fold_or_full(df)
     return round_doubles(enc.select("id", "fold", *[c + "_avg" for c in DOC_CATS]))
+
+
+def _nested_sql(cols, msl, smooth) -> str:
+    """By definition: one aggregate of the labelled rows per pair of folds, joined to the rows of the pair."""
+    extra = [("pairs", "SELECT CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j FROM range(0, 5) a(i), range(0, 5) b(j)"),
+             ("prior", "SELECT i, j, avg(CAST(target AS DOUBLE)) AS p FROM policy_folds CROSS JOIN pairs "
+                       "WHERE fold IS NOT NULL AND fold <> i AND fold <> j GROUP BY i, j")]
+    joins, outs = [], []
+    for c in cols:
+        w = f"(1.0 / (1.0 + exp(-(n - {msl}.0) / {smooth}.0)))"
+        extra.append((f"e_{c}", f"SELECT i, j, v, p * (1.0 - {w}) + s / n * {w} AS e FROM (SELECT i, j, {c} AS v, CAST(count(*) AS DOUBLE) AS n, "
+                                f"CAST(sum(target) AS DOUBLE) AS s FROM policy_folds CROSS JOIN pairs WHERE fold IS NOT NULL AND fold <> i AND fold <> j "
+                                f"AND {c} IS NOT NULL GROUP BY i, j, v) JOIN prior USING (i, j)"))
+        joins.append(f"LEFT JOIN e_{c} ON e_{c}.i = r.i AND e_{c}.j = r.j AND e_{c}.v = r.{c}")
+        outs.append(f"round(coalesce(e_{c}.e, prior.p), 6) AS {c}_avg")
+    return duck_with(
+        "SELECT r.id, r.j AS model_fold, r.part, " + ", ".join(outs) + " FROM (SELECT f.*, m.j, coalesce(f.fold, m.j) AS i, "
+        "CASE WHEN f.fold IS NULL THEN 'test' WHEN f.fold = m.j THEN 'valid' ELSE 'train' END AS part "
+        "FROM policy_folds f CROSS JOIN (SELECT DISTINCT j FROM pairs) m) r JOIN prior ON prior.i = r.i AND prior.j = r.j " + " ".join(joins),
+        "policy_folds", extra=extra)
+
+
+@register("te_nested", _nested_sql(CATS, 200, 10))
+def q_te_nested(spark, sf_dir):
+    """Encodings of every fold model's train, held-out and test rows, none with the row's own label."""
+    enc = target_encode_nested(fx.policy_folds(spark, sf_dir), CATS, min_samples_leaf=200, smoothing=10)
+    return round_doubles(enc.select("id", "model_fold", "part", *[c + "_avg" for c in CATS]))
