@@ -44,7 +44,8 @@ from foldwise.operators.joins import join_stats
 
 ORDER, DISCOUNT = 6, 0.75
 WINDOW = 6
-CHUNK_WORDS = 1_000_000       # words of texts that are scored together
+CHUNK_DISTINCT = 300_000      # distinct words of texts that are scored together
+CHUNK_WORDS = 8_000_000       # and their words at most
 CALIBRATION = 8               # one learning document in so many may be kept for the logistic fit
 MAX_CALIBRATION = 20_000      # but at most about so many are; the others are counted
 THRESHOLD = 0.3
@@ -95,23 +96,27 @@ def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFr
 
 
 def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, order: int = ORDER) -> DataFrame:
-    """(word, score): the difference of its log-likelihoods per character, of distinct words."""
+    """(word, score): the difference of its log-likelihoods per character, of distinct words, each named by its hash.
+
+    Distinct n-grams meet the table first, so the many rows of all words are shuffled once for their
+    n-grams and once for their sums."""
     p = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     rows = (words.withColumn("p", p).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("p"))))
-            .select("word", F.expr(f"substring(p, greatest(1, i - {order - 1}), least(i, {order}))").alias("gram")))
-    rows = join_stats(rows, ratios, "gram", "left", n_ratios)
+            .select(F.xxhash64("word").alias("word"), F.expr(f"substring(p, greatest(1, i - {order - 1}), least(i, {order}))").alias("gram")))
+    grams = join_stats(rows.select("gram").distinct(), ratios, "gram", "left", n_ratios)
     # the character never followed: both classes back off (keys of grams that were found match nothing)
     context = F.when(F.col("r").isNull(), F.expr("concat('\x01', left(gram, length(gram) - 1))")).otherwise(
         F.concat(F.lit("\x02"), "gram"))
-    rows = join_stats(rows.select("word", "r", context.alias("context")),
-                      ratios.select(F.col("gram").alias("context"), F.col("r").alias("back")), "context", "left", n_ratios)
+    grams = join_stats(grams.select("gram", "r", context.alias("context")),
+                       ratios.select(F.col("gram").alias("context"), F.col("r").alias("back")), "context", "left", n_ratios)
     unit = float(1 << 32)                       # whole numbers, so the order of summation is of no account
     part = F.round(F.coalesce("r", "back", F.lit(0.0)) * unit).cast("long")
-    return rows.groupBy("word").agg((F.sum(part) / F.count(F.lit(1)) / unit).alias("score"))
+    rows = rows.join(grams.select("gram", part.alias("part")), "gram")
+    return rows.groupBy("word").agg((F.sum("part") / F.count(F.lit(1)) / unit).alias("score"))
 
 
 def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (..., text) as word numbers, in chunks of about ``CHUNK_WORDS`` words, beside one row per
+    """Rows (..., text) as word numbers, in chunks of about ``CHUNK_DISTINCT`` distinct words, beside one row per
     word (``word``, ``number``) of each chunk."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType([*rest, *T._parse_datatype_string("chunk long, numbers binary, word string, number int")])
@@ -138,7 +143,7 @@ def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
                 held += len(words)
                 found.append(zlib.compress(np.array([number.setdefault(w, len(number)) for w in words], "<i4").tobytes(), 1))
             yield batch(got.num_rows, numbers=pa.array(found, pa.binary()), **{f.name: got.column(f.name) for f in rest})
-            if held >= CHUNK_WORDS:
+            if len(number) >= CHUNK_DISTINCT or held >= CHUNK_WORDS:
                 yield from close()
                 n, held = n + 1, 0
         if number:
@@ -152,8 +157,9 @@ def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Sc
     their scores, so no task holds more of the model than its chunk needs."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
     table = chunked(rows, scratch, f"{name}-chunks")
-    words = table.filter("word is not null").select(F.col("chunk").alias("of"), "word", "number")
+    words = table.filter("word is not null")
     scores = scratch.put(word_scores(words.select("word").distinct(), ratios, n_ratios), f"{name}-words")
+    words = words.select(F.col("chunk").alias("of"), F.xxhash64("word").alias("word"), "number")
     known = join_stats(words, scores, "word", "inner", scores.count()).select("of", "number", "score")
     schema = T.StructType([*rest, *T._parse_datatype_string("mean double, most double")])
     arrow = to_arrow_schema(schema)
@@ -229,10 +235,14 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, np.ndarray
              .groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     words = scratch.put(words, "words")
     ratios = fit_ratios(words, scratch)
+    scratch.drop("words", "grams")
     n_ratios, weights = ratios.count(), np.zeros(3)
     # bounded: about MAX_CALIBRATION rows
     got = with_features(rows.filter(kept).select("text", "toxic"), ratios, n_ratios, scratch, "calibration").toPandas()
-    if len(got):
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not (counts.get(0) and counts.get(1)):           # one class only: nothing to tell apart
+        weights[0] = np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
+    elif len(got):
         got = got.sort_values(["toxic", "mean", "most"])
         weights = logistic_fit(got[["mean", "most"]].to_numpy(), got["toxic"].to_numpy(float))
     return ratios, n_ratios, weights

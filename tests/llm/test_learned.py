@@ -111,6 +111,14 @@ def test_toxicity_awkward(spark):
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
 
 
+def test_labels_of_one_class_give_the_base_rate(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    for toxic in (0, 1):
+        one = labels.filter(F.col("toxic") == toxic)
+        scores = {r.score for r in toxicity.score_toxicity(docs, one).collect()}
+        assert len(scores) == 1 and (min(scores) < 0.1) == (toxic == 0)
+
+
 def test_surplus_calibration_rows_are_counted(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_CALIBRATION", 50)
     rows = spark.range(8000).withColumnRenamed("id", "doc_id")
