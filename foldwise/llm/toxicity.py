@@ -95,7 +95,7 @@ def fit_ratios(words: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFr
     return scratch.put(seen.union(unseen).select("gram", "r"), "ratios")
 
 
-def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, order: int = ORDER) -> DataFrame:
+def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Scratch, name: str, order: int = ORDER) -> DataFrame:
     """(word, score): the difference of its log-likelihoods per character, of distinct words, each named by its hash.
 
     Distinct n-grams meet the table first, so the many rows of all words are shuffled once for their
@@ -111,7 +111,8 @@ def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, order: int =
                        ratios.select(F.col("gram").alias("context"), F.col("r").alias("back")), "context", "left", n_ratios)
     unit = float(1 << 32)                       # whole numbers, so the order of summation is of no account
     part = F.round(F.coalesce("r", "back", F.lit(0.0)) * unit).cast("long")
-    rows = rows.join(grams.select("gram", part.alias("part")), "gram")
+    grams = scratch.put(grams.select("gram", part.alias("part")), name)
+    rows = join_stats(rows, grams, "gram", "inner", grams.count())
     return rows.groupBy("word").agg((F.sum("part") / F.count(F.lit(1)) / unit).alias("score"))
 
 
@@ -158,7 +159,7 @@ def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Sc
     rest = [f for f in rows.schema.fields if f.name != "text"]
     table = chunked(rows, scratch, f"{name}-chunks")
     words = table.filter("word is not null")
-    scores = scratch.put(word_scores(words.select("word").distinct(), ratios, n_ratios), f"{name}-words")
+    scores = scratch.put(word_scores(words.select("word").distinct(), ratios, n_ratios, scratch, f"{name}-grams"), f"{name}-words")
     words = words.select(F.col("chunk").alias("of"), F.xxhash64("word").alias("word"), "number")
     known = join_stats(words, scores, "word", "inner", scores.count()).select("of", "number", "score")
     schema = T.StructType([*rest, *T._parse_datatype_string("mean double, most double")])
@@ -174,7 +175,7 @@ def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Sc
     docs = table.filter("numbers is not null").select(*[f.name for f in rest], "chunk", "numbers")
     out = docs.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(work, schema)
     out = scratch.put(out, name)
-    scratch.drop(f"{name}-chunks", f"{name}-words")
+    scratch.drop(f"{name}-chunks", f"{name}-words", f"{name}-grams")
     return out
 
 
