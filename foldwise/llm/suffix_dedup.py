@@ -13,9 +13,12 @@ over all texts, without ever sorting the whole corpus in one place:
    a twentieth of the text).  The pieces of one anchor are suffix-sorted together
    (``suffix_sort``; the shared core is one symbol), and two windows are equal if and only
    if they are next to each other among equal ones in the suffix array; neighbours are compared in full.
-   Anchors with more than ``PIECES`` different pieces are dealt over several
-   blocks; windows that find no equal in their block are matched across
-   blocks by a 128-bit hash, with one row for each class of equal windows.
+   Anchors with more than ``PIECES`` different pieces get a second anchor: the substring of
+   a quarter of the bytes around the core with the least hash.  Windows of a piece that
+   name the same one stay together as a smaller piece, so equal windows meet again, and
+   the smaller pieces are counted and told apart as in 2 and 3, in ``ROUNDS`` rounds with
+   a new hash each.  What is still too much after the last round is counted window by
+   window, by a 128-bit hash.
 
 Texts are keyed by 128 bits and pieces by two independent 64-bit hashes; equal
 texts are one text with a count.  The longest state of a task is one text or one block.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,7 @@ from foldwise.operators.joins import join_stats
 
 LENGTH, CORE = 400, 256
 PIECES = 512                  # different pieces of one anchor that are sorted together
+ROUNDS = 3                    # further anchors that a crowded anchor's pieces are dealt by
 BLOCK_PIECES = 1500           # pieces a task sorts side by side
 CHUNK = 1 << 19               # windows of one text handled at a time (positions fit 20 bits)
 
@@ -186,43 +191,125 @@ def equal_windows(groups: list[list[tuple[bytes, bytes, int]]], width: int) -> l
     return out
 
 
-def _match_pieces(length: int, core: int, limit: int):
+def _match_pieces(length: int, core: int):
     width = length - core + 1
-    names = ["kind", "k1", "k2", "lo", "hi", "a", "b"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "part", "p"], ignore_index=True)
-        members = [g.index.to_numpy() for _, g in pdf.groupby(["h", "part"], sort=False)]
+        pdf = pdf.sort_values(["h", "p"], ignore_index=True)
+        members = [g.index.to_numpy() for _, g in pdf.groupby("h", sort=False)]
         col = {c: pdf[c].tolist() for c in pdf.columns}
         groups = [[(col["left"][i], col["right"][i], col["hi"][i] - col["lo"][i] + 1) for i in m] for m in members]
         out = []
         for m, classes in zip(members, equal_windows(groups, width), strict=True):
             ids, count = np.unique(np.concatenate(classes), return_counts=True)
-            split = col["different"][m[0]] > limit
-            shown: set[int] = set()
             for i, own in zip(m, classes, strict=True):
-                twice = count[np.searchsorted(ids, own)] > 1
                 if col["c"][i] == 1:
+                    twice = count[np.searchsorted(ids, own)] > 1
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.view(np.int8), [0]])))
-                    out += [(0, col["k1"][i], col["k2"][i], col["lo"][i] + x, col["lo"][i] + y - 1, 0, 0)
+                    out += [(col["k1"][i], col["k2"][i], col["lo"][i] + x, col["lo"][i] + y - 1)
                             for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-                if split:
-                    left, right = col["left"][i], col["right"][i]
-                    for x, (cls, found) in enumerate(zip(own.tolist(), twice.tolist(), strict=True)):
-                        if cls in shown:
-                            continue
-                        shown.add(cls)
-                        before = len(left) - x
-                        d = xxhash.xxh3_128_intdigest(left[x:] + right[:width - 1 - before], seed=before)
-                        open_ = col["c"][i] == 1 and not found
-                        at = col["lo"][i] + x
-                        out.append((1 if open_ else 2, col["k1"][i], col["k2"][i], at, at, (d >> 64) - (1 << 63),
-                                    ((d & ((1 << 64) - 1)) ^ (col["h"][i] & ((1 << 64) - 1))) - (1 << 63)))
-        return pd.DataFrame(out, columns=names).astype("int64")
+        return pd.DataFrame(out, columns=["k1", "k2", "lo", "hi"]).astype("int64")
 
     return work
 
 
+PIECE = ["k1", "k2", "h", "p", "c", "lo", "hi", "left", "right"]
+PIECE_SCHEMA = "k1 long, k2 long, h long, p long, c long, lo long, hi long, left binary, right binary"
+
+
+def second_anchors(left: bytes, right: bytes, windows: int, around: int, gram: int, rolls: Rolling) -> np.ndarray:
+    """Every window's least-hash substring of ``gram`` bytes among its ``around`` bytes outside the
+    core, as its start counted from the core (negative: before it); leftmost on ties."""
+    codes = []
+    for raw in (left, right):
+        raw = np.frombuffer(raw, np.uint8)
+        sums, n = rolls.sums(raw), max(0, len(raw) - gram + 1)
+        codes.append(mix((sums[gram:] - sums[:-gram]) * rolls.down[:n]) if n else np.zeros(0, np.uint64))
+    far = np.iinfo(np.uint64).max
+    # of the left side a window has a tail, of the right side a head: running minima from either end
+    tail = np.append(codes[0], far)[::-1]
+    head = np.append(far, codes[1])
+    tail_least, head_least = np.minimum.accumulate(tail), np.minimum.accumulate(head)
+
+    def place(values, least):                                  # where the running minimum was met
+        at = np.where(np.append(True, values[1:] < least[:-1]), np.arange(len(values)), 0)
+        return np.maximum.accumulate(at)
+
+    x = np.arange(windows)
+    before = len(left) - x                                     # bytes of the window before its core
+    in_tail = len(tail) - 1 - np.minimum(x, len(tail) - 1)
+    in_head = np.clip(around - before - gram + 1, 0, len(head) - 1)
+    from_left = len(tail) - 1 - place(tail, tail_least)[in_tail] - len(left)
+    from_right = place(head, head_least)[in_head] - 1
+    use_left = (tail_least[in_tail] <= head_least[in_head]) & (before >= gram)
+    return np.where(use_left, from_left, from_right)
+
+
+def as_long(raw: bytes) -> int:
+    return int.from_bytes(raw, "little", signed=True)
+
+
+def as_bytes(value: int) -> bytes:
+    return int(value).to_bytes(8, "little", signed=True)
+
+
+def _deal_pieces(length: int, core: int, turn: int):
+    """Pieces -> smaller pieces of the windows that share a second anchor; ``turn`` ``ROUNDS``: single windows.
+
+    ``h`` becomes a hash of the old one, the second anchor and its place, ``p`` one of the piece and its core's place."""
+    around = length - core
+    gram = max(1, around // 4)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rolls = Rolling(2 * around + 1, 21 + turn)
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                left, right, windows = row.left, row.right, row.hi - row.lo + 1
+                if turn < ROUNDS:
+                    at = second_anchors(left, right, windows, around, gram, rolls)
+                    edge = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [windows]]).tolist()
+                else:
+                    at, edge = np.zeros(windows, np.int64), list(range(windows + 1))
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    own_left, own_right = left[a:], right[:around - len(left) + b - 1]
+                    whole = xxhash.xxh3_128_digest(own_left + own_right, seed=len(own_left))
+                    if turn < ROUNDS:
+                        start = int(at[a])
+                        second = left[len(left) + start:][:gram] if start < 0 else right[start:start + gram]
+                        key = start.to_bytes(8, "little", signed=True) + second
+                    else:
+                        key, own_left, own_right = whole[8:], b"", b""
+                    out.append((row.k1, row.k2, as_long(xxhash.xxh3_64_digest(as_bytes(row.h) + key)), as_long(whole[:8]), row.c,
+                                row.lo + a, row.lo + b - 1, own_left, own_right))
+            yield pd.DataFrame(out, columns=PIECE)
+
+    return work
+
+
+def _deal_crowded(scratch: Scratch, cut: DataFrame, length: int, core: int, limit: int):
+    """Pieces of crowded anchors -> (pieces whose anchors are no longer crowded, repeated windows)."""
+    ready, repeated = [], []
+    for turn in range(ROUNDS + 1):
+        dealt = scratch.put(cut.mapInPandas(_deal_pieces(length, core, turn), PIECE_SCHEMA), f"dealt{turn}")
+        each = (dealt.groupBy("h", "p").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "lo", "hi", "left", "right")).alias("one"))
+                .select("h", "p", "c", "one.*"))
+        each = scratch.put(each, f"kinds{turn}")
+        # an own piece that occurs again is repeated throughout
+        repeated.append(dealt.filter("c = 1").join(each.filter("c > 1").select("h", "p"), ["h", "p"], "left_semi")
+                        .select("k1", "k2", "lo", "hi"))
+        if turn == ROUNDS:
+            break                                              # single windows: those that stand alone are not repeated
+        open_ = (each.groupBy("h").agg(F.count(F.lit(1)).alias("different"), F.min("c").alias("least"))
+                 .filter("least = 1 AND different > 1").drop("least"))
+        each = scratch.put(each.join(scratch.put(open_, f"open{turn}"), "h"), f"each{turn}")
+        ready.append(each.filter(F.col("different") <= limit).select(*PIECE))
+        cut = each.filter(F.col("different") > limit).select(*PIECE)
+        if cut.isEmpty():
+            break
+    return ready, repeated
+
+
 def merge_spans(lo, hi) -> list[int]:
     """Sorted, disjoint [start, stop) spans, flat."""
     order = np.argsort(lo, kind="stable")
@@ -260,22 +347,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, co
     wanted = pieces.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("h", "p", "c", "different", "lo", "hi", "at")).alias("pieces"))
     cut = _cut_pieces(join_stats(rows, wanted, ["k1", "k2"], "inner", n_pieces, width=80), length, core).dropDuplicates(["h", "p"])
-    part = F.when(F.col("different") > limit, F.pmod(F.xxhash64("p"), F.ceil(F.col("different") / limit))).otherwise(0)
+    ready, again = [cut.select(*PIECE)], []
+    if pieces.filter(F.col("different") > limit).limit(1).count():
+        cut = scratch.put(cut, "cut")
+        ready, again = _deal_crowded(scratch, cut.filter(F.col("different") > limit).select(*PIECE), length, core, limit)
+        ready.append(cut.filter(F.col("different") <= limit).select(*PIECE))
     blocks = max(1, -(-n_pieces // BLOCK_PIECES))
-    found = (cut.withColumn("part", part.cast("bigint"))
-             .withColumn("block", F.pmod(F.xxhash64("h", "part"), F.lit(blocks)))
+    found = (reduce(DataFrame.union, ready)
+             .withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
              # little data, much work: as many tasks as asked for, not as few as the bytes suggest
              .repartition(max(partitions(spark), blocks // 4), "block")
-             .groupBy("block").applyInPandas(_match_pieces(length, core, limit),
-                                             "kind long, k1 long, k2 long, lo long, hi long, a long, b long"))
+             .groupBy("block").applyInPandas(_match_pieces(length, core), "k1 long, k2 long, lo long, hi long"))
     found = scratch.put(found, "found")
-    # windows without an equal in their block that have one in another block
-    across = found.filter("kind > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    late = found.filter("kind = 1").join(across, ["a", "b"]).select("k1", "k2", "lo", "hi")
     spans = (shared.filter("not mixed").select("k1", "k2", "lo", "hi")
              .union(shared.filter("mixed").join(single, ["h", "p"], "left_anti").select("k1", "k2", "lo", "hi"))
-             .union(found.filter("kind = 0").select("k1", "k2", "lo", "hi")).union(late)
-             .union(own))
+             .union(found).union(own))
+    for more in again:
+        spans = spans.union(more)
 
     @F.pandas_udf("array<long>")
     def merged(lo: pd.Series, hi: pd.Series) -> pd.Series:

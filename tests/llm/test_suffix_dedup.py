@@ -70,6 +70,46 @@ def test_shared_passages_with_different_neighbours(spark):
     assert got(docs, core=200) == want
 
 
+def test_second_anchors_are_those_of_the_window():
+    """A window's second anchor depends on the window's bytes alone, and is the least by hash among all its substrings."""
+    around, gram = 40, 10
+    rolls = sd.Rolling(2 * around + 1, 21)
+    text, core = prose(40, 3)[:200].encode(), 90
+
+    def code(raw):
+        sums = rolls.sums(np.frombuffer(raw, np.uint8))
+        return sd.mix((sums[-1:] - sums[:1]) * rolls.down[:1])[0]
+
+    for lo, windows in ((50, 41), (60, 7), (86, 5), (89, 2)):
+        left, right = text[lo:core], text[core + 5:core + 5 + around - (core - lo) + windows - 1]
+        got_at = sd.second_anchors(left, right, windows, around, gram, rolls)
+        for x in range(windows):
+            own_left, own_right = left[x:], right[:around - len(left) + x]
+            places = {i - len(own_left): code(own_left[i:i + gram]) for i in range(len(own_left) - gram + 1)}
+            places |= {i: code(own_right[i:i + gram]) for i in range(len(own_right) - gram + 1)}
+            assert places[got_at[x]] == min(places.values())
+
+
+def test_crowded_anchor(spark, monkeypatch):
+    """One core with hundreds of different neighbourhoods: dealt by further anchors, at last window by window."""
+    core, draw = prose(90, 5)[:280], np.random.default_rng(4)
+    sides = [prose(30, 300 + i)[:100] for i in range(6)]
+    texts = []
+    for i in range(60):
+        left, right = sides[draw.integers(6)], sides[draw.integers(6)]
+        edit = int(draw.integers(0, 100))
+        texts.append(left[:edit] + str(i) + left[edit:] + core + right + str(i) if i % 3 else left + core + right[:edit] + "#" + right[edit:])
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sum(r[2] for r in want) > 0
+    assert got(docs) == want
+    assert got(docs, limit=4) == want
+    assert got(docs, limit=1) == want
+    monkeypatch.setattr(sd, "ROUNDS", 0)
+    assert got(docs, limit=1) == want
+
+
 def test_chunks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 700)
     rows = [(1, prose(900, 1)), (2, prose(300, 2) + prose(900, 1)[1000:3000] + prose(300, 3)), (3, "q" * 5000)]
