@@ -13,6 +13,8 @@ features x bins cells, however many rows there are; at most ``CELLS`` of them a
 * Splits use L1 (soft threshold of the gradient sum), L2, minimum gain, minimum hessian and
   minimum rows; NULLs go to whichever side gains more.  Ties go to the first feature, then bin.
 * Columns are drawn per tree and per level, rows per tree (or every ``subsample_freq`` trees), by hash.
+* The objective ``pairwise`` takes gradients over all positive-negative pairs (plans/pairwise.py): one
+  more pass a tree sums the classes per score bucket of every model.  Predictions stay sigmoids of margins.
 * Every ``refresh`` trees the margins are written anew, which cuts the lineage and bounds the work
   a step repeats.  The same moment scores all stages since the last one with one grouped Gini pass and
   stops the models whose held-out Gini has not risen for ``early_stop`` stages.
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.ordered import running_sums
+from foldwise.plans import pairwise
 from foldwise.session import default_buckets, delete_path, released, scratch_path
 
 CELLS = 4_000_000            # (leaf, feature, bin) cells a job may return
@@ -39,7 +42,8 @@ NAMES = {"eta": "learning_rate", "lambda": "reg_lambda", "alpha": "reg_alpha", "
          "bagging_fraction": "subsample", "bagging_freq": "subsample_freq", "feature_fraction": "colsample_bytree",
          "min_split_gain": "gamma", "min_split_loss": "gamma", "num_round": "n_estimators"}
 IGNORED = {"n_jobs", "nthread", "silent", "booster"}         # neither changes a model
-OBJECTIVES = {"binary:logistic": "logistic", "binary": "logistic", "logistic": "logistic"}
+OBJECTIVES = {"binary:logistic": "logistic", "binary": "logistic", "logistic": "logistic",
+              "rank:pairwise": "pairwise", "pairwise": "pairwise"}
 
 
 @dataclass(frozen=True)
@@ -227,6 +231,8 @@ class Growth:
         self.recent: list[list[Tree]] = [[] for _ in places]      # trees since the margins were written
         self.growing: list[Tree | None] = [None] * len(places)
         self.turn = 0                                              # number of the tree that grows
+        self.span = [[0.0, 0.0] for _ in places]                   # least and greatest margin the trees can give
+        self.pairs: list[np.ndarray | None] = [None] * len(places)     # pairwise: gradients by score bucket
 
     def margins(self, bins: np.ndarray, stored: np.ndarray) -> np.ndarray:
         out = stored.copy()
@@ -235,6 +241,52 @@ class Growth:
                 out[:, j] += tree.values(bins[:, self.places[j]])
         return out
 
+    def drawn(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Rows of the current tree's sample, of any fold."""
+        p = self.params
+        return (batch.column("part").to_numpy(zero_copy_only=False) >= 0) & _chosen(
+            batch.column("draw").to_numpy(), p.seed + self.turn // max(1, p.subsample_freq), p.subsample)
+
+    def gradients(self, j: int, y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = w * np.where(y == 1, self.params.scale_pos_weight, 1.0)
+        if self.params.objective != "pairwise":
+            return logistic_gradients(y, weight, margin)
+        at = pairwise.bucket_of(margin, *self.span[j])
+        g_pos, h_pos, g_neg, h_neg = self.pairs[j]
+        return np.where(y == 1, g_pos[at], g_neg[at]) * weight, np.where(y == 1, h_pos[at], h_neg[at]) * weight
+
+    def meet_pairs(self, rows: DataFrame, models: list[int]) -> None:
+        """Pairwise gradients of every score bucket, from exact class sums of one pass over the rows."""
+        size, unit = pairwise.BUCKETS, self.scale / 2.0 ** 8
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, len(self.places) * size), np.int64)
+            low, high = np.full(total.shape[1], np.inf), np.full(total.shape[1], -np.inf)
+            for batch in batches:
+                part, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "y", "w"))
+                margins = self.margins(_matrix(batch.column("bins"), np.uint16), _matrix(batch.column("margins"), float))
+                drawn = self.drawn(batch)
+                for j in models:
+                    use = np.flatnonzero(drawn & (part != j))
+                    margin, positive = margins[use, j], y[use] == 1
+                    cell = pairwise.bucket_of(margin, *self.span[j])
+                    weight = np.rint(w[use] * np.where(positive, self.params.scale_pos_weight, 1.0) * unit)
+                    own = slice(j * size, (j + 1) * size)
+                    for side, mine in ((0, positive), (1, ~positive)):
+                        total[side, own] += np.bincount(cell[mine], weight[mine], size).astype(np.int64)
+                    np.minimum.at(low[own], cell, margin)
+                    np.maximum.at(high[own], cell, margin)
+            at = np.flatnonzero(high >= low)
+            yield pa.RecordBatch.from_pydict({"cell": at, "pos": total[0][at], "neg": total[1][at], "low": low[at], "high": high[at]})
+
+        found = rows.mapInArrow(work, "cell long, pos long, neg long, low double, high double").groupBy("cell").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+        found["bucket"] = found["cell"] % size
+        for j in models:
+            own = found[found["cell"] // size == j].copy()
+            own[["pos", "neg"]] = own[["pos", "neg"]] / unit
+            self.pairs[j] = pairwise.tables(own)
+
     def sums(self, rows: DataFrame, scan: list[tuple[int, int]]) -> np.ndarray:
         """(scanned leaf, feature, bin, [rows, gradient, hessian]) as exact integers; ``scan`` lists (model, leaf)."""
         wide = max(len(p) for p in self.places)
@@ -252,16 +304,15 @@ class Growth:
         slots: dict[int, dict[int, int]] = {}
         for slot, (model, leaf) in enumerate(scan):
             slots.setdefault(model, {})[leaf] = slot
-        params, count = self.params, len(scan)
-        sample_seed = params.seed + self.turn // max(1, params.subsample_freq)
+        count = len(scan)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((3, count, wide, self.bins), np.int64)
             for batch in batches:
                 part, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "y", "w"))
-                bins, draw = _matrix(batch.column("bins"), np.uint16), batch.column("draw").to_numpy()
+                bins = _matrix(batch.column("bins"), np.uint16)
                 margins = self.margins(bins, _matrix(batch.column("margins"), float))
-                drawn = (part >= 0) & _chosen(draw, sample_seed, params.subsample)
+                drawn = self.drawn(batch)
                 for j, leaves in slots.items():
                     use = np.flatnonzero(drawn & (part != j))
                     own = bins[np.ix_(use, self.places[j])]
@@ -269,8 +320,7 @@ class Growth:
                     slot_of[list(leaves)] = list(leaves.values())
                     slot = slot_of[self.growing[j].leaf_of(own)]
                     use, own, slot = use[slot >= 0], own[slot >= 0], slot[slot >= 0]
-                    weight = w[use] * np.where(y[use] == 1, params.scale_pos_weight, 1.0)
-                    g, h = logistic_gradients(y[use], weight, margins[use, j])
+                    g, h = self.gradients(j, y[use], w[use], margins[use, j])
                     g, h = np.rint(g * self.scale), np.rint(h * self.scale)
                     for f in range(own.shape[1]):
                         cell = slot * self.bins + own[:, f]
@@ -290,7 +340,7 @@ class Growth:
 
 def leaf_value(g, h, params: BoostParams):
     """Newton step under L1 and L2, times the learning rate."""
-    return -np.sign(g) * np.maximum(np.abs(g) - params.reg_alpha, 0.0) / (h + params.reg_lambda) * params.learning_rate
+    return -np.sign(g) * np.maximum(np.abs(g) - params.reg_alpha, 0.0) / np.maximum(h + params.reg_lambda, 1e-300) * params.learning_rate
 
 
 def leaf_score(g, h, params: BoostParams):
@@ -348,6 +398,8 @@ def _grow(growth: Growth, rows: DataFrame, models: list[int]) -> None:
         columns = _columns_drawn(count[j], p.colsample_bylevel, f"{p.seed}:{j}:{growth.turn}:{depth}", by_tree[j])
         return best_split(sums[:count[j]], p, columns, scale)
 
+    if p.objective == "pairwise":
+        growth.meet_pairs(rows, models)
     held: dict[tuple[int, int], tuple] = {}                # open leaves: (sums, best split)
 
     def open_leaf(j: int, leaf: int, sums: np.ndarray) -> None:
@@ -387,6 +439,8 @@ def _grow(growth: Growth, rows: DataFrame, models: list[int]) -> None:
             open_leaf(j, large, sums - part)
     for j in models:
         growth.recent[j].append(growth.growing[j])
+        leaves_of = [v for v, f in zip(growth.growing[j].value, growth.growing[j].feature) if f < 0]
+        growth.span[j] = [growth.span[j][0] + float(min(leaves_of)), growth.span[j][1] + float(max(leaves_of))]
 
 
 # ---- fit and predict ----------------------------------------------------------------------------
@@ -406,7 +460,8 @@ def fit_boosted(df: DataFrame, columns: Sequence[Sequence[str]], params: BoostPa
     rows = store.put(binned.repartition(default_buckets(spark), "draw"))
     size = rows.agg(F.count(F.lit(1)), F.max("w")).first()
     most = max(1.0, (size[0] or 1) * (size[1] or 1.0) * max(1.0, params.scale_pos_weight))
-    scale = 2.0 ** min(36, 61 - math.ceil(math.log2(most)))
+    # a pair gradient can exceed 1 by the ratio of the classes: fewer bits leave it the room
+    scale = 2.0 ** min(30 if params.objective == "pairwise" else 36, 61 - math.ceil(math.log2(most)))
     places = [[physical.index(c) for c in own] for own in columns]
     growth = Growth(params, places, 2 + max((len(e) for e in edges.values()), default=0), scale)
     trees: list[list[Tree]] = [[] for _ in range(k)]

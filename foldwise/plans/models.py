@@ -157,7 +157,16 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
     ModelSpec("shadow.lgb3", "newton", {"objective": "binary:logistic", "learning_rate": 0.02, "n_estimators": 800,
                                         "num_leaves": 18, "seed": 1024, "subsample": 0.8, "subsample_freq": 4,
                                         "colsample_bytree": 0.5, "n_jobs": 7}),
+    *[ModelSpec(f"rk.{name}", "newton", {"objective": "rank:pairwise", "learning_rate": 0.1, "n_estimators": 1000,
+                                         "colsample_bytree": share, "gamma": gamma, "max_depth": depth,
+                                         "min_child_weight": least, "scale_pos_weight": weight, "subsample": rows,
+                                         "silent": 1, "n_jobs": 8, "seed": 99}, bag=3, split=1, fold=5)
+      for name, share, gamma, depth, least, weight, rows in [
+          ("xgb1", 0.4488, 2.511, 3, 19, 1.99, 0.9831), ("xgb2", 0.554, 9.6, 3, 19, 1.5, 0.92),
+          ("xgb3", 0.407, 2.17, 4, 9.4, 1.3, 0.76)]],
     # smaller models of this library, under names of their own
+    ModelSpec("pairwise_small", "newton", {"objective": "rank:pairwise", "learning_rate": 0.3, "n_estimators": 8, "max_depth": 3,
+                                           "subsample": 0.9, "colsample_bytree": 0.8}),
     ModelSpec("newton_small", "newton", {"learning_rate": 0.3, "n_estimators": 12, "max_depth": 4, "subsample": 0.8,
                                          "colsample_bytree": 0.8, "reg_alpha": 0.5, "reg_lambda": 1.3, "gamma": 0.1}),
     ModelSpec("leafwise_small", "newton", {"learning_rate": 0.3, "n_estimators": 8, "num_leaves": 8,

@@ -11,6 +11,7 @@ from foldwise.operators import metrics as me
 from foldwise.operators import scale as sc
 from foldwise.plans import models as mo
 from foldwise.plans import oof as oo
+from foldwise.plans import pairwise as pw
 from foldwise.plans import stack as sk
 from foldwise.plans import sweep as sw
 from foldwise.registry import register, round_doubles
@@ -299,6 +300,33 @@ def q_oof_leafwise(spark, sf_dir):
     return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("leafwise_small"), NUMS))
 
 
+@register("oof_pairwise")
+def q_oof_pairwise(spark, sf_dir):
+    """M1, 2.12: boosted trees on the pairwise ranking objective."""
+    return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("pairwise_small"), NUMS))
+
+
+_PAIR_SCORE = "(prio_cat * 25 + nation_cat) / 40.0"
+
+
+@register("pair_gradients", duck_with(
+    "SELECT r.id, r.fold, round(CASE WHEN r.target = 1 THEN -a.above_n ELSE a.below_p END * t.norm, 6) AS g, "
+    "round(CASE WHEN r.target = 1 THEN a.curve_n ELSE a.curve_p END * t.norm, 6) AS h "
+    "FROM rows_ r JOIN pairs a ON a.fold = r.fold AND a.score = r.score "
+    "JOIN (SELECT fold, (sum(p) + sum(n)) / (sum(p) * sum(n)) AS norm FROM classes GROUP BY fold) t ON t.fold = r.fold",
+    "planted", extra=[
+        ("rows_", f"SELECT id, fold, target, CAST({_PAIR_SCORE} AS DOUBLE) AS score FROM planted WHERE split = 'train'"),
+        ("classes", "SELECT fold, score, CAST(sum(target) AS DOUBLE) AS p, CAST(sum(1 - target) AS DOUBLE) AS n FROM rows_ GROUP BY fold, score"),
+        ("pairs", "SELECT x.fold, x.score, sum(y.n * s) AS above_n, sum(y.n * s * (1 - s)) AS curve_n, sum(y.p * (1 - s)) AS below_p, "
+                  "sum(y.p * s * (1 - s)) AS curve_p FROM (SELECT a.fold, a.score, b.score AS other, "
+                  "1.0 / (1.0 + exp(a.score - b.score)) AS s FROM classes a JOIN classes b ON a.fold = b.fold) x "
+                  "JOIN classes y ON y.fold = x.fold AND y.score = x.other GROUP BY x.fold, x.score")]))
+def q_pair_gradients(spark, sf_dir):
+    """2.12 ``rk``: gradients of the ranking loss over all pairs of each fold."""
+    rows = fx.planted(spark, sf_dir).filter("split = 'train'").withColumn("score", F.expr(_PAIR_SCORE).cast("double"))
+    return round_doubles(pw.pair_gradients(rows, "target", "score", by=["fold"]).select("id", "fold", "g", "h"))
+
+
 # A saturated model (one 0/1 column per value, no penalty) predicts the weighted mean label of a value over the
 # other folds: a closed form for the whole out-of-fold plan, its folds, bags, splits and weights.
 _MEAN_COLS = [f"prio_{v}" for v in range(1, 6)]
