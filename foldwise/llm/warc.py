@@ -11,7 +11,11 @@ files below about 256 MB).  Members and plain records are checked (gzip CRC,
 header syntax, Content-Length, record trailer, payload digest).  After a failed
 check the reader searches for the next gzip magic or ``WARC/1.`` line that
 again gives a valid record, goes on from there, and logs the skipped bytes as a
-gap row (file, offset, length, reason).
+gap row (file, offset, length, reason).  The search also goes on inside a member: an intact member
+with a bad record gives its other records and a gap row (the member's place; the reason names the bytes
+of the inflated data), and a damaged or cut member gives the records before the damage, with its place
+and length 0, as the member's bytes are a gap.  More than ``PADDING`` zero bytes in a row between
+records are a gap too.
 
 Edge cases: a null payload is empty; a null or odd URL is percent-escaped or left out;
 pages that tie on the largest id are all responses; a null id is written as
@@ -35,6 +39,8 @@ from foldwise.operators.joins import join_stats
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 URN = "urn:page:"
+MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+PADDING = 4                          # zero bytes between records that are not worth a gap row
 STAMP = "1970-01-01T00:00:00Z"       # archives of the same pages are equal byte for byte
 READ_SCHEMA = ("file string, offset long, length long, reason string, record_type string, page_id long, "
                "refers_to long, url string, payload_bytes long, payload_digest string, payload binary")
@@ -106,20 +112,22 @@ class BadRecord(ValueError):
     pass
 
 
-def inflate(buf: bytes, pos: int) -> tuple[bytes, int]:
-    """The gzip member at ``pos`` and the position after it; its CRC is checked."""
+def inflate(buf: bytes, pos: int, step: int = 65536) -> tuple[bytes, int, str | None]:
+    """The gzip member at ``pos``, the position after it, and what is wrong with it (its CRC is checked).
+
+    Of a damaged member the data before the damage come back: it is read again in small steps."""
     d = zlib.decompressobj(31)
     out, at = [], pos
     try:
         while not d.eof:
-            piece = buf[at:at + 65536]
+            piece = buf[at:at + step]
             if not piece:
-                raise BadRecord("truncated member")
+                return b"".join(out), at, "truncated member"
             out.append(d.decompress(piece))
             at += len(piece)
-    except zlib.error as e:
-        raise BadRecord("bad member") from e
-    return b"".join(out), at - len(d.unused_data)
+    except zlib.error:
+        return inflate(buf, pos, 64) if step > 64 else (b"".join(out), at, "bad member")
+    return b"".join(out), at - len(d.unused_data), None
 
 
 def _page(value: str | None):
@@ -130,7 +138,7 @@ def _page(value: str | None):
 def parse_record(buf: bytes, pos: int) -> tuple[dict, int]:
     """The plain WARC record at ``pos`` and the position after its trailer."""
     end = buf.find(b"\r\n\r\n", pos)
-    if not buf.startswith(b"WARC/1.", pos) or end < 0:
+    if not buf.startswith(VERSION, pos) or end < 0:
         raise BadRecord("no record header")
     fields = {}
     for line in buf[pos:end].decode("utf-8", "replace").split("\r\n")[1:]:
@@ -162,38 +170,59 @@ def parse_record(buf: bytes, pos: int) -> tuple[dict, int]:
             "payload_bytes": length, "payload_digest": got.lower() or None, "payload": block}, stop + 4
 
 
-def _records_at(buf: bytes, pos: int) -> tuple[list[dict], int]:
-    """The valid record, or the member of valid records, that starts at ``pos``."""
-    if buf.startswith(b"\x1f\x8b", pos):
-        data, after = inflate(buf, pos)
-        out, at = [], 0
-        while at < len(data):
-            record, at = parse_record(data, at)
-            out.append(record)
-        return out, after
-    record, after = parse_record(buf, pos)
-    return [record], after
+class Marks:
+    """Places where a record or member may begin; what was found is kept, so a file is searched once."""
+
+    def __init__(self, buf: bytes, members: bool):
+        self.buf = buf
+        self.at = {mark: -1 for mark in ((MEMBER, VERSION) if members else (VERSION,))}
+
+    def after(self, pos: int) -> int:
+        for mark, at in self.at.items():
+            if at <= pos:
+                found = self.buf.find(mark, pos + 1)
+                self.at[mark] = found if found >= 0 else len(self.buf)
+        return min(self.at.values())
+
+
+def _lost(skipped: bytes) -> bool:
+    """Whether skipped bytes are more than line ends and a little padding."""
+    return bool(skipped.strip(b"\r\n\x00")) or skipped.count(0) > PADDING
+
 
+def salvage(buf: bytes, members: bool = True) -> Iterator[tuple[int, int, str | None, dict | None]]:
+    """(offset, length, reason, record): records in file order; gaps have a reason.
 
-def salvage(buf: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """(offset, length, reason, record): records in file order; gaps have a reason."""
+    Without ``members`` only plain records are read (the inflated data of a member)."""
+    marks = Marks(buf, members)
     pos, gap, reason = 0, None, None
     while pos < len(buf):
-        try:
-            records, after = _records_at(buf, pos)
-        except BadRecord as e:
+        found, wrong = [], None
+        if members and buf.startswith(MEMBER[:2], pos):
+            data, after, wrong = inflate(buf, pos)
+            for at, n, why, record in salvage(data, members=False):
+                if wrong is None:
+                    found.append((pos, after - pos, why and f"{why}, bytes {at} to {at + n} of the member", record))
+                elif record:
+                    found.append((pos, 0, None, record))
+        else:
+            try:
+                record, after = parse_record(buf, pos)
+                found.append((pos, after - pos, None, record))
+            except BadRecord as e:
+                wrong = str(e)
+        if wrong is None and gap is not None:
+            if _lost(buf[gap:pos]):
+                yield gap, pos - gap, reason, None
+            gap = None
+        yield from found
+        if wrong is None:
+            pos = after
+        else:
             if gap is None:
-                gap, reason = pos, str(e)
-            found = [p for p in (buf.find(b"\x1f\x8b\x08", pos + 1), buf.find(b"WARC/1.", pos + 1)) if p >= 0]
-            pos = min(found, default=len(buf))
-            continue
-        if gap is not None and buf[gap:pos].strip(b"\r\n\x00"):      # line ends and zeros are padding
-            yield gap, pos - gap, reason, None
-        gap = None
-        for record in records:
-            yield pos, after - pos, None, record
-        pos = after
-    if gap is not None and buf[gap:].strip(b"\r\n\x00"):
+                gap, reason = pos, wrong
+            pos = marks.after(pos)
+    if gap is not None and _lost(buf[gap:]):
         yield gap, len(buf) - gap, reason, None
 
 

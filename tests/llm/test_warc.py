@@ -1,6 +1,8 @@
 import glob
 import hashlib
 
+import numpy as np
+
 from foldwise.llm import warc
 from tests.llm.helpers import SF, awkward, empty, table
 
@@ -101,6 +103,47 @@ def test_salvage_of_damaged_plain_records():
     assert ids(mixed)[0] == list(range(12))
 
 
+def test_records_inside_a_member_are_recovered():
+    plain = members(5, compress=False)
+    bad = plain.copy()
+    bad[2] = plain[2].replace(b"page 2 page", b"page 3 page", 1)
+    whole = warc.gzip_member(b"".join(bad))
+    found = list(warc.salvage(members(1)[0] + whole + members(1)[0]))
+    assert [r["page_id"] for *_, r in found if r] == [0, 0, 1, 3, 4, 0]
+    start, first = len(members(1)[0]), len(plain[0]) + len(plain[1])
+    assert [x[:3] for x in found if x[2]] == [
+        (start, len(whole), f"payload digest, bytes {first} to {first + len(bad[2])} of the member")]
+
+
+def test_records_before_the_damage_are_recovered():
+    draw = np.random.default_rng(1)
+    bodies = [draw.integers(32, 127, 3000).astype(np.uint8).tobytes() for _ in range(9)]
+    plain = [warc.encode_record(i, None, b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    whole = warc.gzip_member(b"".join(plain))
+    tail = members(2)
+    for broken in (whole[:len(whole) // 2], whole[:len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40:]):
+        found, gaps = ids(tail[0] + broken + tail[1])
+        assert found[0] == 0 and found[-1] == 1 and found[1:-1] == list(range(len(found) - 2)) and 3 <= len(found) - 2 <= 5
+        assert gaps == [(len(tail[0]), len(broken))]
+
+
+def test_zero_filled_records_leave_a_gap():
+    for compress in (True, False):
+        good = members(6, compress)
+        at = len(good[0]) + len(good[1])
+        lost = good[:2] + [bytes(len(good[2]))] + good[3:]
+        assert ids(b"".join(lost)) == ([0, 1, 3, 4, 5], [(at, len(good[2]))])
+        assert ids(b"".join(good[:2]) + b"\x00\x00\r\n" + b"".join(good[2:])) == (list(range(6)), [])
+        assert ids(b"".join(good) + bytes(900)) == (list(range(6)), [(sum(map(len, good)), 900)])
+
+
+def test_search_reads_a_file_once():
+    buf = b"WARC/1.0 no record " * 20000 + members(1)[0]
+    assert ids(buf) == ([0], [(0, 19 * 20000)])
+    marks = warc.Marks(buf, True)
+    assert [marks.after(p) for p in (0, 1, 19, len(buf) - 1)] == [19, 19, 38, len(buf)]
+
+
 def test_gaps_are_logged_by_the_reader(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write_warc(warc.plan_records(table(spark, "pages", SF)), path)
