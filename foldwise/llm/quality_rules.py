@@ -35,7 +35,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.01, 0.5
-MAX_LINE_WORDS = 30           # limit of the SQL twin; the operator has none unless ``max_line_words`` is given
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 LINES = "lines array<struct<line:long,words:int,times:int>>"

@@ -72,7 +72,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, ''
                      unnest(range(len(string_split(t, chr(10))))) AS p FROM w)),
      nl AS (SELECT source, k, p, array_to_string(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), ' ') AS line,
                    len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n FROM pos),
-     few AS (SELECT * FROM nl WHERE n BETWEEN 1 AND 30),
+     few AS (SELECT * FROM nl WHERE n >= 1),
      host AS (SELECT source, count(DISTINCT k) AS hd FROM w GROUP BY source),
      freq AS (SELECT f.source, line FROM few f JOIN host h ON f.source IS NOT DISTINCT FROM h.source
               GROUP BY f.source, line, hd HAVING count(DISTINCT k) > 20 AND count(DISTINCT k) > hd * 0.01),

@@ -26,7 +26,7 @@ def removed(rows):
     for _, t, s in rows:
         sizes[s].add(t or "")
         for x in (t or "").split("\n"):
-            if 0 < len(norm(x).split(" ")) <= q.MAX_LINE_WORDS and norm(x):
+            if norm(x):
                 seen[s, norm(x)].add(t)
     bad = {k for k, v in seen.items() if len(v) > q.MIN_DOCS and len(v) > q.MAX_SHARE * len(sizes[k[0]])}
     return [sum(len(norm(x).split(" ")) for x in (t or "").split("\n") if (s, norm(x)) in bad) for _, t, s in rows]
@@ -90,5 +90,5 @@ def test_frequent_long_lines(spark):
     got = {r.doc_id: (r.removed_words, r.kept) for r in q.quality_verdicts(docs).collect()}
     assert got == {i: (38, True) for i in range(30)} | {100 + i: (76, False) for i in range(3)}
     assert {r.doc_id: r.text for r in q.clean_documents(docs).collect()} == {i: prose(60, i) for i in range(30)}
-    short = q.quality_verdicts(docs, max_line_words=q.MAX_LINE_WORDS).collect()
+    short = q.quality_verdicts(docs, max_line_words=30).collect()
     assert all(r.removed_words == 0 for r in short)
