@@ -241,6 +241,9 @@ class Growth:
                 out[:, j] += tree.values(bins[:, self.places[j]])
         return out
 
+    def margins_of(self, batch: pa.RecordBatch, bins: np.ndarray) -> np.ndarray:
+        return self.margins(bins, _matrix(batch.column("margins"), float))
+
     def drawn(self, batch: pa.RecordBatch) -> np.ndarray:
         """Rows of the current tree's sample, of any fold."""
         p = self.params
@@ -311,7 +314,7 @@ class Growth:
             for batch in batches:
                 part, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "y", "w"))
                 bins = _matrix(batch.column("bins"), np.uint16)
-                margins = self.margins(bins, _matrix(batch.column("margins"), float))
+                margins = self.margins_of(batch, bins)
                 drawn = self.drawn(batch)
                 for j, leaves in slots.items():
                     use = np.flatnonzero(drawn & (part != j))

@@ -27,6 +27,7 @@ SUPPORTED = {
     "rf": {"n_estimators", "max_depth", "min_samples_leaf"},
     "mlp": {"hidden", "n_features", "max_iter", "learning_rate"},
 }
+FOREST = "forest"        # regularised forest with corrected leaf weights (plans/corrective.py)
 BOOSTED = "newton"      # second-order trees (plans/boost.py): every parameter of the native libraries counts
 COMMON = {"seed", "scale_pos_weight"}
 
@@ -35,7 +36,7 @@ COMMON = {"seed", "scale_pos_weight"}
 class ModelSpec:
     """``bag``, ``split`` and ``fold`` are the defaults of the training plan for this model."""
     name: str
-    mdl_type: str                    # lr | linear | gbt | rf | mlp | newton
+    mdl_type: str                    # lr | linear | gbt | rf | mlp | newton | forest
     param: dict = field(default_factory=dict)
     bag: int = 1
     split: int = 1
@@ -50,7 +51,7 @@ def class_weights(df: DataFrame, label: str = "target", pos_weight: float = 1.0,
 
 def dropped_params(spec: ModelSpec) -> list[str]:
     """Names of the spec that have no MLlib counterpart."""
-    if spec.mdl_type == BOOSTED:
+    if spec.mdl_type in (BOOSTED, FOREST):
         return []
     return sorted(k for k in spec.param if k in UNSUPPORTED)
 
@@ -140,8 +141,12 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
     ModelSpec("xgb1", "newton", {"learning_rate": 0.04, "n_estimators": 800, "seed": 1024, "colsample_bytree": 0.8,
                               "gamma": 0.59, "reg_alpha": 10.4, "reg_lambda": 5, "max_depth": 5,
                               "min_child_weight": 9.15, "subsample": 0.8, "n_jobs": 8}, bag=1, split=1, fold=5),
-    ModelSpec("rgf1", "rf", {"n_estimators": 100, "max_depth": 8}, bag=1, split=1, fold=5,
-              note="regularised greedy forest replaced by a random forest"),
+    *[ModelSpec(name, "forest", {"max_leaf": leaves, "algorithm": "RGF", "loss": "Log", "l2": l2, "sl2": l2, "normalize": False,
+                                 "min_samples_leaf": least, "n_iter": None, "opt_interval": 100, "learning_rate": rate,
+                                 "calc_prob": "sigmoid", "n_jobs": -1, "memory_policy": "generous", "verbose": 1},
+                bag=1, split=1, fold=5)
+      for name, leaves, l2, least, rate in [
+          ("rgf1", 290, 0.011, 8, 0.4), ("shadow.rgf1", 1000, 0.01, 10, 0.5), ("shadow.rgf3", 1000, 0.01, 15, 0.4)]],
     ModelSpec("mlp", "mlp", {"hidden": (128, 64)}, bag=1, split=1, fold=5),
     ModelSpec("shadow.xgb1", "newton", {"objective": "binary:logistic", "learning_rate": 0.07, "n_estimators": 400,
                                         "max_depth": 4, "scale_pos_weight": 1.6, "seed": 1024, "subsample": 0.9,
@@ -171,6 +176,7 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in [
                                          "colsample_bytree": 0.8, "reg_alpha": 0.5, "reg_lambda": 1.3, "gamma": 0.1}),
     ModelSpec("leafwise_small", "newton", {"learning_rate": 0.3, "n_estimators": 8, "num_leaves": 8,
                                            "subsample": 0.8, "subsample_freq": 4, "colsample_bytree": 0.8}),
+    ModelSpec("forest_small", "forest", {"max_leaf": 60, "tree_leaves": 6, "opt_interval": 20, "l2": 0.01, "learning_rate": 0.5}),
     ModelSpec("gbt_small", "gbt", {"learning_rate": 0.1, "n_estimators": 20, "max_depth": 4, "subsample": 0.8}),
     ModelSpec("rf_small", "rf", {"n_estimators": 20, "max_depth": 6}),
     ModelSpec("mlp_small", "mlp", {"hidden": (16,), "max_iter": 40}),

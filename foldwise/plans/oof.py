@@ -22,8 +22,9 @@ from foldwise.operators.folds import kfold_stratified, seed_schedule
 from foldwise.operators.nested import fit_nested_encoding, nested_element
 from foldwise.operators.target import TargetEncoding, fit_target_encoding
 from foldwise.plans.boost import BoostParams, fit_boosted, learning_curve_gini, predict_boosted
+from foldwise.plans.corrective import ForestParams, fit_forest
 from foldwise.plans.linear import fit_linear, predict_linear
-from foldwise.plans.models import BOOSTED, ModelSpec, build_estimator, linear_penalties, class_weights, positive_probability
+from foldwise.plans.models import BOOSTED, FOREST, ModelSpec, build_estimator, linear_penalties, class_weights, positive_probability
 from foldwise.session import materialize
 
 
@@ -82,7 +83,7 @@ def oof_train(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: st
     keep = list(dict.fromkeys([id_col, split_col, label, *te_models, *features, *arrays]))
     prepared = materialize(base.select(*keep), "oof-prepared")
 
-    if spec.mdl_type in (BOOSTED, "lr", "linear"):
+    if spec.mdl_type in (BOOSTED, FOREST, "lr", "linear"):
         return _oof_joint(prepared, spec, features, label, k, runs, splits, fold_of, te_models, seed, bag_seed_step,
                           upsample, pos_weight, early_stop, allow_drop, id_col, split_col)
     sizes = {}
@@ -136,7 +137,7 @@ EARLY_STOP = 50        # stages without a better held-out Gini (fixed value of t
 def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: int, runs, splits: int, fold_of, te_models,
                seed: int, bag_seed_step, upsample: bool, pos_weight, early_stop, allow_drop: bool, id_col: str,
                split_col: str) -> DataFrame:
-    """Learners whose fold models are fitted together (plans/boost.py, plans/linear.py).  A positive row that
+    """Learners whose fold models are fitted together (plans/boost.py, plans/corrective.py, plans/linear.py).  A positive row that
     upsampling doubles has weight 2; ``early_stop`` may be a number of stages."""
     weighted = F.lit(2.0 if upsample else 1.0)
     if spec.mdl_type == BOOSTED:
@@ -144,6 +145,10 @@ def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: in
         if pos_weight is not None:
             params = replace(params, scale_pos_weight=float(pos_weight))
         patience = EARLY_STOP if early_stop is True else int(early_stop)
+    elif spec.mdl_type == FOREST:
+        params = ForestParams.of(spec.param)
+        if pos_weight is not None:
+            params = replace(params, scale_pos_weight=float(pos_weight))
     else:
         penalty = linear_penalties(spec, allow_drop)
         weighted = weighted * F.lit(1.0 if pos_weight is None else float(pos_weight))
@@ -160,6 +165,10 @@ def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: in
             step = seed + bag_seed_step * b if bag_seed_step is not None else seed_schedule(seed, s, 0, b)
             model = fit_boosted(rows, names, replace(params, seed=step), label, fc, id_col, "_weight", patience)
             pred = predict_boosted(rows, model, label, fc, id_col, split_col)
+        elif spec.mdl_type == FOREST:
+            if fc not in shared:
+                shared[fc] = fit_forest(rows, names, params, label, fc, id_col, "_weight")
+            pred = predict_boosted(rows, shared[fc], label, fc, id_col, split_col)
         else:
             if fc not in shared:                     # nothing is drawn: bags on the same folds are the same model
                 shared[fc] = fit_linear(rows, names, **penalty, label=label, fold_col=fc, weight_col="_weight")

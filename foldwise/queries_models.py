@@ -306,6 +306,28 @@ def q_oof_pairwise(spark, sf_dir):
     return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("pairwise_small"), NUMS))
 
 
+@register("oof_corrective_forest")
+def q_oof_corrective_forest(spark, sf_dir):
+    """M5: forest of 60 leaves, all weights corrected after every 20 new ones."""
+    return _preds(oo.oof_train(model_frame(spark, sf_dir), mo.lookup("forest_small"), NUMS))
+
+
+_RIDGE = {"l2": 0.02, "sl2": 1e-6}
+
+
+@register("oof_corrective_means", duck_with(
+    "SELECT r.id, r.split, CAST(m.j AS INT) AS fold, round(1.0 / (1.0 + exp(-m.weight)), 6) AS pred FROM planted r "
+    "JOIN (SELECT j, prio_cat, sum(2.0 * target - 1.0) / (count(*) + " + str(_RIDGE["l2"]) + " * sum(count(*)) OVER (PARTITION BY j)) AS weight "
+    "FROM planted CROSS JOIN range(0, 5) k(j) WHERE fold <> j GROUP BY j, prio_cat) m "
+    "ON m.prio_cat = r.prio_cat AND (r.fold = m.j OR r.split = 'test')", "planted"))
+def q_oof_corrective_means(spark, sf_dir):
+    """M5: one tree with a leaf per value; the ridge solution shrinks every mean by the penalty."""
+    spec = mo.ModelSpec("ridge", "forest", {"loss": "LS", "max_leaf": 5, "tree_leaves": 5, "opt_interval": 5, "n_iter": 1,
+                                            "learning_rate": 1.0, "min_samples_leaf": 1, **_RIDGE})
+    preds = oo.oof_train(fx.planted(spark, sf_dir), spec, ["prio_cat"])
+    return round_doubles(preds.select("id", "split", "fold", "pred"))
+
+
 _PAIR_SCORE = "(prio_cat * 25 + nation_cat) / 40.0"
 
 
