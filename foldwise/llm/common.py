@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +26,47 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
+CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside are deleted when each ends, not when the driver happens to
+    collect garbage: a written table needs them no more.  The session's own setting comes back afterwards."""
+    before = spark.conf.get(CLEAN_CONF, None)
+    spark.conf.set(CLEAN_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_CONF)
+        else:
+            spark.conf.set(CLEAN_CONF, before)
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below
     ``spark.checkpoint.dir`` (shared by driver and executors), so a lost executor
     costs re-run tasks, never data.  ``drop`` and ``keep`` delete tables as soon as nothing
-    lazy reads them any more."""
+    lazy reads them any more.  A ``tidy`` one also deletes the shuffle files of every table it has
+    written, and compresses its tables harder."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.base = scratch_path(spark, name)
         small_batches(spark)
 
-    def put(self, df: DataFrame, key: str) -> DataFrame:
+    def put(self, df: DataFrame, key: str, by: str | None = None) -> DataFrame:
+        """The table, written; with ``by`` in a folder ``key/by=value`` per value, which ``drop`` can delete alone."""
         path = f"{self.base}/{key}"
-        df.write.mode("overwrite").parquet(path)
+        write = df.write.mode("overwrite")
+        if by:
+            write = write.partitionBy(by)
+        if self.tidy:
+            with shuffles_deleted(self.spark):
+                write.option("compression", "zstd").parquet(path)
+        else:
+            write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keys: str) -> None:

@@ -46,6 +46,7 @@ ORDER, DISCOUNT = 6, 0.75
 WINDOW = 6
 CHUNK_DISTINCT = 300_000      # distinct words of texts that are scored together
 CHUNK_WORDS = 8_000_000       # and their words at most
+BLOCK = 4_096                 # words of a chunk that are stored in one row
 CALIBRATION = 8               # one learning document in so many may be kept for the logistic fit
 MAX_CALIBRATION = 20_000      # but at most about so many are; the others are counted
 THRESHOLD = 0.3
@@ -116,11 +117,20 @@ def word_scores(words: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Scr
     return rows.groupBy("word").agg((F.sum("part") / F.count(F.lit(1)) / unit).alias("score"))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Word numbers, compressed; bytes of one place stand together, as the upper ones are mostly equal."""
+    return zlib.compress(numbers.astype("<i4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cell), "u1").reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (..., text) as word numbers, in chunks of about ``CHUNK_DISTINCT`` distinct words, beside one row per
-    word (``word``, ``number``) of each chunk."""
+    """Rows (..., text) as word numbers, in chunks of about ``CHUNK_DISTINCT`` distinct words (``kind`` 0), beside rows (1) with
+    blocks of the chunk's words: ``words[i]`` has the number ``first + i``."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*rest, *T._parse_datatype_string("chunk long, numbers binary, word string, number int")])
+    schema = T.StructType([*rest, *T._parse_datatype_string("chunk long, numbers binary, words array<string>, first int, kind int")])
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +139,15 @@ def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
         def batch(size: int, **columns) -> pa.RecordBatch:
             columns["chunk"] = pa.array([base + n] * size, pa.int64())
+            columns["kind"] = pa.array([int("words" in columns)] * size, pa.int32())
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in arrow],
                                               schema=arrow)
 
         def close():
-            yield batch(len(number), word=pa.array(list(number), pa.string()),
-                        number=pa.array(range(len(number)), pa.int32()))
+            words = list(number)
+            for first in range(0, len(words), BLOCK):
+                yield batch(1, words=pa.array([words[first:first + BLOCK]], pa.list_(pa.string())),
+                            first=pa.array([first], pa.int32()))
             number.clear()
 
         for got in batches:
@@ -142,7 +155,7 @@ def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             for text in got.column("text").to_pylist():
                 words = words_of(text)
                 held += len(words)
-                found.append(zlib.compress(np.array([number.setdefault(w, len(number)) for w in words], "<i4").tobytes(), 1))
+                found.append(packed(np.array([number.setdefault(w, len(number)) for w in words], "<i4")))
             yield batch(got.num_rows, numbers=pa.array(found, pa.binary()), **{f.name: got.column(f.name) for f in rest})
             if len(number) >= CHUNK_DISTINCT or held >= CHUNK_WORDS:
                 yield from close()
@@ -150,32 +163,40 @@ def chunked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if number:
             yield from close()
 
-    return scratch.put(rows.mapInArrow(work, schema), name)
+    return scratch.put(rows.mapInArrow(work, schema), name, by="kind")
 
 
-def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (..., text) with ``mean`` and ``most`` for the text.  The words of every chunk are joined with
+def with_features(rows: DataFrame, ratios: DataFrame, n_ratios: int, scratch: Scratch, name: str,
+                  done: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (..., text) with ``mean`` and ``most`` for the text; tables ``done`` go once the words are scored.  The words of every chunk are joined with
     their scores, so no task holds more of the model than its chunk needs."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
     table = chunked(rows, scratch, f"{name}-chunks")
-    words = table.filter("word is not null")
+    words = (table.filter("kind = 1").select("chunk", "first", F.posexplode("words").alias("i", "word"))
+             .select("chunk", "word", (F.col("first") + F.col("i")).alias("number")))
     scores = scratch.put(word_scores(words.select("word").distinct(), ratios, n_ratios, scratch, f"{name}-grams"), f"{name}-words")
+    scratch.drop(f"{name}-grams", *done)
     words = words.select(F.col("chunk").alias("of"), F.xxhash64("word").alias("word"), "number")
-    known = join_stats(words, scores, "word", "inner", scores.count()).select("of", "number", "score")
+    # number and score in one long, the score to 2^-24; written, so that the join's shuffle and the words can go first
+    score = F.least(F.greatest(F.round(F.col("score") * float(1 << 24)), F.lit(-float(1 << 31))), F.lit(float((1 << 31) - 1)))
+    pair = F.shiftleft(F.col("number").cast("long"), 32) + score.cast("long") + F.lit(1 << 31)
+    known = join_stats(words, scores, "word", "inner", scores.count()).select("of", pair.alias("pair"))
+    known = scratch.put(known, f"{name}-known")
+    scratch.drop(f"{name}-chunks/kind=1", f"{name}-words")
     schema = T.StructType([*rest, *T._parse_datatype_string("mean double, most double")])
     arrow = to_arrow_schema(schema)
 
     def work(docs: pa.Table, parts: pa.Table) -> pa.Table:
-        values = np.zeros(parts.num_rows)
-        values[parts.column("number").to_numpy()] = parts.column("score").to_numpy()
-        got = [text_features(values[np.frombuffer(zlib.decompress(c), "<i4")]) for c in docs.column("numbers").to_pylist()]
+        values, pairs = np.zeros(parts.num_rows), parts.column("pair").to_numpy()
+        values[pairs >> 32] = ((pairs & 0xFFFFFFFF) - (1 << 31)) / (1 << 24)
+        got = [text_features(values[unpacked(c)]) for c in docs.column("numbers").to_pylist()]
         columns = [docs.column(f.name) for f in rest] + [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    docs = table.filter("numbers is not null").select(*[f.name for f in rest], "chunk", "numbers")
+    docs = table.filter("kind = 0").select(*[f.name for f in rest], "chunk", "numbers")
     out = docs.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(work, schema)
     out = scratch.put(out, name)
-    scratch.drop(f"{name}-chunks", f"{name}-words", f"{name}-grams")
+    scratch.drop(f"{name}-chunks", f"{name}-known")
     return out
 
 
@@ -257,12 +278,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     marks = (labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("toxic"))
              .filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(~held_out(F.col("doc_id"), parts, part)))
-    scratch = Scratch(spark, "toxicity")
+    scratch = Scratch(spark, "toxicity", tidy=True)
     marks = scratch.put(marks, "labels")
     learnt = join_stats(rows.filter(F.col("text").isNotNull()), marks, "doc_id", "inner", marks.count())
     ratios, n_ratios, weights = learn(learnt, scratch)
     rows = rows.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
-    got = with_features(rows, ratios, n_ratios, scratch, "features")
+    got = with_features(rows, ratios, n_ratios, scratch, "features", ("ratios",))
     scratch.keep("features")
     base, mean, most = map(float, weights)
     z = F.lit(base) + F.col("mean") * mean + F.col("most") * most
