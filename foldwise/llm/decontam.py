@@ -2,8 +2,10 @@
 
 1. Words are hashed; document frequencies are counted over all documents.
 2. Benchmark items are cut into passages (``2 * HALF`` words, every ``HALF`` words).  A
-   randomised SVD of their TF-IDF rows, with a small sample of corpus passages at low
-   weight, gives a latent space of ``RANK`` dimensions.  Every product with the
+   randomised SVD of their TF-IDF rows, with all corpus passages at low weight, gives a
+   latent space of ``RANK`` dimensions.  The corpus enters as a sketch: every passage of
+   every document is added, with a random sign, to one of ``FIT_ROWS`` rows, so the rows'
+   products are in expectation those of all passages.  Every product with the items'
    passage matrix is a distributed sum over passages; the driver only factorises
    matrices of ``2^BITS`` rows and ``RANK + 16`` columns.
 3. All passages of all documents are projected and compared with the items' passages
@@ -48,7 +50,9 @@ VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
 LEAST_WORDS = 8               # shorter items have to occur word by word
 LONG = 64                     # words of a long item that are checked as one passage
 ITEMS = 20_000                # items handled in one pass
-FIT_SAMPLE, FIT_WEIGHT = 64, 0.1       # documents, and the weight of their passages
+FIT_ROWS = 32                 # rows of the corpus sketch
+FIT_DOCS, FIT_WEIGHT = 64, 0.1         # all corpus passages weigh as much as those of FIT_DOCS documents of this weight
+FIT_UNIT = 2.0 ** 24          # sketch entries are whole multiples of its inverse
 SEGMENT = 1 << 20             # bytes hashed at a time
 
 LETTERS = np.array([chr(i).isalnum() or i >= 0x80 for i in range(256)])
@@ -180,19 +184,93 @@ def _passage_sum(passages: DataFrame, column: np.ndarray, idf: np.ndarray, right
     return out
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
-    """The ``rank`` leading right singular vectors of the weighted TF-IDF passages (words, weight)."""
+def corpus_sketch(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """(FIT_ROWS, 2^BITS): the unit TF-IDF rows of all passages of all documents, each added to one row with
+    a sign, both drawn by hash of document, text and place.  Sums are of integers, so exact in any order."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, w = Words(), shared.value
+        total = np.zeros(FIT_ROWS << BITS, np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                pdf = whole.iloc[at:at + 200]
+                found = [buckets(h) for h in words.of(pdf["text"].tolist())]
+                place, value = [], []
+                for b, own in zip(found, pdf["draw"].to_numpy(np.int64).view(np.uint64), strict=True):
+                    if not len(b):
+                        continue
+                    starts = passage_starts(len(b))
+                    sizes = np.minimum(starts + 2 * HALF, len(b)) - starts
+                    first = np.cumsum(sizes) - sizes
+                    # words of all passages in a row; the passages overlap by half
+                    at_word = np.arange(int(sizes.sum())) - np.repeat(first - starts, sizes)
+                    words_of = b[at_word]
+                    draw = mix(own + (starts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+                    size = np.sqrt(np.add.reduceat(w[words_of] ** 2, first))
+                    sign = np.where(draw >> np.uint64(63), -1.0, 1.0) / size
+                    place.append((np.repeat((draw % np.uint64(FIT_ROWS)).astype(np.int64), sizes) << BITS) + words_of)
+                    value.append(np.rint(w[words_of] * np.repeat(sign, sizes) * FIT_UNIT))
+                if place:
+                    np.add.at(total, np.concatenate(place), np.concatenate(value).astype(np.int64))
+        step = 1 << BITS
+        for row in range(FIT_ROWS):
+            part = total[row * step:(row + 1) * step]
+            if part.any():
+                yield pd.DataFrame({"row": [row], "part": [part.tobytes()]})
+
+    def add(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in pdfs:
+            for row, part in zip(pdf["row"], pdf["part"], strict=True):
+                total[row] = total.get(row, 0) + np.frombuffer(bytes(part), np.int64)
+        for row, part in total.items():      # all parts of a row are in one task
+            yield pd.DataFrame({"row": [row], "part": [(part / FIT_UNIT).astype(np.float32).tobytes()]})
+
+    drawn = rows.select("text", F.xxhash64(F.lit("fit"), "doc_id", "text").alias("draw"))
+    sums = drawn.mapInPandas(work, "row int, part binary").repartition(FIT_ROWS, "row").mapInPandas(add, "row int, part binary")
+    out = np.zeros((FIT_ROWS, 1 << BITS), np.float32)
+    for row, part in sums.collect():         # FIT_ROWS x 2^BITS numbers
+        out[row] = np.frombuffer(bytes(part), np.float32)
+    shared.destroy()
+    return out
+
+
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 5, more: np.ndarray | None = None) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of the weighted TF-IDF passages (words, weight) and the dense rows ``more``."""
     # bounded: at most 2^BITS buckets
-    used = np.sort(passages.select(F.explode("words").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64))
+    asked = np.sort(passages.select(F.explode("words").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64))
     column = np.zeros(1 << BITS, np.int64)
-    column[used] = np.arange(len(used))
-    q = np.random.default_rng(seed).standard_normal((len(used), min(rank + 16, len(used))), np.float32)
+    column[asked] = np.arange(len(asked))
+    n, rest, across = len(asked), np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
+    dense = np.zeros((0, n), np.float32)
+    if more is not None:
+        # on words of no passage only ``more`` has entries: its few rows span them, so they are turned into as many columns
+        rest = np.setdiff1d(np.flatnonzero(np.abs(more).max(axis=0)), asked)
+        size, turn = np.linalg.eigh((more[:, rest] @ more[:, rest].T).astype(float))
+        some = size > max(size[-1], 1e-30) * 1e-12
+        across = (turn[:, some] / np.sqrt(size[some])).astype(np.float32)          # rest columns = more' across
+        dense = np.hstack([more[:, asked], (turn[:, some] * np.sqrt(size[some])).astype(np.float32)])
+    wide = dense.shape[1]
+
+    def product(q: np.ndarray, square: bool) -> np.ndarray:
+        seen = dense @ q
+        out = seen.T @ seen if square else dense.T @ seen
+        if n:
+            out[:len(out) if square else n] += _passage_sum(passages, column, idf, q[:n], square)
+        return out
+
+    q = np.random.default_rng(seed).standard_normal((wide, min(rank + 16, wide)), np.float32)
     for _ in range(2):
-        q, _ = np.linalg.qr(_passage_sum(passages, column, idf, q, False))
-    value, vector = np.linalg.eigh(_passage_sum(passages, column, idf, q, True).astype(float))
+        q = product(q, False)
+        q = np.linalg.qr(q)[0]
+    value, vector = np.linalg.eigh(product(q, True).astype(float))
     keep = value > max(value[-1], 1e-12) * 1e-6
     out = np.zeros((1 << BITS, min(rank, int(keep.sum()))), np.float32)
-    out[used] = (q @ vector[:, keep])[:, ::-1][:, :rank]
+    q = q @ vector[:, keep][:, ::-1][:, :rank].astype(np.float32)
+    out[asked] = q[:n]
+    if len(rest):
+        out[rest] = more[:, rest].T @ (across @ q[n:])
     return out
 
 
@@ -262,7 +340,8 @@ class Index:
         self.rows = np.flatnonzero(np.abs(basis).max(axis=1) > 1e-7)
         self.place = np.full(len(basis), -1, np.int32)
         self.place[self.rows] = np.arange(len(self.rows))
-        self.basis = (basis[self.rows] * idf[self.rows, None]).astype(np.float32)
+        self.basis = basis[self.rows]
+        self.basis *= idf[self.rows, None].astype(np.float32)
         self.ids, self.words, self.where, self.answers, lists, self.owner, self.at = [], [], [], [], [], [], []
         self.short_ids: list = []
         self.short: dict[int, dict[int, list]] = {}        # number of words -> key -> [(number in short_ids, words, answer)]
@@ -361,15 +440,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     n_items = asked.count()
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = min(1.0, FIT_SAMPLE / max(1, n))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
-    fit = scratch.put(_passages(asked, 1.0).union(_passages(sample, FIT_WEIGHT)), "fit")
+    fit = scratch.put(_passages(asked, 1.0), "fit")
     schema = (f"doc_id {docs.schema[key].dataType.simpleString()}, k1 long, k2 long, "
               f"item_id {items.schema[item].dataType.simpleString()}, cosine double, lcs double, answer double")
     out = spark.createDataFrame([], schema)
-    if not n_items or fit.isEmpty():
+    if fit.isEmpty():                        # no item has a word
         return out
-    basis = randomised_svd(fit, idf, rank)
+    corpus = corpus_sketch(rows, idf) * np.float32(FIT_WEIGHT * np.sqrt(min(1.0, FIT_DOCS / max(1, n))))
+    basis = randomised_svd(fit, idf, rank, more=corpus)
     parts = -(-n_items // ITEMS)
     blocks = []
     for part in range(parts):

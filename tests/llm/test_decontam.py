@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foldwise.llm import decontam as dc
 from tests.llm.helpers import MID, awkward, empty, prose, table
@@ -143,3 +144,33 @@ def test_parts_of_long_items_short_items_and_passing_places(spark):
     assert all(r.cosine is None and r.lcs == 1 for r in got if r.doc_id == 2)
     only = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.filter("item_id in (2, 4)"), answer="ans")
     assert sorted((r.doc_id, r.item_id) for r in only.collect()) == [(2, 2), (2, 4)]
+
+
+def test_latent_space_is_fitted_on_every_document(spark, monkeypatch):
+    """The corpus part of the fit is the sum over all passages of all documents, in any partitioning."""
+    texts = [(i, prose(20 + 37 * i, i)) for i in range(12)] + [(None, prose(50, 99)), (12, None), (13, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    idf = np.linspace(1.0, 5.0, 1 << dc.BITS)
+    whole = dc.corpus_sketch(docs.repartition(5), idf)
+    parts = [dc.corpus_sketch(docs.filter(F.col("doc_id").eqNullSafe(i)), idf) for i, _ in texts]
+    assert all(p.any() for p in parts[:13]) and not any(p.any() for p in parts[13:])
+    assert np.allclose(sum(parts), whole, atol=1e-5) and (dc.corpus_sketch(docs.coalesce(1), idf) == whole).all()
+    one = parts[0][np.abs(parts[0]).max(axis=1) > 0]             # 20 words: one passage, a unit row
+    assert len(one) == 1 and abs(np.linalg.norm(one) - 1) < 1e-5
+
+    seen, fit = [], dc.corpus_sketch
+    monkeypatch.setattr(dc, "corpus_sketch", lambda rows, w: seen.append(rows.count()) or fit(rows, w))
+    many = spark.range(500).selectExpr("id AS doc_id", "concat('some words of document ', id) AS text")
+    dc.find_leaks(many, docs.filter("text <> ''").selectExpr("doc_id AS item_id", "text")).collect()
+    assert seen == [500]
+
+
+def test_sketch_rows_enter_the_decomposition(spark):
+    """Dense rows count like passages, also on words no item has."""
+    passages = spark.createDataFrame([([1, 2], 1.0), ([2, 3], 1.0)], "words array<long>, weight double")
+    idf, more = np.ones(1 << dc.BITS), np.zeros((dc.FIT_ROWS, 1 << dc.BITS), np.float32)
+    more[0, [3, 7]] = 3.0
+    got = dc.randomised_svd(passages, idf, 3, more=more)
+    rows = np.array([[1, 1, 0, 0], [0, 1, 1, 0], [0, 0, 3 * 2 ** .5, 3 * 2 ** .5]]) / 2 ** .5
+    want = np.linalg.svd(rows)[2]
+    assert np.allclose(np.abs(np.sum(got[[1, 2, 3, 7]].T * want[:3], axis=1)), 1, atol=1e-3)
