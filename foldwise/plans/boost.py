@@ -15,9 +15,9 @@ features x bins cells, however many rows there are; at most ``CELLS`` of them a
 * Columns are drawn per tree and per level, rows per tree (or every ``subsample_freq`` trees), by hash.
 * The objective ``pairwise`` takes gradients over all positive-negative pairs (plans/pairwise.py): one
   more pass a tree sums the classes per score bucket of every model.  Predictions stay sigmoids of margins.
-* Every ``refresh`` trees the margins are written anew, which cuts the lineage and bounds the work
-  a step repeats.  The same moment scores all stages since the last one with one grouped Gini pass and
-  stops the models whose held-out Gini has not risen for ``early_stop`` stages.
+* The margins are written anew after every tree, so no step repeats the work of earlier trees.  Every
+  ``refresh`` trees all stages since the last time are scored with one grouped Gini pass, from the held-out
+  margin each row kept (``held``), and the models stop whose held-out Gini has not risen for ``early_stop`` stages.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def _bins(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
 
 
 class _Store:
-    """The binned rows with their margins, written anew at every refresh; older copies are deleted."""
+    """The binned rows with their margins, written anew after every tree; older copies are deleted."""
 
     def __init__(self, spark):
         self.spark, self.base, self.turn = spark, scratch_path(spark, "boost"), 0
@@ -174,7 +174,7 @@ class _Store:
         delete_path(self.spark, self.base)
 
 
-ROW = "id {id}, part int, y double, w double, draw long, bins binary, margins binary"
+ROW = "id {id}, part int, y double, w double, draw long, bins binary, held double, margins binary"
 
 
 def _binned(df: DataFrame, columns: list[str], edges: dict, k: int, id_col: str, label: str, fold_col: str,
@@ -191,19 +191,30 @@ def _binned(df: DataFrame, columns: list[str], edges: dict, k: int, id_col: str,
         for batch in batches:
             n = batch.num_rows
             bins = _bins([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(cuts))], cuts)
-            zero = np.zeros(k).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("id", "part", "y", "w", "draw")],
-                 pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([zero] * n, pa.binary())],
-                ["id", "part", "y", "w", "draw", "bins", "margins"])
+                 _cells(bins), pa.array(np.zeros(n)), _cells(np.zeros((n, k)))],
+                ["id", "part", "y", "w", "draw", "bins", "held", "margins"])
 
     return rows.mapInArrow(work, ROW.format(id=df.schema[id_col].dataType.simpleString()))
 
 
 def _matrix(column, kind) -> np.ndarray:
-    """Binary cells of equal length as the rows of a matrix."""
+    """Binary cells of equal length as the rows of a matrix, on the column's own buffer."""
     n = len(column)
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
+    if not n:
+        return np.zeros((0, 0), kind)
+    _, ends, data = column.buffers()
+    first, last = (int(np.frombuffer(ends, np.int32, 1, 4 * (column.offset + i))[0]) for i in (0, n))
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (last - first) // size, first).reshape(n, -1) if last > first else np.zeros((n, 0), kind)
+
+
+def _cells(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary cells."""
+    matrix = np.ascontiguousarray(matrix)
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1] * matrix.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(matrix)])
 
 
 # ---- gradients and sums -------------------------------------------------------------------------
@@ -224,7 +235,7 @@ def logistic_gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tupl
 
 
 class Growth:
-    """State of the fit that the tasks need; small: parameters, trees of the last refresh, places of columns."""
+    """State of the fit that the tasks need; small: parameters, trees the margins lack, places of columns."""
 
     def __init__(self, params: BoostParams, places: list[list[int]], bins: int, scale: float):
         self.params, self.places, self.bins, self.scale = params, places, bins, scale
@@ -470,22 +481,22 @@ def fit_boosted(df: DataFrame, columns: Sequence[Sequence[str]], params: BoostPa
     trees: list[list[Tree]] = [[] for _ in range(k)]
     scores: list[list[float]] = [[] for _ in range(k)]
     live = list(range(k))
-    while live and max(map(len, trees)) + len(growth.recent[live[0]]) < params.n_estimators:
+    unjudged: list[list[Tree]] = [[] for _ in range(k)]
+    while live and growth.turn < params.n_estimators:
         _grow(growth, rows, live)
         growth.turn += 1
-        recent = len(growth.recent[live[0]])
-        if recent < refresh and growth.turn < params.n_estimators:
-            continue
-        if early_stop:
-            for (j, stage), value in _stage_ginis(rows, growth, live, recent).items():
+        for j in live:
+            trees[j].append(growth.growing[j])
+            unjudged[j].append(growth.growing[j])
+        due = bool(early_stop) and (growth.turn % refresh == 0 or growth.turn == params.n_estimators)
+        if due:
+            for (j, stage), value in _stage_ginis(rows, growth, live, unjudged).items():
                 scores[j].append(value)
-        if growth.turn < params.n_estimators:
-            rows = store.put(_with_margins(rows, growth))
-        for j in range(k):
-            trees[j] += growth.recent[j]
-            growth.recent[j] = []
-        if early_stop:
             live = [j for j in live if len(scores[j]) - _best_stage(scores[j]) < early_stop]
+            unjudged = [[] for _ in range(k)]
+        if live and growth.turn < params.n_estimators:
+            rows = store.put(_with_margins(rows, growth, due))
+        growth.recent = [[] for _ in range(k)]
     store.close()
     best = [_best_stage(s) for s in scores] if early_stop else None
     return Boosted(params, [list(c) for c in columns], edges, trees, best)
@@ -496,27 +507,34 @@ def _best_stage(scores: list[float]) -> int:
     return 1 + max(range(len(scores)), key=lambda i: (scores[i], -i)) if scores else 0
 
 
-def _with_margins(rows: DataFrame, growth: Growth) -> DataFrame:
+def _with_margins(rows: DataFrame, growth: Growth, judged: bool) -> DataFrame:
+    """Rows with present margins; those just ``judged`` keep the one of the model that does not learn from them."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             margins = growth.margins(_matrix(batch.column("bins"), np.uint16), _matrix(batch.column("margins"), float))
+            held = batch.column("held")
+            if judged:
+                part = batch.column("part").to_numpy()
+                own = (part >= 0) & (part < margins.shape[1])
+                held = pa.array(np.where(own, margins[np.arange(len(part)), np.where(own, part, 0)], 0.0))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([m.tobytes() for m in margins], pa.binary())], batch.schema.names)
+                [*batch.columns[:-2], held, _cells(margins)], batch.schema.names)
 
     return rows.mapInArrow(work, rows.schema)
 
 
-def _stage_ginis(rows: DataFrame, growth: Growth, models: list[int], recent: int) -> dict[tuple[int, int], float]:
-    """Held-out Gini of every model after each of its ``recent`` last trees, by one grouped pass."""
+def _stage_ginis(rows: DataFrame, growth: Growth, models: list[int], trees: list[list[Tree]]) -> dict[tuple[int, int], float]:
+    """Held-out Gini of every model after each of its last ``trees``, by one grouped pass."""
+    recent = len(trees[models[0]])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, y = batch.column("part").to_numpy(), batch.column("y").to_numpy(zero_copy_only=False)
-            bins, margins = _matrix(batch.column("bins"), np.uint16), _matrix(batch.column("margins"), float)
+            bins, held = _matrix(batch.column("bins"), np.uint16), batch.column("held").to_numpy()
             for j in models:
                 own = part == j
                 if own.any():
-                    yield _stage_rows(j, y[own], margins[own, j], bins[np.ix_(own, growth.places[j])], growth.recent[j],
-                                      range(1, recent + 1))
+                    yield _stage_rows(j, y[own], held[own], bins[np.ix_(own, growth.places[j])], trees[j], range(1, recent + 1))
 
     long = rows.mapInArrow(work, "model int, y double, scores array<double>")
     with released(rows.sparkSession):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.plans.boost import Boosted, BoostParams, Growth, Tree, _binned, _grow, _matrix, _Store, quantile_edges
+from foldwise.plans.boost import Boosted, BoostParams, Growth, Tree, _binned, _cells, _grow, _matrix, _Store, quantile_edges
 from foldwise.session import default_buckets
 
 MAX_LEAVES = 2_000           # of one forest: 32 MB of curvature per model on the driver
@@ -138,7 +138,7 @@ class ForestGrowth(Growth):
                     for t, tree in enumerate(trees):
                         new[:, j, t] = numbers[j][t][tree.leaf_of(own)]
                 both = np.concatenate([old, new], axis=2).astype(np.uint16).reshape(len(bins), -1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in both], pa.binary())],
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _cells(both)],
                                                  batch.schema.names)
 
         return rows.mapInArrow(work, rows.schema)

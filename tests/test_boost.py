@@ -228,3 +228,22 @@ def test_names_are_checked():
     for spec in mo.REGISTRY.values():
         if spec.mdl_type == mo.BOOSTED:
             BoostParams.of(spec.param)
+
+
+def test_no_step_repeats_earlier_trees(spark, monkeypatch):
+    """The rows a tree grows on hold the margins of all trees before it, with and without stopping."""
+    behind, grow = [], bo._grow
+    monkeypatch.setattr(bo, "_grow", lambda growth, rows, models: behind.append(sum(map(len, growth.recent))) or grow(growth, rows, models))
+    df, params = frame(spark, drawn(300, 5)), BoostParams(n_estimators=4, max_depth=2)
+    plain = fit_boosted(df, [["a", "b"]] * 2, params)
+    stopped = fit_boosted(df, [["a", "b"]] * 2, params, early_stop=4, refresh=3)
+    assert behind == [0] * 8 and trees_of(plain) == trees_of(stopped)
+
+
+def test_binary_cells_of_slices_and_empty_columns():
+    import pyarrow as pa
+    m = np.arange(12, dtype=np.uint16).reshape(4, 3)
+    assert (bo._matrix(bo._cells(m).slice(1, 2), np.uint16) == m[1:3]).all()
+    assert bo._cells(m).to_pylist() == [r.tobytes() for r in m]
+    assert bo._matrix(bo._cells(np.zeros((3, 0))), float).shape == (3, 0)
+    assert bo._matrix(pa.array([], pa.binary()), float).shape == (0, 0)
