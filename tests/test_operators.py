@@ -1,5 +1,7 @@
 """Operator tests: fold-wise preprocessing, derived features, gates, sinks, stacking."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,29 @@ def test_tables_are_read_through_spark_only(spark, tmp_path):
     assert read_table(spark, str(tmp_path), "region").count() == 5
     with pytest.raises(ValueError):
         read_table(spark, str(tmp_path), "unknown")
+
+
+def test_expression_terms_are_evaluated_once_on_all_cores(spark):
+    """Equal expressions share one tanh, and a table of one split is dealt over all cores."""
+    df = spark.createDataFrame([(1, 0.5, 2.0), (2, None, 1.0), (2, None, 1.0)], "id long, a double, b double").coalesce(1)
+    one = [("t0", 0.5, "a + b"), ("t1", 0.25, "a + b"), ("t2", 2.0, "b")]
+    two = [("t2", 1.0, "a + b"), ("t1", 3.0, "b"), ("t0", 4.0, "b")]
+    for out, distinct in ((ex.expression_features(df, one), 2), (ex.expression_features_sum(df, one, two), 2)):
+        assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("tanh(") == distinct
+    t = lambda x: None if x is None else math.tanh(x)
+    w = lambda x, y: None if y is None else x * y
+    got = sorted(map(tuple, ex.expression_features(df, one).collect()))
+    assert got[0] == pytest.approx((1, 0.5 * t(2.5), 0.25 * t(2.5), 2.0 * t(2.0)))
+    assert got[1] == got[2] and got[1][:3] == (2, None, None) and got[1][3] == pytest.approx(2.0 * t(1.0))
+    first = min(map(tuple, ex.expression_features_sum(df, one, two).collect()))
+    assert first == pytest.approx((1, 0.5 * t(2.5) + 4.0 * t(2.0), 0.25 * t(2.5) + 3.0 * t(2.0), 2.0 * t(2.0) + t(2.5)))
+
+
+def test_rounding_is_half_away_from_zero_on_the_product(spark):
+    from foldwise.registry import round_half_away
+    vals = [0.5e-6, -0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.49999999999999994e-6, -1e-9, 3.0000005, 1e300, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = [r["y"] for r in df.select("i", round_half_away(F.col("x")).alias("y")).orderBy("i").collect()]
+    c_round = lambda v: v if abs(v) >= 2.0 ** 52 else math.copysign(math.floor(abs(v)) + (abs(v) - math.floor(abs(v)) >= 0.5), v)
+    assert list(map(repr, got)) == [repr(None if v is None else c_round(v * 1e6) / 1e6) for v in vals]
