@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.ordered import running_sums
+from foldwise.operators.ordered import BUCKET_ROWS, running_sums
+from foldwise.session import default_buckets, materialize
 
 
 def gini(df: DataFrame, label: str = "target", score: str = "pred", by: list[str] | tuple = (),
@@ -34,9 +35,18 @@ def cv_summary(preds: DataFrame, label_df: DataFrame, by: list[str] = ("model",
     ``folds`` that have one, and the Gini of the whole out-of-fold prediction.
 
     Each OOF row is tagged twice, with its fold and with -1 ("all folds"), so
-    per-fold and overall Gini come from one ordered pass."""
+    per-fold and overall Gini come from one ordered pass.  The OOF rows are stored and counted: above the
+    shuffle partitions' worth of rows (``BUCKET_ROWS`` each) join and aggregate get as many partitions as
+    the rows need, so a task's memory does not follow the table.  Equal scores of one group meet in one
+    task, as a stream into one entry."""
     by = list(by)
-    oof = preds.filter(F.col("split") == "train").join(label_df.select(id_col, label), id_col)
+    oof = materialize(preds.filter(F.col("split") == "train").select(id_col, *by, fold_col, score), "oof")
+    labels = label_df.select(id_col, label)
+    n = -(-oof.count() // BUCKET_ROWS)
+    if n > default_buckets(oof.sparkSession):
+        oof = oof.repartition(n, id_col).join(labels.repartition(n, id_col), id_col).repartition(n, *by, score)
+    else:
+        oof = oof.join(labels, id_col)
     tagged = oof.withColumn("_g", F.explode(F.array(F.col(fold_col).cast("int"), F.lit(-1))))
     g = gini(tagged, label, score, by + ["_g"], "g")
     of_fold = F.when(F.col("_g") >= 0, F.col("g"))

@@ -55,3 +55,25 @@ def test_oof_encoding_equals_naive(spark, rows):
         else:
             want = prior
         assert got[i] == pytest.approx(want)
+
+
+def test_cv_summary_partitions_follow_the_rows(spark, monkeypatch):
+    """Above the shuffle partitions' worth of rows the aggregate that feeds the ordered pass is dealt into more parts."""
+    from foldwise.operators import metrics as me
+    seen = []
+    real = me.running_sums
+
+    def spy(df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return real(df, *args)
+
+    rows = [(i, "ab"[m], m % 2, "train" if i % 5 else "test", i % 3, None if i % 50 == 1 else round((i * 37 % 101) / 90, 2) + m / 4)
+            for i in range(400) for m in range(2)]
+    preds = spark.createDataFrame(rows + rows[10:14], "id long, model string, bag int, split string, fold int, pred double")
+    labels = spark.createDataFrame([(None if i == 7 else i, None if i == 9 else i * i % 7 % 2) for i in range(400)], "id long, target int")
+    want = sorted(map(str, me.cv_summary(preds, labels).collect()))
+    monkeypatch.setattr(me, "running_sums", spy)
+    monkeypatch.setattr(me, "BUCKET_ROWS", 20)
+    got = sorted(map(str, me.cv_summary(preds, labels).collect()))
+    assert seen == [33]                  # 640 + 4 rows with a fold, 20 in a part
+    assert got == want and len(got) == 2
