@@ -338,10 +338,10 @@ class Index:
     def build(self, items: pd.DataFrame, idf: np.ndarray, basis: np.ndarray) -> Index:
         self.idf, words = idf, Words()
         self.rows = np.flatnonzero(np.abs(basis).max(axis=1) > 1e-7)
-        self.place = np.full(len(basis), -1, np.int32)
+        self.place = np.full(len(basis), len(self.rows), np.int32)     # words without a latent image: the last row, of zeros
         self.place[self.rows] = np.arange(len(self.rows))
-        self.basis = basis[self.rows]
-        self.basis *= idf[self.rows, None].astype(np.float32)
+        self.basis = np.zeros((len(self.rows) + 1, basis.shape[1]), np.float32)
+        self.basis[:-1] = basis[self.rows] * idf[self.rows, None].astype(np.float32)
         self.ids, self.words, self.where, self.answers, lists, self.owner, self.at = [], [], [], [], [], [], []
         self.short_ids: list = []
         self.short: dict[int, dict[int, list]] = {}        # number of words -> key -> [(number in short_ids, words, answer)]
@@ -371,16 +371,51 @@ class Index:
 
     def project(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Latent vectors of the passages of a sequence of buckets."""
-        place = self.place[words]
-        known = np.flatnonzero(place >= 0)
-        halves = np.zeros((max(1, -(-len(words) // HALF)), self.basis.shape[1]), np.float32)
-        if len(known):
-            part = known // HALF
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            halves[part[first]] = np.add.reduceat(self.basis[place[known]], first, axis=0)
-        out = halves[starts // HALF].copy()
-        more = starts // HALF + 1 < len(halves)
-        out[more] += halves[starts[more] // HALF + 1]
+        return self.project_all([words], [starts])
+
+    def project_all(self, texts: list[np.ndarray], starts: list[np.ndarray]) -> np.ndarray:
+        """Latent vectors of the passages of all texts, one text after the other.  Halves of passages are summed
+        place by place, all halves of all texts at once."""
+        length = np.array([len(t) for t in texts], np.int64)
+        n_halves = np.maximum(1, -(-length // HALF))
+        first = np.cumsum(n_halves) - n_halves
+        place = np.full(int(n_halves.sum()) * HALF, len(self.rows), np.int32)
+        if length.any():
+            place[np.arange(int(length.sum())) + np.repeat(first * HALF - (np.cumsum(length) - length), length)] = self.place[np.concatenate(texts)]
+        # words with an image to the left of their half
+        known = np.flatnonzero(place < len(self.rows))
+        part = known // HALF
+        count = np.bincount(part, minlength=len(place) // HALF)
+        grid = np.full((len(count), HALF), len(self.rows), np.int32)
+        grid[part, np.arange(len(known)) - (np.cumsum(count) - count)[part]] = place[known]
+        halves = np.zeros((len(grid), self.basis.shape[1]), np.float32)
+        for at in range(0, len(grid), 1024):
+            many = count[at:at + 1024] > HALF // 2
+            for own in (at + np.flatnonzero(many), at + np.flatnonzero(~many)):
+                if len(own):
+                    halves[own] = self._summed(grid[own], bool(many[own[0] - at]))
+        sizes = [len(s) for s in starts]
+        half = np.concatenate(starts) // HALF
+        row = half + np.repeat(first, sizes)
+        out = halves[row]
+        more = half + 1 < np.repeat(n_halves, sizes)
+        out[more] += halves[row[more] + 1]
+        return out
+
+    def _summed(self, grid: np.ndarray, many: bool) -> np.ndarray:
+        """Sum of the images of every row of word places, in the order in which ``np.add.reduceat`` adds so many, to
+        the last bit."""
+        def image(j: int) -> np.ndarray:
+            return self.basis.take(grid[:, j], axis=0)
+
+        if many:
+            out = (image(1) + image(2)) + (image(3) + image(4))
+            out += (image(5) + image(6)) + (image(7) + image(8))
+        else:
+            out = image(1)
+        for j in range(HALF // 2 + 1, HALF) if many else range(2, HALF // 2):
+            out += image(j)
+        out += image(0)
         return out
 
     def candidates(self, latent: np.ndarray) -> Iterator[tuple[int, int, float]]:
@@ -465,12 +500,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     pdf = whole.iloc[at:at + 200]
                     hashes = words.of(pdf["text"].tolist())
                     starts = [passage_starts(len(h)) for h in hashes]
-                    latent = [index.project(buckets(h), s) for h, s in zip(hashes, starts, strict=True)]
+                    latent = index.project_all([buckets(h) for h in hashes], starts)
                     owner = np.repeat(np.arange(len(hashes)), [len(s) for s in starts])
                     first = np.concatenate(starts)
                     best: dict[tuple[int, int], tuple] = {}
                     asked, tokens = {}, {}
-                    for p, q, cosine in index.candidates(np.concatenate(latent)):
+                    for p, q, cosine in index.candidates(latent):
                         d, i = int(owner[p]), int(index.owner[q])
                         asked.setdefault((d, i), []).append((cosine, int(first[p]), q))
                     for (d, i), places in asked.items():

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -174,3 +175,24 @@ def test_sketch_rows_enter_the_decomposition(spark):
     rows = np.array([[1, 1, 0, 0], [0, 1, 1, 0], [0, 0, 3 * 2 ** .5, 3 * 2 ** .5]]) / 2 ** .5
     want = np.linalg.svd(rows)[2]
     assert np.allclose(np.abs(np.sum(got[[1, 2, 3, 7]].T * want[:3], axis=1)), 1, atol=1e-3)
+
+
+def test_all_texts_are_projected_at_once_to_the_last_bit():
+    draw = np.random.default_rng(2)
+    basis = draw.standard_normal((1 << dc.BITS, 20)).astype(np.float32)
+    basis[draw.random(len(basis)) < 0.3] = 0               # words without a latent image
+    idf = 1 + draw.random(1 << dc.BITS)
+    items = [("a", prose(40, 1), None), ("b", prose(20, 2), None)]
+    index = dc.Index().build(pd.DataFrame(items, columns=["item_id", "text", "answer"]), idf, basis)
+    texts = [draw.integers(0, 1 << dc.BITS, n) for n in (0, 1, 7, 15, 16, 17, 33, 64, 5000)]
+    texts += [np.full(40, np.flatnonzero(np.abs(basis).max(axis=1) == 0)[0])]
+    starts = [dc.passage_starts(len(t)) for t in texts]
+    weighed = basis * idf[:, None].astype(np.float32)
+    known = np.abs(basis).max(axis=1) > 1e-7
+
+    def half(words):
+        words = words[known[words]]
+        return np.add.reduceat(weighed[words], [0], axis=0)[0] if len(words) else np.zeros(20, np.float32)
+
+    want = [half(t[s:s + dc.HALF]) + half(t[s + dc.HALF:s + 2 * dc.HALF]) for t, own in zip(texts, starts) for s in own]
+    assert np.array_equal(index.project_all(texts, starts), np.array(want))
