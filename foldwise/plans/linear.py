@@ -3,7 +3,7 @@
 Minimises  sum of weighted log-losses + l1 * sum |w| + l2 / 2 * sum w^2  (the intercept is free), which is
 scikit-learn's logistic regression with l1 or l2 = 1 / C, and the linear booster's elastic net.
 
-A round is one Spark job for every model that still moves: tasks add up loss, gradient and curvature at
+Rows are stored once as blocks of numbers.  A round is one Spark job for every model that still moves: tasks add up loss, gradient and curvature at
 the present coefficients, one aggregate sums the shards, and the driver does coordinate descent with
 soft thresholds on the resulting quadratic (a direct solve without l1).  Curvature is kept in blocks
 of ``BLOCK`` coordinates; all blocks step in parallel.  A step counts only if the summed objective
@@ -25,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.session import materialize, released
+
 BLOCK = 256
+BLOCK_BYTES = 1 << 20         # inputs of a stored block of rows
 
 
 @dataclass
@@ -42,10 +45,10 @@ def _places(columns: Sequence[Sequence[str]]) -> tuple[list[str], list[list[int]
 
 
 def _inputs(batch: pa.RecordBatch, count: int) -> np.ndarray:
-    """(rows, 1 + inputs): a one for the intercept, then the inputs, NULL as 0."""
-    out = np.ones((batch.num_rows, count + 1))
+    """(1 + inputs, rows): a one for the intercept, then the inputs, NULL as 0."""
+    out = np.ones((count + 1, batch.num_rows))
     for i in range(count):
-        out[:, i + 1] = batch.column(f"x{i}").to_numpy(zero_copy_only=False)
+        out[i + 1] = batch.column(f"x{i}").to_numpy(zero_copy_only=False)
     return np.nan_to_num(out, copy=False, nan=0.0)
 
 
@@ -57,26 +60,42 @@ def _blocks(size: int, block: int) -> list[slice]:
     return [slice(a, min(a + block, size)) for a in range(0, size, block)]
 
 
-def _sums(rows: DataFrame, places: list[list[int]], weights: dict[int, np.ndarray], block: int) -> dict[int, tuple]:
-    """model -> (loss, gradient, curvature blocks) at ``weights``: one job."""
-    count = len(rows.columns) - 3
+def _packed(rows: DataFrame, count: int) -> DataFrame:
+    """(n, part, y, w, x): blocks of at most ``BLOCK_BYTES`` of inputs as bytes, so that a round moves a few
+    long values and not every number of every row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, BLOCK_BYTES // (8 * (count + 1)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                part, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "y", "w"))
+                values = part.astype(np.int32), y, w, _inputs(batch, count)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32())} | {
+                    name: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for name, v in zip(("part", "y", "w", "x"), values)})
+
+    return rows.mapInArrow(work, "n int, part binary, y binary, w binary, x binary")
 
+
+def _sums(packed: DataFrame, places: list[list[int]], weights: dict[int, np.ndarray], block: int) -> dict[int, tuple]:
+    """model -> (loss, gradient, curvature blocks) at ``weights``: one job."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {j: [0.0, np.zeros(len(w)), [np.zeros((b.stop - b.start,) * 2) for b in _blocks(len(w), block)]]
                  for j, w in weights.items()}
         for batch in batches:
-            part, y, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "y", "w"))
-            x = _inputs(batch, count)
-            for j, w in weights.items():
-                use = part != j
-                own = x[use][:, [0, *(p + 1 for p in places[j])]]
-                z, target, rw = own @ w, y[use], weight[use]
-                p = 1.0 / (1.0 + np.exp(-z))
-                total[j][0] += float((rw * (np.logaddexp(0.0, z) - target * z)).sum())
-                total[j][1] += own.T @ (rw * (p - target))
-                h = rw * p * (1.0 - p)
-                for into, b in zip(total[j][2], _blocks(len(w), block)):
-                    into += own[:, b].T @ (own[:, b] * h[:, None])
+            for n, *values in zip(*(batch.column(c) for c in ("n", "part", "y", "w", "x"))):
+                part, y, weight, x = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(values, (np.int32, float, float, float)))
+                x = x.reshape(-1, n.as_py())
+                for j, w in weights.items():
+                    use = part != j
+                    own = x[[0, *(p + 1 for p in places[j])]][:, use]
+                    z, target, rw = w @ own, y[use], weight[use]
+                    e = np.exp(-np.abs(z))                  # one exponential for loss and probability
+                    p = np.where(z >= 0, 1.0, e) / (1.0 + e)
+                    total[j][0] += float(rw @ (np.log1p(e) + np.maximum(z, 0.0) - target * z))
+                    total[j][1] += own @ (rw * (p - target))
+                    h = rw * p * (1.0 - p)
+                    for into, b in zip(total[j][2], _blocks(len(w), block)):
+                        into += (own[b] * h) @ own[b].T
         for j, (loss, gradient, curvature) in total.items():
             flat = np.concatenate([[loss], gradient, *[c.ravel() for c in curvature]])
             for at in range(0, len(flat), 1 << 16):
@@ -84,7 +103,7 @@ def _sums(rows: DataFrame, places: list[list[int]], weights: dict[int, np.ndarra
                 yield pa.RecordBatch.from_pydict({"model": np.full(len(some), j, np.int32), "cell": np.arange(at, at + len(some)),
                                                   "value": some})
 
-    found = rows.mapInArrow(work, "model int, cell long, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
+    found = packed.mapInArrow(work, "model int, cell long, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
     out = {}
     for j, w in weights.items():
         own = found[found["model"] == j]
@@ -132,13 +151,19 @@ def fit_linear(df: DataFrame, columns: Sequence[Sequence[str]], l1: float = 0.0,
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = _rows(df.filter(F.col(fold_col).isNotNull()), physical, F.col(fold_col).cast("int").alias("part"),
                  F.col(label).cast("double").alias("y"), weight.alias("w"))
+    with released(df.sparkSession):
+        return _fit(materialize(_packed(rows, len(physical)), "linear-rows"), columns, places, l1, l2, max_iter, tolerance, block)
+
+
+def _fit(packed: DataFrame, columns, places: list[list[int]], l1: float, l2: float, max_iter: int, tolerance: float, block: int) -> Linear:
+    """The rounds over the stored blocks of rows."""
     at = {j: np.zeros(1 + len(p)) for j, p in enumerate(places)}          # coefficients with a known objective
     state: dict[int, tuple] = {}
     target, share = dict(at), dict.fromkeys(at, 1.0)
     live = set(at)
     for _ in range(max_iter):
         trial = {j: target[j] if j not in state else at[j] + share[j] * (target[j] - at[j]) for j in live}
-        for j, (loss, gradient, curvature) in _sums(rows, places, trial, block).items():
+        for j, (loss, gradient, curvature) in _sums(packed, places, trial, block).items():
             value = loss + _penalty(trial[j], l1, l2)
             before = state[j][0] if j in state else np.inf
             if value > before + 1e-12 * abs(before) and share[j] > 1e-6:
@@ -171,7 +196,7 @@ def predict_linear(df: DataFrame, model: Linear, fold_col: str = "fold", id_col:
             part, x = batch.column("part").to_numpy(), _inputs(batch, len(physical))
             for j, own in enumerate(places):
                 use = np.flatnonzero((part == j) | (part < 0))
-                z = x[use][:, [0, *(p + 1 for p in own)]] @ model.weights[j]
+                z = model.weights[j] @ x[[0, *(p + 1 for p in own)]][:, use]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(use)), pa.array(part[use] >= 0), pa.array(np.full(len(use), j, np.int32)),
                      pa.array(1.0 / (1.0 + np.exp(-z)))], ["id", "labelled", "fold", "pred"])

@@ -155,7 +155,7 @@ def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: in
     weight = F.when(F.col(label) == 1, weighted).otherwise(F.lit(1.0))
     parts, shared = [], {}
     for s, b in runs:
-        fc = fold_of[s, b]
+        fc, bag = fold_of[s, b], F.lit(b).cast("int")
         te = te_models[fc]
         own = [_fold_features(te, j, f"_te{fc}_", f"_avg_{j}", k, fc) for j in range(k)]
         rows = prepared.select(id_col, split_col, label, fc, *features, *[c for cols in own for c in cols],
@@ -170,11 +170,13 @@ def _oof_joint(prepared: DataFrame, spec: ModelSpec, features, label: str, k: in
                 shared[fc] = fit_forest(rows, names, params, label, fc, id_col, "_weight")
             pred = predict_boosted(rows, shared[fc], label, fc, id_col, split_col)
         else:
-            if fc not in shared:                     # nothing is drawn: bags on the same folds are the same model
-                shared[fc] = fit_linear(rows, names, **penalty, label=label, fold_col=fc, weight_col="_weight")
+            if fc in shared:                         # nothing is drawn: bags on the same folds are the same model, predicted once
+                continue
+            shared[fc] = fit_linear(rows, names, **penalty, label=label, fold_col=fc, weight_col="_weight")
             pred = predict_linear(rows, shared[fc], fc, id_col, split_col)
+            bag = F.explode(F.array(*[F.lit(other).cast("int") for r, other in runs if fold_of[r, other] == fc]))
         parts.append(pred.select(id_col, F.lit(spec.name).alias("model"), split_col, "fold",
-                                 F.lit(b).cast("int").alias("bag"), F.lit(s).cast("int").alias("rep"), "pred"))
+                                 bag.alias("bag"), F.lit(s).cast("int").alias("rep"), "pred"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,6 +15,7 @@ from foldwise.plans import pairwise as pw
 from foldwise.plans import stack as sk
 from foldwise.plans import sweep as sw
 from foldwise.registry import register, round_doubles
+from foldwise.session import materialize
 from foldwise.sources import fixtures as fx
 from foldwise.sources.fixtures import duck_with
 from foldwise.sources.tables import read_table
@@ -23,10 +24,13 @@ NUMS = ["prio_cat", "nation_cat", "month_cat", "debt_bin", "price", "bal", "age"
 TE = [c for c in fx.FEATURES if "_cat" in c]          # FeatureSpec.te_marker convention
 
 
-def model_frame(spark, sf_dir):
+def model_frame(spark, sf_dir, stored=False):
     """Planted fixture, NULLs mean-imputed and numeric columns min-max scaled
-    with train statistics."""
+    with train statistics.  ``stored`` writes the joined rows once instead of joining them again for every
+    statistic (not for MLlib's trees, whose draws follow the splits of the rows)."""
     df = fx.planted(spark, sf_dir)
+    if stored:
+        df = materialize(df, "planted")
     train = df.filter("split = 'train'")
     df = sc.impute_mean(df, ["bal", "age"], fit=train)
     df = sc.minmax_scale(df, NUMS, fit=df.filter("split = 'train'"))
@@ -46,7 +50,7 @@ def q_class_weight(spark, sf_dir):
 
 @register("oof_lr")
 def q_oof_lr(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, te_cols=TE))
 
 
@@ -72,21 +76,21 @@ def q_oof_mlp(spark, sf_dir):
 
 @register("oof_scores")
 def q_oof_scores(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     preds = oo.oof_train(df, mo.lookup("lr1"), NUMS, te_cols=TE)
     return round_doubles(me.cv_summary(preds, df.select("id", "target"), by=["model", "bag"]))
 
 
 @register("oof_bagged")
 def q_oof_bagged(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     preds = oo.oof_train(df, mo.lookup("lr2"), NUMS, te_cols=TE, bags=2, refold_per_bag=True)
     return _preds(preds)
 
 
 @register("oof_upsampled")
 def q_oof_upsampled(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, te_cols=TE, upsample=True))
 
 
@@ -129,7 +133,7 @@ def q_stack_l3(spark, sf_dir):
 
 @register("model_registry")
 def q_model_registry(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     spec = mo.lookup("lr2")
     preds = oo.oof_train(df, spec, NUMS, te_cols=TE, bags=spec.bag, splits=spec.split, k=spec.fold)
     summ = me.cv_summary(preds, df.select("id", "target"), by=["model"])
@@ -143,7 +147,7 @@ SWEEP_BOX = {"regParam": (1e-4, 1e-1, "log"), "elasticNetParam": (0.0, 1.0, "lin
 @register("param_sweep")
 def q_param_sweep(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     pts = [sw.param_sanitise(p, int_params=["maxIter"], unit_params=["elasticNetParam"])
            for p in sw.param_grid(SWEEP_BOX, 8, seed=1024)]
     return round_doubles(sw.param_sweep(df, LogisticRegression(standardization=True), pts, NUMS))
@@ -175,14 +179,14 @@ def q_oof_bagged_seeds(spark, sf_dir):
 @register("oof_repeated")
 def q_oof_repeated(spark, sf_dir):
     """X5 under X8: two independent splits, their predictions side by side (``rep``)."""
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, te_cols=TE, splits=2))
 
 
 @register("oof_stratified")
 def q_oof_stratified(spark, sf_dir):
     """X4 under X8: stratified folds."""
-    df = model_frame(spark, sf_dir)
+    df = model_frame(spark, sf_dir, stored=True)
     return _preds(oo.oof_train(df, mo.lookup("lr1"), NUMS, stratified=True))
 
 

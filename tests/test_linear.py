@@ -127,3 +127,35 @@ def test_bags_without_a_draw_share_the_fit(spark, monkeypatch):
     x, y = drawn(60)
     preds = oo.oof_train(frame(spark, x, y), mo.lookup("lr1"), NAMES, k=3, bags=3)
     assert len(calls) == 1 and preds.count() == 180
+
+
+def test_bags_on_shared_folds_are_predicted_once(spark, monkeypatch):
+    # Nothing is drawn, so the bags are copies of one prediction; before, every bag scanned the rows again
+    calls = []
+    plain = oo.predict_linear
+    monkeypatch.setattr(oo, "predict_linear", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    df = spark.createDataFrame([(i, "test" if i % 7 == 0 else "train", None if i % 7 == 0 else i % 5, None if i % 7 == 0 else i % 2,
+                                 float(i * 37 % 11)) for i in range(140)], "id int, split string, fold int, target int, a double")
+    out = oo.oof_train(df, mo.lookup("lr2"), ["a"], bags=3, splits=2).toPandas()
+    assert len(calls) == 2 and len(out) == 2 * 3 * (120 + 5 * 20)
+    for _, own in out.groupby(["rep", "split", "id", "fold"]):
+        assert sorted(own["bag"]) == [0, 1, 2] and own["pred"].nunique() == 1
+    assert dict(zip(out.columns, out.dtypes.astype(str)))["bag"] == "int32"
+
+
+def test_rounds_read_blocks_of_rows(spark):
+    # the rounds move blocks of bytes, not every number of every row; their sums are those of the rows
+    from foldwise.plans import linear as ln
+    rows = spark.range(50, numPartitions=3).select(
+        (F.col("id") % 3).cast("int").alias("part"), (F.col("id") % 2).cast("double").alias("y"),
+        (F.lit(1.0) + F.col("id") % 2).alias("w"), F.when(F.col("id") != 7, F.col("id") / 50).alias("x0"))
+    packed = ln._packed(rows, 1)
+    assert packed.agg(F.sum("n")).first()[0] == 50 and packed.count() < 50
+    w = np.array([0.3, -0.7])
+    found = ln._sums(packed, [[0], [0], [0]], {1: w}, 1)[1]
+    own = rows.filter("part <> 1").fillna(0.0).toPandas()
+    z = w[0] + w[1] * own["x0"]
+    p = 1 / (1 + np.exp(-z))
+    assert found[0] == pytest.approx((own["w"] * (np.log1p(np.exp(z)) - own["y"] * z)).sum(), rel=1e-12)
+    assert found[1] == pytest.approx([(own["w"] * (p - own["y"])).sum(), (own["w"] * (p - own["y"]) * own["x0"]).sum()], rel=1e-12)
+    assert [b[0, 0] for b in found[2]] == pytest.approx([(own["w"] * p * (1 - p)).sum(), (own["w"] * p * (1 - p) * own["x0"] ** 2).sum()], rel=1e-12)
