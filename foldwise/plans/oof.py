@@ -25,7 +25,7 @@ from foldwise.plans.boost import BoostParams, fit_boosted, learning_curve_gini,
 from foldwise.plans.corrective import ForestParams, fit_forest
 from foldwise.plans.linear import fit_linear, predict_linear
 from foldwise.plans.models import BOOSTED, FOREST, ModelSpec, build_estimator, linear_penalties, class_weights, positive_probability
-from foldwise.session import materialize
+from foldwise.session import ensure_checkpoint_dir, materialize, released
 
 
 def _fold_features(model: TargetEncoding | None, k: int, prefix: str = "_te_", suffix: str = "_avg", folds: int = 0, fold_col: str = ""):
@@ -214,11 +214,15 @@ def shadow_importance(df: DataFrame, spec: ModelSpec, features: Sequence[str], l
     (shadow) copy, from one tree-ensemble fit on the labelled rows."""
     from pyspark.ml.feature import VectorAssembler
     lab = df.filter(F.col(label).isNotNull())
-    with_shadow = permute_columns(lab, list(features), seed)
     names = list(features) + [f"shadow_{c}" for c in features]
+    # MLlib reads its input several times.  A reliable checkpoint runs numbering and joins once and, unlike a table or a
+    # cached plan, keeps the splits and their order, which the forest's draws follow.
+    ensure_checkpoint_dir(df.sparkSession)
+    with released(df.sparkSession):
+        with_shadow = permute_columns(lab, list(features), seed).select(label, *names).checkpoint()
     asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    data = asm.transform(with_shadow)
-    imp = build_estimator(spec, 1, "features", label, None, seed, allow_drop).fit(data).featureImportances.toArray()
+    est = build_estimator(spec, 1, "features", label, None, seed, allow_drop)
+    imp = est.fit(asm.transform(with_shadow)).featureImportances.toArray()
     n = len(features)
     best_shadow = max(imp[n:]) if n else 0.0
     rows = [(c, float(imp[i]), float(imp[n + i]), bool(imp[i] > best_shadow)) for i, c in enumerate(features)]

@@ -87,3 +87,17 @@ def test_oof_with_class_weights_runs(spark):
     n_train = df.filter("split = 'train'").count()
     assert preds.filter("split = 'train'").count() == n_train
     assert preds.filter("pred IS NULL OR pred < 0 OR pred > 1").count() == 0
+
+
+def test_shadow_importance_permutes_once(spark, monkeypatch):
+    # The fit reads stored rows; before, every pass of MLlib over its input ran numbering and joins again
+    from pyspark.ml.classification import RandomForestClassifier
+    seen = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data, *a: seen.append(
+        data._jdf.queryExecution().optimizedPlan().toString()) or fit(self, data, *a))
+    df = spark.createDataFrame([(i, i % 2 if i % 9 else None, float(i % 2 + i % 3), float(i % 7)) for i in range(200)],
+                               "id int, target int, a double, b double")
+    got = {r["feature"]: r for r in oo.shadow_importance(df, mo.lookup("rf_small"), ["a", "b"]).collect()}
+    assert len(seen) == 1 and "Join" not in seen[0]
+    assert got["a"]["beats_shadows"] and got["a"]["importance"] > got["a"]["shadow_importance"]
