@@ -153,3 +153,32 @@ def test_rounding_is_half_away_from_zero_on_the_product(spark):
     got = [r["y"] for r in df.select("i", round_half_away(F.col("x")).alias("y")).orderBy("i").collect()]
     c_round = lambda v: v if abs(v) >= 2.0 ** 52 else math.copysign(math.floor(abs(v)) + (abs(v) - math.floor(abs(v)) >= 0.5), v)
     assert list(map(repr, got)) == [repr(None if v is None else c_round(v * 1e6) / 1e6) for v in vals]
+
+
+def test_expression_rows_are_dealt_by_the_join_alone(spark, tmp_path):
+    """Before, the rows were shuffled for the join and once more to deal them; a crowded customer still takes a second one."""
+    import datetime
+
+    from foldwise.queries_features import q_expr_features, q_expr_features_sum
+    from foldwise.sources import fixtures as fx
+    day = datetime.datetime(1995, 3, 1)
+    customers = [(k, k % 25, "BUILDING", 100.0 * k - 500) for k in range(40)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double") \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(i, None if i % 50 == 0 else i % 45, "OF"[i % 2], 1000.0 + i, day, f"{i % 5 + 1}-X") for i in range(400)] * 2
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                                  "o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(fx.policy(spark, str(tmp_path)))
+    assert len(want) == sum(1 for o in orders if o[1] is not None and o[1] < 40)
+    assert plain(fx.policy(spark, str(tmp_path), dealt=True)) == want
+    for query in (q_expr_features, q_expr_features_sum):
+        df = query(spark, str(tmp_path))
+        assert "RoundRobin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows, fx.TASK_ROWS = fx.TASK_ROWS, 10
+    try:
+        crowded = fx.policy(spark, str(tmp_path), dealt=True)
+    finally:
+        fx.TASK_ROWS = rows
+    assert "RoundRobin" in crowded._jdf.queryExecution().executedPlan().toString() and plain(crowded) == want
